@@ -12,6 +12,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clickloom.functions.scalars import in_time_range
+
 DEFAULT_SEQ_LEN = 256
 SCHEMA = (
     "group string, domain string, column string, fid int, vocab bigint, dim int, ord int, is_ts boolean"
@@ -182,3 +184,15 @@ def primary_field(catalogue_df: DataFrame, cap: int) -> DataFrame:
         F.min_by("slot", usable).alias("slot"),
         F.min_by("vocab", usable).alias("vocab"),
     )
+
+
+def observed_catalogue(values: DataFrame) -> DataFrame:
+    """Catalogue rows from data: ``values`` holds ``(domain, column, ord, value)`` ids.
+
+    The vocabulary is the greatest id plus one; a field is a timestamp when over 80% of its ids above 0
+    lie in the plausible time range.
+    """
+    share = F.avg(F.when(F.col("value") > 0, in_time_range("value").cast("double")))
+    return values.groupBy("domain", "column", "ord").agg(
+        (F.max("value") + 1).alias("vocab"), F.coalesce(share > 0.8, F.lit(False)).alias("is_ts")
+    ).withColumn("fid", F.col("ord"))

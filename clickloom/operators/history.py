@@ -17,6 +17,9 @@ from clickloom.functions import arrays as A
 # longer histories are limited per salted part of the group first.
 GROUP_LIMIT = 1000
 SALT_PARTS = 64
+PADDING_KEYS = 1024
+# weight of padding in a mean: it keeps groups that hold nothing else, and moves no other mean
+_NO_WEIGHT = 1e-300
 
 
 def latest_per_group(
@@ -67,16 +70,18 @@ def lookup_vectors(
     """Add ``vector`` to every row; padding ids (<= 0) and ids without a vector get the zero vector.
 
     A plain equi-join: the optimizer broadcasts a small vector table and splits skewed items of a
-    large one at run time. Padding ids are given a NULL key, so they never meet in one join partition.
+    large one at run time. Padding rows match nothing, so they join under spread negative keys
+    instead of meeting in one partition.
     """
-    table = vectors.select(F.col(vec_id).alias("_id"), F.col(vector).cast("array<double>").alias("_vec"))
-    key = F.when(F.col(item) > 0, F.col(item)).cast("bigint")
-    known = rows.withColumn("_key", key)
-    found = known.filter("_key is not null").join(table, F.col("_key") == F.col("_id"), "left")
-    padding = known.filter("_key is null").select("*", F.lit(None).cast("array<double>").alias("_vec"))
+    table = (
+        vectors.filter(F.col(vec_id) > 0)
+        .select(F.col(vec_id).cast("bigint").alias("_key"), F.col(vector).cast("array<double>").alias("_vec"))
+    )
+    spread = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(PADDING_KEYS))
+    key = F.when(F.col(item) > 0, F.col(item)).otherwise(spread).cast("bigint")
     return (
-        found.drop("_id")
-        .unionByName(padding)
+        rows.withColumn("_key", key)
+        .join(table, "_key", "left")
         .withColumn("vector", F.coalesce("_vec", A.zero_vector(dim)))
         .drop("_key", "_vec")
     )
@@ -104,7 +109,7 @@ def mean_pool(
     )
     pooled = weighted.groupBy(*keys).agg(
         F.sum("_n").alias("_total"),
-        Summarizer.mean(array_to_vector("vector"), F.greatest("_n", F.lit(1e-300))).alias("_mean"),
+        Summarizer.mean(array_to_vector("vector"), F.greatest("_n", F.lit(_NO_WEIGHT))).alias("_mean"),
     )
     mean = F.when(F.col("_total") > 0, vector_to_array("_mean")).otherwise(A.zero_vector(dim))
     return pooled.select(*keys, F.col("_total").cast("bigint").alias("n_valid"), mean.alias("vector"))

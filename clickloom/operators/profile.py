@@ -220,6 +220,17 @@ def running_stats(df: DataFrame, columns: list[str], probs: list[float] = [0.5,
     return stats.join(F.broadcast(quantiles(long, ["column"], "value", probs)), "column", "left")
 
 
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, sample deviation, range and quartiles of the non-NULL values per column."""
+    long = scalar_long(df, columns)
+    v = F.when(~F.isnan("value"), F.col("value"))
+    stats = long.groupBy("column").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+    )
+    return stats.join(F.broadcast(quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])), "column", "left")
+
+
 def string_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows, NULLs and exact number of different values per string column."""
     counts = value_counts(string_long(df, columns))
