@@ -9,12 +9,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.catalogue import Catalogue
+from clickloom.catalogue import Catalogue, load_catalogue
 from clickloom.operators import profile as P
-from clickloom.sources.sinks import write_report
+from clickloom.operators.splits import FILE, ROW, first_rows
+from clickloom.sources.readers import read_table
+from clickloom.sources.sinks import export_first_rows, write_report
 
 OVERLAP_MAX_VOCAB = 100_000_000
 TOP_K = 10
@@ -130,8 +132,12 @@ def suggestions(report: DataFrame, catalogue: Catalogue | None = None) -> DataFr
     if catalogue is not None:
         without = [f.column for f in catalogue.group("seq") if catalogue.ts_fids.get(f.domain) is None]
         stamps = stamps.filter(F.col("column").isin(without) if without else F.lit(False))
+    side = {m: F.max(F.when(F.col("metric") == m, F.col("value"))) for m in ("positive", "negative")}
+    ratio = side["negative"] / F.when(side["positive"] > 0, side["positive"])
+    label = report.filter("section = 'label'").groupBy("column")
+    imbalance = label.agg(ratio.alias("value")).filter("value > 20")
     rules = [
-        found(metric("label", "neg_per_pos").filter("value > 20"), "imbalance"),
+        found(imbalance, "imbalance"),
         found(metric("missing", "missing_rate").filter("value > 0.5"), "missing"),
         found(metric("correlation", "pearson"), "correlated"),
         found(stamps, "undeclared_timestamp"),
@@ -162,8 +168,21 @@ def full_report(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     return rows.unionByName(advice)
 
 
-def run_analysis(df: DataFrame, catalogue: Catalogue, path: str, max_rows: int | None = None) -> DataFrame:
-    """Profile a table, optionally only ``max_rows`` of it, and write the report as JSON."""
-    report = full_report(df.limit(max_rows) if max_rows else df, catalogue)
-    write_report(report, path)
+def run_analysis(
+    spark: SparkSession,
+    data_path: str,
+    schema_path: str,
+    output_dir: str,
+    max_rows: int | None = None,
+    export_rows: int | None = None,
+) -> DataFrame:
+    """Profile a Parquet table and write ``report`` below ``output_dir``; optionally look at the first
+    ``max_rows`` only and export the first ``export_rows``, both in file order."""
+    ordered = read_table(spark, data_path, file_order=True)
+    catalogue = load_catalogue(spark, schema_path)
+    capped = first_rows(ordered, max_rows) if max_rows else ordered
+    if export_rows:
+        export_first_rows(capped, export_rows, f"{output_dir}/first_{export_rows}")
+    report = full_report(capped.drop(FILE, ROW), catalogue)
+    write_report(report, f"{output_dir}/report")
     return report
