@@ -150,7 +150,7 @@ def virtual_id_bases(catalogue_df: DataFrame, buckets: int | None, max_tokens: i
     group = Window.partitionBy("group")
     before = group.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     out = (
-        catalogue_df.filter("dim = 1 and vocab is not null")
+        catalogue_df.filter("group != 'seq' and dim = 1 and vocab is not null")
         .withColumn("slots", slots.cast("bigint"))
         .withColumn("base", F.coalesce(F.sum(F.col("slots") + 1).over(before), F.lit(0)) + 1)
         .withColumn("table_size", F.sum(F.col("slots") + 1).over(group) + 1)

@@ -142,15 +142,19 @@ def quantiles(
     return found.groupBy(*keys).agg(*cols)
 
 
-def frequency_quantiles(freq: DataFrame, keys: list[str], value: str, count: str, probs: list[float]) -> DataFrame:
-    """Interpolated percentiles from a table of ``(keys, value, count)``.
+def frequency_quantiles(
+    freq: DataFrame, keys: list[str], value: str, count: str, probs: list[float], *others: Column
+) -> DataFrame:
+    """Interpolated percentiles from a table of ``(keys, value, count)``, next to ``others``, further
+    aggregates over it. Rows with a NULL value are seen by ``others`` only.
 
     For values of small range such as sequence lengths: lengths that add up to N rows take at most
     about sqrt(2 N) different values, so a group's frequency table stays small.
     """
     group = Window.partitionBy(*keys)
     upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = freq.withColumn("_upto", F.sum(count).over(upto)).withColumn("_n", F.sum(count).over(group))
+    known = F.when(F.col(value).isNotNull(), F.col(count))
+    table = freq.withColumn("_upto", F.sum(known).over(upto)).withColumn("_n", F.sum(known).over(group))
     cols = []
     for p in probs:
         at = F.lit(p) * (F.col("_n") - 1)
@@ -158,7 +162,7 @@ def frequency_quantiles(freq: DataFrame, keys: list[str], value: str, count: str
         high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col(value).cast("double")))
         part = F.max(at - F.floor(at))
         cols.append((low + (high - low) * part).alias(probe_name(p)))
-    return table.groupBy(*keys).agg(*cols)
+    return table.groupBy(*keys).agg(*others, *cols)
 
 
 def sketch_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], k: int = 400) -> DataFrame:

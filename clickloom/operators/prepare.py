@@ -68,6 +68,12 @@ def prepare_rows(
     return df.select(*out)
 
 
+def _outside(ids: Column, f: Feature) -> Column:
+    name, vocab = F.lit(f.column).alias("column"), F.lit(f.vocab).cast("bigint").alias("vocab")
+    bad = F.filter(ids, lambda e: e >= f.vocab)
+    return F.transform(bad, lambda e: F.struct(name, vocab, e.alias("value")))
+
+
 def out_of_vocabulary(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     """Per column: how many used ids are outside the vocabulary, the least and the greatest of them.
 
@@ -84,9 +90,7 @@ def out_of_vocabulary(df: DataFrame, catalogue: Catalogue) -> DataFrame:
             used = F.array(clean_id(f.column))
         else:
             used = A.pad_int(f.column, f.dim)
-        bad = F.filter(used, lambda e, vocab=f.vocab: e >= vocab)
-        name, vocab = F.lit(f.column).alias("column"), F.lit(f.vocab).cast("bigint").alias("vocab")
-        parts.append(F.transform(bad, lambda e, n=name, v=vocab: F.struct(n, v, e.alias("value"))))
+        parts.append(_outside(used, f))
     found = df.select(F.inline(F.concat(*parts)))
     return found.groupBy("column", "vocab").agg(
         F.count(F.lit(1)).alias("oov_count"), F.min("value").alias("oov_min"), F.max("value").alias("oov_max")

@@ -30,7 +30,7 @@ IQR_MIN_VALUES = 10
 CORR_AT_LEAST = 0.90
 CORR_PRESENT = 0.2
 TS_SHARE = 0.8
-SCALARS = (T.NumericType,)
+DIGEST_OVER = 64
 
 
 # ---- column kinds -------------------------------------------------------------------------------
@@ -196,8 +196,8 @@ def running_moments(long: DataFrame, keys: list[str] = ["column"]) -> DataFrame:
     )
 
 
-def finish_moments(moments: DataFrame, keys: list[str] = ["column"]) -> DataFrame:
-    """Counts, range, mean and population deviation from summed moments."""
+def finish_moments(moments: DataFrame, keys: list[str] = ["column"], extra: list[Column] = []) -> DataFrame:
+    """Counts, range, mean and population deviation from summed moments, then the ``extra`` columns."""
     n = F.when(F.col("valid_count") > 0, F.col("valid_count"))
     mean = F.col("sum") / n
     return moments.select(
@@ -210,6 +210,7 @@ def finish_moments(moments: DataFrame, keys: list[str] = ["column"]) -> DataFram
         "max",
         mean.alias("mean"),
         F.sqrt(F.greatest(F.col("sum_sq") / n - mean * mean, F.lit(0.0))).alias("std"),
+        *extra,
     )
 
 
@@ -232,8 +233,12 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def string_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, NULLs and exact number of different values per string column."""
-    counts = value_counts(string_long(df, columns))
+    """Rows, NULLs and number of different values per string column.
+
+    Long strings are told apart by their SHA-256 digest, so texts are not shuffled.
+    """
+    short = F.when(F.length("value") > DIGEST_OVER, F.sha2("value", 256)).otherwise(F.col("value"))
+    counts = value_counts(string_long(df, columns).withColumn("value", short))
     return counts.groupBy("column").agg(
         F.sum("count").alias("total"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("null_count"),
@@ -262,23 +267,23 @@ def string_sketch(df: DataFrame, columns: list[str], k: int = 20, counters: int
 
 
 def array_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per array column: longest array and, over all elements, count, count above 0 and range and mean of those."""
-    wide = df.select(*[F.size(c).alias(c) for c in columns]).unpivot([], columns, "column", "n")
-    longest = wide.groupBy("column").agg(F.max("n").cast("bigint").alias("max_dim"))
+    """Per array column: longest array and, over all elements, count, count above 0 and range and mean of those.
+
+    Empty and NULL arrays pass the explode as a row without a position, so one scan serves all.
+    """
+    wide = df.select(*[F.col(c).cast("array<double>").alias(c) for c in columns]).unpivot([], columns, "column", "items")
+    elements = wide.select("column", F.posexplode_outer("items").alias("pos", "value"))
     v = F.when(F.col("value") > 0, F.col("value"))
-    elements = array_long(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("total_values"),
+    stats = elements.groupBy("column").agg(
+        (F.coalesce(F.max("pos") + 1, F.lit(0))).cast("bigint").alias("max_dim"),
+        F.count("pos").alias("total_values"),
         F.count(v).alias("valid_count"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.avg(v).alias("mean"),
     )
-    total = F.coalesce(F.col("total_values"), F.lit(0))
-    valid = F.coalesce(F.col("valid_count"), F.lit(0))
-    return longest.join(F.broadcast(elements), "column", "left").select(
-        "column", "max_dim", total.alias("total_values"), valid.alias("valid_count"),
-        ((total - valid) / F.greatest(total, F.lit(1))).alias("missing_rate"), "min", "max", "mean",
-    )
+    missing = F.col("total_values") - F.col("valid_count")
+    return stats.withColumn("missing_rate", missing / F.greatest(F.col("total_values"), F.lit(1)))
 
 
 def array_top(df: DataFrame, columns: list[str], k: int) -> DataFrame:
@@ -292,24 +297,23 @@ def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     and, over all elements, count, range, mean and population deviation."""
     probs = [0.5, 0.75, 0.9, 0.95, 0.99]
     sizes = df.select(*[F.size(c).cast("bigint").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    freq = value_counts(sizes)
-    known = freq.filter("value is not null")
-    nulls = freq.groupBy("column").agg(
+    known = F.when(F.col("value").isNotNull(), F.col("count"))
+    x = F.col("value").cast("double")
+    n, total, squares = F.sum(known), F.sum(known * x), F.sum(known * x * x)
+    lengths = frequency_quantiles(
+        value_counts(sizes), ["column"], "value", "count", probs,
         F.sum("count").alias("total"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("null_count"),
-    )
-    n, x = F.sum("count"), F.sum(F.col("count") * F.col("value").cast("double"))
-    xx = F.sum(F.col("count") * F.col("value").cast("double") * F.col("value"))
-    lengths = known.groupBy("column").agg(
-        (x / n).alias("len_mean"),
-        F.sqrt(F.greatest(xx / n - (x / n) * (x / n), F.lit(0.0))).alias("len_std"),
+        (total / n).alias("len_mean"),
+        F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))).alias("len_std"),
         F.min("value").alias("len_min"),
         F.max("value").alias("len_max"),
         (F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("count"))), F.lit(0)) / n).alias("zero_len_rate"),
+    )
+    names = [c for c in lengths.columns if c.startswith("p")]
+    lengths = lengths.select(
+        *[c for c in lengths.columns if c not in names], *[F.floor(c).alias(f"len_{c}") for c in names]
     )
-    at = frequency_quantiles(known, ["column"], "value", "count", probs)
-    names = [c for c in at.columns if c != "column"]
-    at = at.select("column", *[F.floor(c).alias(f"len_{c}") for c in names])
     elements = array_long(df, columns).groupBy("column").agg(
         F.count(F.lit(1)).alias("elements"),
         F.min("value").alias("elem_min"),
@@ -317,10 +321,8 @@ def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         F.avg("value").alias("elem_mean"),
         F.stddev_pop("value").alias("elem_std"),
     )
-    out = nulls
-    for part in (lengths, at, elements):  # one row per column each
-        out = out.join(F.broadcast(part), "column", "left")
-    return out
+    # one row per column each
+    return lengths.join(F.broadcast(elements), "column", "left")
 
 
 # ---- sequences ----------------------------------------------------------------------------------
@@ -353,32 +355,35 @@ def event_domain_lengths(events: DataFrame, user: str, domain: str, item: str, d
     return counts.select(user, F.inline(F.array(*parts)))
 
 
-def seq_length_stats(lengths: DataFrame) -> DataFrame:
-    """Per domain: mean, percentiles and maximum of valid lengths, share of empty ones, suggested cap.
-
-    Works on the frequency table of lengths. The suggested cap is the 90th percentile rounded down.
-    """
-    freq = lengths.groupBy("domain", F.col("valid_len").cast("bigint").alias("valid_len")).agg(
+def length_frequencies(lengths: DataFrame) -> DataFrame:
+    """``(domain, valid_len, count, raw_len)``: rows per valid length, with the longest raw length among them."""
+    return lengths.groupBy("domain", F.col("valid_len").cast("bigint").alias("valid_len")).agg(
         F.count(F.lit(1)).alias("count"), F.max("raw_len").cast("bigint").alias("raw_len")
     )
+
+
+def seq_length_stats(freq: DataFrame) -> DataFrame:
+    """Per domain from ``length_frequencies``: mean, percentiles and maximum of valid lengths, share of empty
+    ones, suggested cap (the 90th percentile rounded down)."""
     n = F.sum("count")
-    stats = freq.groupBy("domain").agg(
+    stats = frequency_quantiles(
+        freq, ["domain"], "valid_len", "count", [0.5, 0.9, 0.99],
         n.alias("n_rows"),
         (F.sum(F.col("valid_len").cast("double") * F.col("count")) / n).alias("mean_len"),
         F.max("valid_len").alias("max_len"),
         F.max("raw_len").alias("max_raw_len"),
         (F.coalesce(F.sum(F.when(F.col("valid_len") == 0, F.col("count"))), F.lit(0)) / n).alias("zero_seq_rate"),
-    )
-    at = frequency_quantiles(freq, ["domain"], "valid_len", "count", [0.5, 0.9, 0.99])
-    return stats.join(F.broadcast(at), "domain").withColumn("suggested_cap", F.floor("p90"))
+    )
+    return stats.withColumn("suggested_cap", F.floor("p90"))
 
 
-def domain_coverage(lengths: DataFrame) -> DataFrame:
-    """Per domain: rows with and without a valid element, and the share with one."""
-    return lengths.groupBy("domain").agg(
-        F.count_if(F.col("valid_len") > 0).alias("with_seq"),
-        F.count_if(F.col("valid_len") <= 0).alias("without_seq"),
-        F.avg((F.col("valid_len") > 0).cast("double")).alias("coverage"),
+def domain_coverage(freq: DataFrame) -> DataFrame:
+    """Per domain from ``length_frequencies``: rows with and without a valid element, and the share with one."""
+    held = F.coalesce(F.sum(F.when(F.col("valid_len") > 0, F.col("count"))), F.lit(0))
+    return freq.groupBy("domain").agg(
+        held.alias("with_seq"),
+        (F.sum("count") - held).alias("without_seq"),
+        (held / F.sum("count")).alias("coverage"),
     )
 
 

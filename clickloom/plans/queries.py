@@ -24,7 +24,7 @@ from clickloom.operators import tabular as M
 from clickloom.operators.order_stats import sketch_quantiles
 from clickloom.plans import report as G
 from clickloom.plans import standins as V
-from clickloom.session import work_dir
+from clickloom.session import stored, work_dir
 from clickloom.sources import readers, sinks
 from clickloom.streaming import incremental as T
 
@@ -378,7 +378,7 @@ def _lengths(spark: SparkSession, sf: str) -> DataFrame:
 def seq_length(spark, sf):
     """What cap should each domain use? Valid history lengths per user and domain, summarized."""
     return tidy(
-        P.seq_length_stats(_lengths(spark, sf)), doubles=["mean_len", "zero_seq_rate", "p50", "p90", "p99"]
+        P.seq_length_stats(P.length_frequencies(_lengths(spark, sf))), doubles=["mean_len", "zero_seq_rate", "p50", "p90", "p99"]
     )
 
 
@@ -386,12 +386,12 @@ def seq_length(spark, sf):
 def seq_length_arrays(spark, sf):
     """The same statistics over the arrays of the wide rows."""
     lengths = P.array_domain_lengths(V.wide(spark, sf), V.wide_catalogue())
-    return tidy(P.seq_length_stats(lengths), doubles=["mean_len", "zero_seq_rate", "p50", "p90", "p99"])
+    return tidy(P.seq_length_stats(P.length_frequencies(lengths)), doubles=["mean_len", "zero_seq_rate", "p50", "p90", "p99"])
 
 
 @query
 def domain_coverage(spark, sf):
-    return tidy(P.domain_coverage(_lengths(spark, sf)), doubles=["coverage"])
+    return tidy(P.domain_coverage(P.length_frequencies(_lengths(spark, sf))), doubles=["coverage"])
 
 
 def _id_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -452,7 +452,7 @@ def corr_pairs(spark, sf):
 @query
 def suggestions(spark, sf):
     """Rules over the metric table of the event log and the feature columns."""
-    f, lengths = V.features(spark, sf), _lengths(spark, sf)
+    f, lengths = V.features(spark, sf), P.length_frequencies(_lengths(spark, sf))
     odd = f.withColumn("mostly_zero", F.when(F.col("l_quantity") > 40, F.col("l_quantity")).otherwise(0)).withColumn(
         "label_type", F.when((F.col("l_tax") == 0.08) & (F.col("label_type") == 2) & (F.col("l_quantity") < 20), 2).otherwise(1)
     )
@@ -472,7 +472,7 @@ def suggestions(spark, sf):
 
 @query
 def full_report(spark, sf):
-    return tidy(G.full_report(V.wide(spark, sf), V.wide_catalogue()), doubles=["value"])
+    return tidy(G.full_report(stored(V.wide(spark, sf), "wide"), V.wide_catalogue()), doubles=["value"])
 
 
 @query
@@ -667,7 +667,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def _train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     # measured once, read by split, scaler and every iteration
-    rows = _labelled(spark, sf).persist()
+    rows = stored(_labelled(spark, sf), "labelled")
     split = X.stratified_split(rows, "label", ["doc_id"], 0.2)
     vectors = M.as_vector(split)
     return vectors.filter("split = 'train'").drop("split"), vectors.filter("split = 'test'").drop("split")

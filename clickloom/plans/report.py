@@ -49,21 +49,23 @@ def declared_fields(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, vocab bigint, is_ts boolean")
 
 
-def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame) -> list[DataFrame]:
-    """All report sections. ``counts`` is ``sequence_value_counts(df, catalogue)``, persisted by the caller:
-    vocabulary, overlap and timestamp detection all read this one de-duplicated table."""
+def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataFrame) -> list[DataFrame]:
+    """All report sections that read the table.
+
+    ``counts`` is ``sequence_value_counts``: vocabulary, overlap and timestamp detection read this one
+    de-duplicated table. ``freq`` is ``length_frequencies``. The caller persists both.
+    """
     kinds = P.classify_columns(df, catalogue)
     scalars = kinds["user_int/scalar"] + kinds["item_int/scalar"] + kinds["dense/scalar"]
     arrays = kinds["user_int/array"] + kinds["item_int/array"]
-    lengths = P.array_domain_lengths(df, catalogue)
     out = []
     if "label_type" in df.columns:
         label = ["positive", "negative", "total", "pos_rate", "neg_per_pos"]
         out.append(metrics(P.label_distribution(df), "label", F.lit("label_type"), label))
     out += [
-        metrics(P.domain_coverage(lengths), "domain_coverage", "domain", ["with_seq", "without_seq", "coverage"]),
+        metrics(P.domain_coverage(freq), "domain_coverage", "domain", ["with_seq", "without_seq", "coverage"]),
         metrics(
-            P.seq_length_stats(lengths), "seq_length", "domain",
+            P.seq_length_stats(freq), "seq_length", "domain",
             ["mean_len", "p50", "p90", "p99", "max_len", "max_raw_len", "zero_seq_rate", "suggested_cap"],
         ),
     ]
@@ -72,7 +74,6 @@ def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame) -> list[Dat
         outlier = ["outlier_count", "outlier_rate"]
         top = P.top_values(P.value_counts(P.scalar_long(df, scalars).filter("value != 0")), TOP_K)
         out += [
-            metrics(P.missing_rate(df, scalars), "missing", "column", ["missing_count", "missing_rate"]),
             metrics(P.scalar_stats(df, scalars), "scalar", "column", stats),
             _top(top, "scalar_top"),
             metrics(
@@ -155,12 +156,20 @@ def full_report(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     """All sections plus the suggestions. The result is catalogue-sized and materialized once; the shared
     value counts are released afterwards."""
     counts = P.sequence_value_counts(df, catalogue).persist(StorageLevel.MEMORY_AND_DISK)
+    freq = P.length_frequencies(P.array_domain_lengths(df, catalogue)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        parts = [s.select(*COLUMNS) for s in sections(df, catalogue, counts)]
+        parts = [s.select(*COLUMNS) for s in sections(df, catalogue, counts, freq)]
         report = reduce(DataFrame.unionByName, parts)
-        rows = df.sparkSession.createDataFrame(report.collect(), report.schema)
+        found = report.collect()
     finally:
         counts.unpersist()
+        freq.unpersist()
+    # the missing section repeats scalar statistics of the columns where they matter
+    often = {r["column"] for r in found
+             if r["section"] == "scalar" and r["metric"] == "missing_rate" and (r["value"] or 0) > P.REPORT_ABOVE}
+    found += [("missing", *r[1:]) for r in found
+              if r["section"] == "scalar" and r["metric"] in ("missing_count", "missing_rate") and r["column"] in often]
+    rows = df.sparkSession.createDataFrame(found, report.schema)
     advice = suggestions(rows, catalogue).select(
         F.lit("suggestions").alias("section"), "column", F.col("rule").alias("metric"), "value",
         F.lit(None).cast("string").alias("text"),

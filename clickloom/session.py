@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set only where the cluster has not chosen a value itself.
 DEFAULTS = {
@@ -48,6 +48,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    For tables that many jobs read: the lineage ends there, and losing an executor loses nothing.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
     """Give MLlib's iterative trainers a reliable checkpoint folder if none is set."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -75,15 +75,11 @@ def merge_states(*states: DataFrame) -> DataFrame:
 def finish(state: DataFrame, probs: list[float] = PROBS) -> DataFrame:
     """Statistics from a state: counts, range, mean and deviation exact, percentiles and distinct estimated."""
     held = F.col("valid_count") > 0
-    estimates = state.select(
-        "column",
-        F.when(held, F.hll_sketch_estimate("hll")).otherwise(F.lit(0)).alias("approx_distinct"),
-        *[
-            F.when(held, F.kll_sketch_get_quantile_double("kll", F.lit(p))).alias(f"approx_{probe_name(p)}")
-            for p in probs
-        ],
-    )
-    return finish_moments(state).join(F.broadcast(estimates), "column")
+    distinct = F.when(held, F.hll_sketch_estimate("hll")).otherwise(F.lit(0)).alias("approx_distinct")
+    quantiles = [
+        F.when(held, F.kll_sketch_get_quantile_double("kll", F.lit(p))).alias(f"approx_{probe_name(p)}") for p in probs
+    ]
+    return finish_moments(state, extra=[distinct, *quantiles])
 
 
 def string_state(df: DataFrame, columns: list[str]) -> DataFrame:
