@@ -725,7 +725,7 @@ def incremental_profile(spark, sf):
     stream = T.stream_files(spark, sf, schema, glob="lineitem.parquet")
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     where = work_dir(spark, "profile")
-    state = T.run_profile(T.profile_state(T.measures(stream, columns)), f"p{where[-32:]}", where)
+    state = T.run_profile(T.profile_state(T.measures(stream, columns)), where)
     exact = ["column", "total", "null_count", "null_rate", "valid_count", "min", "max", "mean", "std"]
     return tidy(T.finish(state).select(*exact), doubles=["null_rate", "min", "max", "mean", "std"])
 
@@ -735,7 +735,7 @@ def incremental_arrays(spark, sf):
     schema = V.table(spark, sf, "embeddings").schema
     stream = T.stream_files(spark, sf, schema, glob="embeddings.parquet")
     where = work_dir(spark, "profile")
-    state = T.run_profile(T.profile_state(T.measures(stream, ["embedding"])), f"p{where[-32:]}", where)
+    state = T.run_profile(T.profile_state(T.measures(stream, ["embedding"])), where)
     exact = ["column", "total", "null_count", "valid_count", "min", "max", "mean", "std"]
     return tidy(T.finish(state).select(*exact), doubles=["min", "max", "mean", "std"])
 
@@ -745,5 +745,5 @@ def incremental_strings(spark, sf):
     schema = V.table(spark, sf, "documents").schema
     stream = T.stream_files(spark, sf, schema, glob="documents.parquet")
     where = work_dir(spark, "profile")
-    state = T.run_profile(T.string_state(stream, ["lang", "source"]), f"p{where[-32:]}", where)
+    state = T.run_profile(T.string_state(stream, ["lang", "source"]), where)
     return T.finish_strings(state).select("column", "total", "null_count")

@@ -8,6 +8,8 @@ The state has catalogue size; a new file costs one scan of it and no reading of
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,19 +117,30 @@ def stream_files(
     return reader.parquet(path)
 
 
-def run_profile(state: DataFrame, name: str, checkpoint: str) -> DataFrame:
+def run_profile(state: DataFrame, where: str) -> DataFrame:
     """Process all files not seen yet and return the current state, a table with one row per column.
 
-    ``state`` is ``profile_state`` or ``string_state`` over ``stream_files``. Calling this again with the
-    same ``checkpoint`` adds new files only. The result table lives in the session; write it out to keep it.
+    ``state`` is ``profile_state`` or ``string_state`` over ``stream_files``; ``where`` is a folder that
+    all executors reach. It keeps the checkpoint and the state after each run, so calling this again adds
+    new files only. Every run that saw data writes the complete state, never a difference: a driver that
+    stops after the last commit but before that write is made good by the next file.
     """
+    spark = state.sparkSession
+    name = f"state_{uuid.uuid4().hex}"
     query = (
         state.writeStream.outputMode("complete")
         .format("memory")
         .queryName(name)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{where}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return state.sparkSession.table(name)
+    current = spark.table(name)
+    batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
+    if batches:
+        current.write.mode("overwrite").parquet(f"{where}/states/batch={max(batches)}")
+    spark.catalog.dropTempView(name)
+    kept = spark.read.parquet(f"{where}/states")
+    # one row per column and run
+    return kept.filter(kept["batch"] == kept.agg(F.max("batch")).scalar()).drop("batch")
