@@ -1,4 +1,10 @@
-"""Array column builders for sequences that already sit inside one row."""
+"""Array column builders for sequences that already sit inside one row.
+
+A lambda over array elements is interpreted, one call per element; ``array_min``, ``array_max`` and
+``array_contains`` are compiled loops. Where those can show that an array needs no work, the builders
+return it as it is and keep the lambda for the others. ``array_contains`` gives NULL for an array with
+NULL elements, which sends it to the lambda too.
+"""
 
 from __future__ import annotations
 
@@ -15,19 +21,47 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def pad_int(c: Column | str, n: int) -> Column:
-    """The first ``n`` ids, non-positive ones as 0, filled with 0 to exactly ``n``; NULL is all 0."""
-    head = F.slice(F.coalesce(as_col(c), empty("bigint")), 1, n)
+def _fill(head: Column, missing: Column, zero: Column) -> Column:
+    return F.concat(head, F.array_repeat(zero, missing))
+
+
+def pad_int(c: Column | str, n: int, vocab: int | None = None, strict: bool = False, name: str = "") -> Column:
+    """The first ``n`` ids, non-positive ones as 0, filled with 0 to exactly ``n``; NULL is all 0.
+
+    With ``vocab``, ids at or above it become 0 too, or fail the job when ``strict``.
+    """
     zero = F.lit(0).cast("bigint")
-    cleaned = F.transform(head, lambda e: F.greatest(e, zero))
-    return F.slice(F.concat(cleaned, F.array_repeat(zero, n)), 1, n)
+    if vocab is not None and vocab <= 0:
+        return F.array_repeat(zero, n)
+    raw = F.coalesce(as_col(c).cast("array<bigint>"), empty("bigint"))
+    clean = (F.array_min(raw) > 0) & ~F.array_contains(raw, zero)
+    if vocab is not None:
+        clean = clean & (F.array_max(raw) < vocab)
+
+    def fix(e: Column) -> Column:
+        if vocab is None:
+            return F.greatest(e, zero)
+        if strict:
+            return limit_vocab(F.greatest(e, zero), vocab, strict, name)
+        return F.when((e > 0) & (e < vocab), e).otherwise(zero)
+
+    head = F.slice(raw, 1, n)
+    return _fill(F.when(clean, head).otherwise(F.transform(head, fix)), _missing(raw, n), zero)
+
+
+def _missing(raw: Column, n: int) -> Column:
+    return F.greatest(F.lit(n) - F.size(raw), F.lit(0))
 
 
 def pad_float(c: Column | str, n: int) -> Column:
-    """The first ``n`` values filled with 0.0 to exactly ``n``; signs are kept."""
-    head = F.slice(F.coalesce(as_col(c), empty("float")), 1, n)
+    """The first ``n`` values filled with 0.0 to exactly ``n``; signs are kept, NULL elements are 0.0."""
     zero = F.lit(0).cast("float")
-    return F.slice(F.concat(F.transform(head, lambda e: F.coalesce(e, zero)), F.array_repeat(zero, n)), 1, n)
+    raw = F.coalesce(as_col(c).cast("array<float>"), empty("float"))
+    head = F.slice(raw, 1, n)
+    # true or false unless there are NULL elements
+    whole = F.array_contains(raw, zero).isNotNull()
+    fixed = F.when(whole, head).otherwise(F.transform(head, lambda e: F.coalesce(e, zero)))
+    return _fill(fixed, _missing(raw, n), zero)
 
 
 def head_length(c: Column | str, n: int) -> Column:
@@ -37,20 +71,25 @@ def head_length(c: Column | str, n: int) -> Column:
 
 def valid_length(c: Column | str) -> Column:
     """How many elements are above 0; NULL array is 0."""
-    return F.coalesce(F.size(F.filter(as_col(c), lambda e: e > 0)), F.lit(0))
+    c = as_col(c)
+    all_valid = (F.array_min(c) > 0) & ~F.array_contains(c, F.lit(0))
+    return F.coalesce(F.when(all_valid, F.size(c)).otherwise(F.size(F.filter(c, lambda e: e > 0))), F.lit(0))
 
 
 def nonzero_count(c: Column | str) -> Column:
     """How many elements differ from 0 (negatives count); NULL array is 0."""
-    return F.coalesce(F.size(F.filter(as_col(c), lambda e: e != 0)), F.lit(0))
+    return F.coalesce(F.size(active_items(c)), F.lit(0))
 
 
 def active_items(c: Column | str) -> Column:
-    return F.filter(as_col(c), lambda e: e != 0)
+    """The elements other than 0."""
+    c = as_col(c)
+    return F.when(~F.array_contains(c, F.lit(0)), c).otherwise(F.filter(c, lambda e: e != 0))
 
 
 def has_valid(c: Column | str) -> Column:
-    return F.coalesce(F.exists(as_col(c), lambda e: e > 0), F.lit(False))
+    """Whether any element is above 0."""
+    return F.coalesce(F.array_max(as_col(c)) > 0, F.lit(False))
 
 
 def last_k(c: Column | str, k: int) -> Column:
@@ -59,10 +98,6 @@ def last_k(c: Column | str, k: int) -> Column:
     return F.slice(c, F.greatest(F.size(c) - k + 1, F.lit(1)), F.lit(k))
 
 
-def limit_vocab_array(c: Column, vocab: int, strict: bool = False, name: str = "") -> Column:
-    return F.transform(c, lambda e: limit_vocab(e, vocab, strict, name))
-
-
 def time_bucket_array(request_ts: Column | str, c: Column | str, n: int, edges: list[int] = TIME_EDGES) -> Column:
     """Time buckets of the first ``n`` event times, filled with 0 to exactly ``n``."""
     return F.transform(pad_int(c, n), lambda e: time_bucket(request_ts, e, edges))

@@ -19,11 +19,11 @@ def int_feature(f: Feature, clip_vocab: bool = True) -> Column:
     strict = not clip_vocab
     if f.scalar:
         return F.array(limit_vocab(clean_id(f.column), f.vocab, strict, f.column))
-    return A.limit_vocab_array(A.pad_int(f.column, f.dim), f.vocab, strict, f.column)
+    return A.pad_int(f.column, f.dim, f.vocab, strict, f.column)
 
 
 def seq_feature(f: Feature, n: int, clip_vocab: bool = True) -> Column:
-    return A.limit_vocab_array(A.pad_int(f.column, n), f.vocab, not clip_vocab, f.column)
+    return A.pad_int(f.column, n, f.vocab, not clip_vocab, f.column)
 
 
 def _vector(parts: list[Column], kind: str) -> Column:
@@ -68,10 +68,13 @@ def prepare_rows(
     return df.select(*out)
 
 
+OUTSIDE = "array<struct<column: string, vocab: bigint, value: bigint>>"
+
+
 def _outside(ids: Column, f: Feature) -> Column:
     name, vocab = F.lit(f.column).alias("column"), F.lit(f.vocab).cast("bigint").alias("vocab")
-    bad = F.filter(ids, lambda e: e >= f.vocab)
-    return F.transform(bad, lambda e: F.struct(name, vocab, e.alias("value")))
+    bad = F.transform(F.filter(ids, lambda e: e >= f.vocab), lambda e: F.struct(name, vocab, e.alias("value")))
+    return F.when(F.array_max(ids) >= f.vocab, bad).otherwise(F.array().cast(OUTSIDE))
 
 
 def out_of_vocabulary(df: DataFrame, catalogue: Catalogue) -> DataFrame:
@@ -84,12 +87,11 @@ def out_of_vocabulary(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     for f in catalogue.features:
         if not f.vocab or f.vocab <= 0 or f.is_ts or f.column not in df.columns:
             continue
-        if f.group == "seq":
-            used = A.pad_int(f.column, catalogue.max_len(f.domain))
-        elif f.scalar:
+        if f.group != "seq" and f.scalar:
             used = F.array(clean_id(f.column))
         else:
-            used = A.pad_int(f.column, f.dim)
+            n = catalogue.max_len(f.domain) if f.group == "seq" else f.dim
+            used = F.slice(F.coalesce(F.col(f.column), A.empty("bigint")), 1, n)
         parts.append(_outside(used, f))
     found = df.select(F.inline(F.concat(*parts)))
     return found.groupBy("column", "vocab").agg(

@@ -12,7 +12,7 @@ purpose and are never shared:
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
@@ -88,19 +88,29 @@ def column_census(df: DataFrame) -> DataFrame:
 # ---- long forms ---------------------------------------------------------------------------------
 
 
+def long_form(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``(column, value)`` rows of columns of one type; NULLs are kept.
+
+    One array exploded by position: the generated code stays small for hundreds of columns, which an
+    unpivot with one projection per column does not.
+    """
+    names = F.array(*[F.lit(c) for c in columns])
+    rows = df.select(F.posexplode(F.array(*columns.values())).alias("_pos", "value"))
+    return rows.select(F.get(names, F.col("_pos")).alias("column"), "value")
+
+
 def scalar_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value double)`` rows of scalar columns; NULLs are kept."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return long_form(df, {c: F.col(c).cast("double") for c in columns})
 
 
 def string_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    return long_form(df, {c: F.col(c).cast("string") for c in columns})
 
 
 def array_long(df: DataFrame, columns: list[str], element: str = "double") -> DataFrame:
-    """``(column, value)`` rows of array elements. Columns are unpivoted before the arrays are exploded."""
-    wide = df.select(*[F.col(c).cast(f"array<{element}>").alias(c) for c in columns])
-    return wide.unpivot([], columns, "column", "items").select("column", F.explode("items").alias("value"))
+    """``(column, value)`` rows of array elements."""
+    arrays = long_form(df, {c: F.col(c).cast(f"array<{element}>") for c in columns})
+    return arrays.select("column", F.explode("value").alias("value"))
 
 
 def value_counts(long: DataFrame, keys: list[str] = ["column"]) -> DataFrame:
@@ -271,8 +281,8 @@ def array_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Empty and NULL arrays pass the explode as a row without a position, so one scan serves all.
     """
-    wide = df.select(*[F.col(c).cast("array<double>").alias(c) for c in columns]).unpivot([], columns, "column", "items")
-    elements = wide.select("column", F.posexplode_outer("items").alias("pos", "value"))
+    arrays = long_form(df, {c: F.col(c).cast("array<double>") for c in columns})
+    elements = arrays.select("column", F.posexplode_outer("value").alias("pos", "value"))
     v = F.when(F.col("value") > 0, F.col("value"))
     stats = elements.groupBy("column").agg(
         (F.coalesce(F.max("pos") + 1, F.lit(0))).cast("bigint").alias("max_dim"),
@@ -296,7 +306,7 @@ def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per array column: lengths of non-NULL arrays (mean, population deviation, percentiles, share of empty)
     and, over all elements, count, range, mean and population deviation."""
     probs = [0.5, 0.75, 0.9, 0.95, 0.99]
-    sizes = df.select(*[F.size(c).cast("bigint").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    sizes = long_form(df, {c: F.size(c).cast("bigint") for c in columns})
     known = F.when(F.col("value").isNotNull(), F.col("count"))
     x = F.col("value").cast("double")
     n, total, squares = F.sum(known), F.sum(known * x), F.sum(known * x * x)
@@ -388,11 +398,17 @@ def domain_coverage(freq: DataFrame) -> DataFrame:
 
 
 def sequence_value_counts(df: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """``(domain, column, value, count)`` over ids above 0 of all sequence columns in one pass."""
+    """``(domain, column, value, count)`` over ids above 0 of all sequence columns in one pass.
+
+    Grouped by the position of the column; names are put on the de-duplicated rows.
+    """
     present = [f for f in catalogue.group("seq") if f.column in df.columns]
-    domain_of = F.create_map(*[F.lit(x) for f in present for x in (f.column, f.domain)])
-    long = array_long(df, [f.column for f in present], "bigint").filter("value > 0")
-    return value_counts(long).select(domain_of[F.col("column")].alias("domain"), "column", "value", "count")
+    arrays = F.array(*[F.col(f.column).cast("array<bigint>") for f in present])
+    elements = df.select(F.posexplode(arrays).alias("_pos", "items")).select("_pos", F.explode("items").alias("value"))
+    counts = value_counts(elements.filter("value > 0"), ["_pos"])
+    domains, columns = (F.array(*[F.lit(x) for x in names]) for names in zip(*[(f.domain, f.column) for f in present]))
+    at = F.col("_pos")
+    return counts.select(F.get(domains, at).alias("domain"), F.get(columns, at).alias("column"), "value", "count")
 
 
 def vocab_coverage(counts: DataFrame, declared: DataFrame) -> DataFrame:
@@ -425,53 +441,70 @@ def timestamp_fields(counts: DataFrame, keys: list[str] = ["column"]) -> DataFra
     )
 
 
+BITS = 62
+
+
 def domain_overlap(ids: DataFrame, domains: list[str], domain: str = "domain", item: str = "id") -> DataFrame:
     """Shared ids of every pair of domains, pairs without any included.
 
     Each id carries one bit per domain it occurs in, so one aggregation by id with map-side combine
-    replaces the self-join, and no pairs of rows are formed. Domains beyond 62 use further words.
+    replaces the self-join. Ids with the same bits are then counted as one row; only these rows are
+    turned into pairs of domains. Domains beyond 62 use further words.
     """
-    per_word = 62
-    words = [domains[i : i + per_word] for i in range(0, len(domains), per_word)]
-    bit = {d: (f"_m{w}", 1 << i) for w, names in enumerate(words) for i, d in enumerate(names)}
+    words = [domains[i : i + BITS] for i in range(0, len(domains), BITS)]
     masks = []
     for w, names in enumerate(words):
         code = F.lit(0).cast("bigint")
-        for d in names:
-            code = F.when(F.col(domain) == d, F.lit(bit[d][1])).otherwise(code)
+        for i, d in enumerate(names):
+            code = F.when(F.col(domain) == d, F.lit(1 << i).cast("bigint")).otherwise(code)
         masks.append(F.bit_or(code).alias(f"_m{w}"))
+    words_of = [f"_m{w}" for w in range(len(words))]
     by_mask = (
         ids.filter(F.col(item) > 0)
         .groupBy(item)
         .agg(*masks)
-        .groupBy(*[f"_m{w}" for w in range(len(words))])
+        .groupBy(*words_of)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    held = F.array_compact(
+        F.array(
+            *[
+                F.when(F.col(f"_m{w}").bitwiseAND(F.lit(1 << i)) != 0, F.lit(d))
+                for w, names in enumerate(words)
+                for i, d in enumerate(names)
+            ]
+        )
+    )
+    rows = by_mask.select("_n", held.alias("_held")).select(
+        "_n", "_held", F.posexplode("_held").alias("_i", "domain_a")
+    )
+    # every domain is paired with itself, which counts its ids, and with those after it
+    counts = (
+        rows.select("_n", "domain_a", F.explode(F.slice("_held", F.col("_i") + 1, F.size("_held"))).alias("domain_b"))
+        .groupBy("domain_a", "domain_b")
+        .agg(F.sum("_n").alias("_n"))
+    )
+    pairs = ids.sparkSession.createDataFrame(
+        [(a, b) for i, a in enumerate(domains) for b in domains[i + 1 :]], "domain_a string, domain_b string"
+    )
 
-    def having(*names: str) -> Column:
-        cond = F.lit(True)
-        for d in names:
-            cond = cond & (F.col(bit[d][0]).bitwiseAND(F.lit(bit[d][1])) != 0)
-        return F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
+    def of(side: str, name: str) -> DataFrame:
+        own = counts.filter("domain_a = domain_b")
+        return F.broadcast(own.select(F.col("domain_a").alias(side), F.col("_n").alias(name)))
 
-    pairs = [(a, b) for i, a in enumerate(domains) for b in domains[i + 1 :]]
-    totals = by_mask.agg(
-        *[having(d).alias(f"u{i}") for i, d in enumerate(domains)],
-        *[having(a, b).alias(f"o{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    at = {d: F.col(f"u{i}") for i, d in enumerate(domains)}
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        o, one = F.col(f"o{i}"), F.lit(1)
-        rows.append(
-            F.struct(
-                F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"),
-                at[a].alias("unique_a"), at[b].alias("unique_b"), o.alias("overlap"),
-                (o / F.greatest(at[a], one)).alias("rate_a"), (o / F.greatest(at[b], one)).alias("rate_b"),
-                (o / F.greatest(F.least(at[a], at[b]), one) > 0.3).alias("share"),
-            )
-        )
-    return totals.select(F.inline(F.array(*rows)))
+    # all tables here have at most one row per pair of domains
+    o, a, b = (F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_a", "_b"))
+    one = F.lit(1)
+    return (
+        pairs.join(F.broadcast(counts), ["domain_a", "domain_b"], "left")
+        .join(of("domain_a", "_a"), "domain_a", "left")
+        .join(of("domain_b", "_b"), "domain_b", "left")
+        .select(
+            "domain_a", "domain_b", a.alias("unique_a"), b.alias("unique_b"), o.alias("overlap"),
+            (o / F.greatest(a, one)).alias("rate_a"), (o / F.greatest(b, one)).alias("rate_b"),
+            (o / F.greatest(F.least(a, b), one) > 0.3).alias("share"),
+        )
+    )
 
 
 # ---- outliers and correlation -------------------------------------------------------------------
@@ -512,29 +545,34 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     spark = df.sparkSession
     schema = "col_a string, col_b string, n bigint, pearson double"
 
-    def value(c: str) -> Column:
-        v = F.col(c).cast("double")
+    def present(v: Column) -> Column:
         return F.when((v != 0) & ~F.isnan(v), v)
 
-    stats = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count(value(c)).alias(f"c{i}") for i, c in enumerate(columns)],
-        *[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(value(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
-    kept = [(c, stats[f"m{i}"], stats[f"s{i}"]) for i, c in enumerate(columns)
-            if stats["_n"] and stats[f"c{i}"] / stats["_n"] > CORR_PRESENT]
+    stats = (
+        scalar_long(df, columns)
+        .withColumn("value", present(F.col("value")))
+        .groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("total"), F.count("value").alias("n"),
+            F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        )
+        .filter(F.col("n") > F.col("total") * CORR_PRESENT)
+        .collect()
+    )
+    known = {r["column"]: r for r in stats}
+    kept = [c for c in columns if c in known]
     if len(kept) < 2:
         return spark.createDataFrame([], schema)
     d = len(kept)
     # scaling by the deviation keeps the cells of columns of very different size comparable
-    x = [F.coalesce((value(c) - m) / (s or 1.0), F.lit(0.0)) for c, m, s in kept]
-    m = [F.when(value(c).isNull(), 0.0).otherwise(1.0) for c, _, _ in kept]
-    names = [f"x{i}" for i in range(d)] + [f"m{i}" for i in range(d)]
-    parts = df.select(*[e.alias(n) for e, n in zip([*x, *m], names)])
-    squares = [(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(d)]
-    wide = parts.select("*", *squares)
-    vectors = VectorAssembler(inputCols=wide.columns, outputCol="v").transform(wide).select("v")
+    means = F.array(*[F.lit(known[c]["mean"]) for c in kept])
+    scales = F.array(*[F.lit(known[c]["std"] or 1.0) for c in kept])
+    values = F.transform(F.array(*[F.col(c).cast("double") for c in kept]), present)
+    x = F.transform(values, lambda v, i: F.coalesce((v - F.get(means, i)) / F.get(scales, i), F.lit(0.0)))
+    m = F.transform(values, lambda v: F.when(v.isNull(), 0.0).otherwise(1.0))
+    centred = df.select(x.alias("x"), m.alias("m"))
+    squares = F.transform("x", lambda v: v * v)
+    vectors = centred.select(array_to_vector(F.concat("x", "m", squares)).alias("v"))
     g = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
 
     out = []
@@ -547,7 +585,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
             # what rounding leaves of a constant column is no variance
             if n > 1 and vx > 1e-12 * n * n and vy > 1e-12 * n * n:
                 r = (n * sxy - sx * sy) / (vx * vy) ** 0.5
-                out.append((kept[i][0], kept[j][0], int(round(n)), float(min(1.0, max(-1.0, r)))))
+                out.append((kept[i], kept[j], int(round(n)), float(min(1.0, max(-1.0, r)))))
     return spark.createDataFrame(out, schema)
 
 

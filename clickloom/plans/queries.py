@@ -551,7 +551,7 @@ def unified_timeline(spark, sf):
     parts = []
     for d in cat.domains:
         n = cat.max_len(d)
-        seq = A.limit_vocab_array(A.pad_int(f"{d}_seq_1", n), V.VOCAB_ITEM)
+        seq = A.pad_int(f"{d}_seq_1", n, V.VOCAB_ITEM)
         held = A.head_length(f"{d}_seq_1", n)
         buckets = A.time_bucket_array(F.col("timestamp"), f"{d}_seq_3", n)
         both = F.slice(F.arrays_zip(seq.alias("token"), buckets.alias("bucket")), F.lit(1), held)

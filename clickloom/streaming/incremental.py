@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.operators.order_stats import probe_name
-from clickloom.operators.profile import array_long, column_kinds, finish_moments, scalar_long, string_long
+from clickloom.operators.profile import array_long, column_kinds, finish_moments, long_form, scalar_long, string_long
 
 PROBS = [0.5, 0.9, 0.99]
 TOP_COUNTERS = 10_000
@@ -32,8 +32,7 @@ def measures(df: DataFrame, columns: list[str]) -> DataFrame:
     if scalars:
         parts.append(scalar_long(df, scalars))
     if arrays:
-        lengths = df.select(*[F.size(c).cast("double").alias(f"{c}#len") for c in arrays])
-        parts.append(lengths.unpivot([], lengths.columns, "column", "value"))
+        parts.append(long_form(df, {f"{c}#len": F.size(c).cast("double") for c in arrays}))
         elements = array_long(df, arrays)
         parts.append(elements.select(F.concat("column", F.lit("#elem")).alias("column"), "value"))
     out = parts[0]
