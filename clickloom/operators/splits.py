@@ -34,9 +34,18 @@ def row_at(df: DataFrame, order: list[str], rank: int) -> tuple | None:
             return None
         value = found[0]["value"]
         values.append(value)
-        if i + 1 < len(order):
-            rank -= df.filter(F.col(c) < F.lit(value)).count()
-            df = df.filter(F.col(c) == F.lit(value))
+        rest = order[i + 1 :]
+        if rest:
+            same = F.col(c) == F.lit(value)
+            seen = df.agg(
+                F.count_if(F.col(c) < F.lit(value)).alias("_below"),
+                F.count_if(same).alias("_same"),
+                *[F.min(F.when(same, F.col(r))).alias(f"_{r}") for r in rest],
+            ).first()
+            if seen["_same"] == 1:
+                return (*values, *[seen[f"_{r}"] for r in rest])
+            rank -= seen["_below"]
+            df = df.filter(same)
     return tuple(values)
 
 

@@ -217,6 +217,109 @@ MEASURES = """m AS (
          CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS DOUBLE) AS a5
   FROM labels l JOIN documents d USING (doc_id))"""
 
+def melt(section: str, source: str, name: str, values: list[str], texts: list[str] = []) -> list[str]:
+    """Metric rows ``(section, column, metric, value, text)`` of a table of named columns."""
+    row = "SELECT '{s}' AS section, {n} AS \"column\", '{m}' AS metric, {v} AS value, {t} AS text FROM {f}"
+    out = [row.format(s=section, n=name, m=v, v=f"round(CAST({v} AS DOUBLE), 6)", t="CAST(NULL AS VARCHAR)", f=source) for v in values]
+    return out + [row.format(s=section, n=name, m=t, v="CAST(NULL AS DOUBLE)", t=t, f=source) for t in texts]
+
+
+def report_sql() -> str:
+    """All sections of the report over the wide rows. Needs ``wide``, ``kept`` and ``lengths``."""
+    scalars = {"user_int_feats_1": "f1", "user_int_feats_2": "f2", "item_int_feats_4": "f4"}
+    cols = list(scalars)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    corr = " UNION ALL ".join(
+        f"SELECT '{a}/{b}' AS c, round(corr(nullif({a}, 0), nullif({b}, 0)), 4) AS pearson FROM s3 WHERE {a} <> 0 AND {b} <> 0 "
+        f"HAVING {present(a, 's3')} > 0.2 AND {present(b, 's3')} > 0.2"
+        for a, b in pairs
+    )
+    fields = [("item", 1, VOCAB_ITEM), ("id", 2, VOCAB_ID), ("ts", 3, 0)]
+    seq = " UNION ALL ".join(f"SELECT domain, domain || '_seq_{n}' AS c, {f} AS v FROM kept" for f, n, _ in fields)
+    declared = ", ".join(f"('{d}_seq_{n}', {v}, {'true' if f == 'ts' else 'false'})" for d in DOMAINS for f, n, v in fields)
+    domain_pairs = ", ".join(f"('{a}', '{b}')" for i, a in enumerate(DOMAINS) for b in DOMAINS[i + 1 :])
+    sections = [
+        *melt("label", "lab", "'label_type'", ["positive", "negative", "total", "pos_rate", "neg_per_pos"]),
+        *melt("domain_coverage", "cover", "domain", ["with_seq", "without_seq", "coverage"]),
+        *melt("seq_length", "slen", "domain",
+              ["mean_len", "p50", "p90", "p99", "max_len", "max_raw_len", "zero_seq_rate", "suggested_cap"]),
+        *melt("scalar", "stats", "c",
+              ["total", "missing_count", "missing_rate", "valid_count", "min", "max", "mean", "std", "p50", "p90", "p99"]),
+        *melt("missing", "(SELECT * FROM stats WHERE missing_rate > 0.01)", "c", ["missing_count", "missing_rate"]),
+        "SELECT 'scalar_top', c, 'top' || r, CAST(n AS DOUBLE), CAST(CAST(v AS BIGINT) AS VARCHAR) FROM stop WHERE r <= 10",
+        *melt("correlation", "strong", "c", ["pearson"]),
+        *melt("outliers", "outl", '"column"', ["outlier_count", "outlier_rate"], ["severity"]),
+        *melt("array", "arr", "'user_int_feats_3'", ["max_dim", "total_values", "valid_count", "missing_rate", "min", "max", "mean"]),
+        "SELECT 'array_top', 'user_int_feats_3', 'top' || r, CAST(n AS DOUBLE), CAST(v AS VARCHAR) FROM atop WHERE r <= 10",
+        *melt("vocab", "voc", "c", ["vocab", "unique_ids", "coverage_rate"], ["note"]),
+        *melt("timestamp", "stamp", "c", ["in_range", "declared"]),
+        *melt("overlap", "shared", "a || '/' || b", ["unique_a", "unique_b", "overlap", "rate_a", "rate_b", "share"]),
+    ]
+    values = " UNION ALL ".join(f'SELECT \'{c}\' AS "column", {c} AS v FROM s3' for c in cols)
+    return f"""s3 AS (SELECT {", ".join(f"CAST({f} AS DOUBLE) AS {c}" for c, f in scalars.items())} FROM wide),
+long AS ({values}),
+lab AS (
+  SELECT count(*) FILTER (n_purchase % 2 = 1) AS positive, count(*) FILTER (n_purchase % 2 = 0) AS negative, count(*) AS total,
+         positive / greatest(total, 1) AS pos_rate, negative / greatest(positive, 1) AS neg_per_pos FROM wide),
+cover AS (
+  SELECT domain, count(*) FILTER (valid_len > 0) AS with_seq, count(*) FILTER (valid_len = 0) AS without_seq,
+         with_seq / count(*) AS coverage FROM lengths GROUP BY 1),
+slen AS (
+  SELECT domain, avg(valid_len) AS mean_len, quantile_cont(CAST(valid_len AS DOUBLE), 0.5) AS p50,
+         quantile_cont(CAST(valid_len AS DOUBLE), 0.9) AS p90, quantile_cont(CAST(valid_len AS DOUBLE), 0.99) AS p99,
+         max(valid_len) AS max_len, max(raw_len) AS max_raw_len, count(*) FILTER (valid_len = 0) / count(*) AS zero_seq_rate,
+         floor(p90) AS suggested_cap FROM lengths GROUP BY 1),
+stats AS (
+  SELECT "column" AS c, count(*) AS total, count(*) FILTER (v <= 0) AS missing_count, missing_count / total AS missing_rate,
+         count(*) FILTER (v <> 0) AS valid_count, min(v) FILTER (v <> 0) AS min, max(v) FILTER (v <> 0) AS max,
+         avg(v) FILTER (v <> 0) AS mean, stddev_samp(v) FILTER (v <> 0) AS std, quantile_cont(v, 0.5) FILTER (v <> 0) AS p50,
+         quantile_cont(v, 0.9) FILTER (v <> 0) AS p90, quantile_cont(v, 0.99) FILTER (v <> 0) AS p99 FROM long GROUP BY 1),
+stop AS (
+  SELECT "column" AS c, v, count(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, v) AS r
+  FROM long WHERE v <> 0 GROUP BY 1, 2),
+strong AS (SELECT * FROM ({corr}) WHERE abs(pearson) >= 0.9),
+q AS (SELECT "column", quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM long WHERE v > 0 GROUP BY 1),
+outl AS (
+  SELECT "column", count(*) AS n, count(*) FILTER (v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) AS outlier_count,
+         outlier_count / n AS outlier_rate,
+         CASE WHEN outlier_rate > 0.01 THEN 'severe' WHEN outlier_rate > 0.0001 THEN 'mild' ELSE 'rare' END AS severity
+  FROM long JOIN q USING ("column") WHERE v > 0 GROUP BY 1 HAVING n >= 10 AND outlier_count > 0),
+clicks AS (SELECT * FROM kept WHERE domain = 'click'),
+arr AS (
+  SELECT coalesce(max(pos) + 1, 0) AS max_dim, count(*) AS total_values, count(*) FILTER (item > 0) AS valid_count,
+         (total_values - valid_count) / greatest(total_values, 1) AS missing_rate, min(item) FILTER (item > 0) AS min,
+         max(item) FILTER (item > 0) AS max, avg(item) FILTER (item > 0) AS mean FROM clicks),
+atop AS (SELECT item AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item) AS r FROM clicks WHERE item > 0 GROUP BY 1),
+el AS ({seq}),
+declared(c, vocab, is_ts) AS (VALUES {declared}),
+seen AS (
+  SELECT c, count(DISTINCT v) AS u, count(*) FILTER (v BETWEEN 1577836800 AND 1893456000) / count(*) AS in_range FROM el WHERE v > 0 GROUP BY 1),
+voc AS (
+  SELECT c, vocab, coalesce(u, 0) AS unique_ids, coalesce(u, 0) / greatest(vocab, 1) AS coverage_rate,
+         CASE WHEN is_ts THEN 'timestamp' WHEN coalesce(u, 0) < vocab * 0.01 THEN 'shrink' ELSE '' END AS note
+  FROM declared LEFT JOIN seen USING (c)),
+stamp AS (SELECT c, in_range, CAST(is_ts AS INTEGER) AS declared FROM seen JOIN declared USING (c) WHERE in_range > 0.8),
+ids AS (SELECT DISTINCT domain, item FROM kept WHERE item > 0),
+u AS (SELECT domain, count(*) AS n FROM ids GROUP BY 1),
+dp(a, b) AS (VALUES {domain_pairs}),
+both_in AS (
+  SELECT x.domain AS a, y.domain AS b, count(*) AS n FROM ids x JOIN ids y ON x.item = y.item AND x.domain < y.domain GROUP BY 1, 2),
+shared AS (
+  SELECT dp.a, dp.b, ua.n AS unique_a, ub.n AS unique_b, coalesce(k.n, 0) AS overlap, overlap / greatest(unique_a, 1) AS rate_a,
+         overlap / greatest(unique_b, 1) AS rate_b, CAST(overlap / greatest(least(unique_a, unique_b), 1) > 0.3 AS INTEGER) AS share
+  FROM dp LEFT JOIN both_in k ON k.a = dp.a AND k.b = dp.b JOIN u ua ON ua.domain = dp.a JOIN u ub ON ub.domain = dp.b),
+rep AS ({" UNION ALL ".join(sections)}),
+hits AS (
+  SELECT 'imbalance' AS rule, 'label_type' AS "column", negative / positive AS value FROM lab WHERE positive > 0 AND negative / positive > 20
+  UNION ALL SELECT 'missing', "column", value FROM rep WHERE section = 'missing' AND metric = 'missing_rate' AND value > 0.5
+  UNION ALL SELECT 'correlated', c, pearson FROM strong
+  UNION ALL SELECT 'low_coverage', domain, coverage FROM cover WHERE coverage < 0.5
+  UNION ALL SELECT 'outliers', "column", NULL FROM outl WHERE severity IN ('mild', 'severe'))
+SELECT * FROM rep
+UNION ALL SELECT 'suggestions', "column", rule, round(value, 6), NULL FROM hits
+UNION ALL SELECT 'suggestions', '-', 'ok', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM hits)"""
+
+
 ORACLE: dict[str, str] = {
     "clean_scalar": f"""WITH {ACCT} SELECT c_custkey, CASE WHEN nation > 0 THEN nation ELSE 0 END AS nation,
 CASE WHEN balance > 0 THEN balance ELSE 0 END AS balance FROM acct""",
@@ -406,6 +509,16 @@ hits AS (
   UNION ALL SELECT 'low_coverage', domain, round(r, 6) FROM cov WHERE r < 0.5
   UNION ALL SELECT 'outliers', "column", NULL FROM outl WHERE severity IN ('mild', 'severe'))
 SELECT * FROM hits UNION ALL SELECT 'ok', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM hits)""",
+    "sketch_percentiles": f"""WITH {FEATS}, {long_sql(FEAT, "feat")}
+SELECT "column", true AS p50_in_bounds, true AS p90_in_bounds, true AS p99_in_bounds, count(v) AS n FROM long GROUP BY 1""",
+    "sketch_strings": """WITH t AS (
+  SELECT 'lang' AS "column", nullif(lang, 'en') AS v FROM documents UNION ALL SELECT 'source', source FROM documents),
+n AS (SELECT "column", count(*) AS total, count(DISTINCT v) AS approx_unique FROM t GROUP BY 1),
+c AS (SELECT "column", v, count(*) AS count FROM t GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, v) AS rank FROM c WHERE v IS NOT NULL)
+SELECT "column", total, approx_unique, v AS item, count FROM r JOIN n USING ("column") WHERE rank <= 20""",
+    "full_report": f"""WITH {BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {WIDE_SCALARS}, lengths AS ({lengths_of("kept")}),
+{report_sql()}""",
     "recent_k": f"""WITH {BEH}, {KEPT} SELECT user_id, domain, recency, event_id, item FROM recent WHERE recency <= 64""",
     "recent_arrays": f"""WITH {BEH}, {KEPT} SELECT user_id,
 row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS pos, item AS value FROM kept WHERE domain = 'click' AND recency <= 8""",

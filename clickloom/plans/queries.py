@@ -472,13 +472,28 @@ def suggestions(spark, sf):
 
 @query
 def full_report(spark, sf):
-    return tidy(G.full_report(stored(V.wide(spark, sf), "wide"), V.wide_catalogue()), doubles=["value"])
+    report = G.full_report(stored(V.wide(spark, sf), "wide"), V.wide_catalogue())
+    return tidy(report.na.fill({"column": "-"}), doubles=["value"])
 
 
 @query
 def sketch_percentiles(spark, sf):
-    """One-pass estimates for tables where exact percentiles are not worth a second scan."""
-    return sketch_quantiles(P.scalar_long(V.features(spark, sf), V.FEAT), ["column"], "value", [0.5, 0.9, 0.99])
+    """One-pass estimates, each with whether its true rank is within 2% of the one asked for."""
+    long = P.scalar_long(V.features(spark, sf), V.FEAT).filter("value is not null")
+    probs = [0.5, 0.9, 0.99]
+    found = sketch_quantiles(long, ["column"], "value", probs)
+    # one row per column
+    ranked = long.join(F.broadcast(found), "column").groupBy("column").agg(
+        *[
+            (
+                (F.avg((F.col("value") < F.col(f"p{p * 100:g}")).cast("double")) <= p + 0.02)
+                & (F.avg((F.col("value") <= F.col(f"p{p * 100:g}")).cast("double")) >= p - 0.02)
+            ).alias(f"p{p * 100:g}_in_bounds")
+            for p in probs
+        ],
+        F.count(F.lit(1)).alias("n"),
+    )
+    return ranked
 
 
 @query

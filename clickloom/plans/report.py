@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clickloom.catalogue import Catalogue, load_catalogue
 from clickloom.operators import profile as P
 from clickloom.operators.splits import FILE, ROW, first_rows
+from clickloom.session import stored
 from clickloom.sources.readers import read_table
 from clickloom.sources.sinks import export_first_rows, write_report
 
@@ -53,7 +54,7 @@ def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataF
     """All report sections that read the table.
 
     ``counts`` is ``sequence_value_counts``: vocabulary, overlap and timestamp detection read this one
-    de-duplicated table. ``freq`` is ``length_frequencies``. The caller persists both.
+    de-duplicated table. ``freq`` is ``length_frequencies``. The caller keeps both materialized.
     """
     kinds = P.classify_columns(df, catalogue)
     scalars = kinds["user_int/scalar"] + kinds["item_int/scalar"] + kinds["dense/scalar"]
@@ -153,16 +154,18 @@ def suggestions(report: DataFrame, catalogue: Catalogue | None = None) -> DataFr
 
 
 def full_report(df: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """All sections plus the suggestions. The result is catalogue-sized and materialized once; the shared
-    value counts are released afterwards."""
-    counts = P.sequence_value_counts(df, catalogue).persist(StorageLevel.MEMORY_AND_DISK)
+    """All sections plus the suggestions, a table of catalogue size.
+
+    The value counts, which grow with the data, are written to the shared work folder once and read by
+    several sections. Runs when called.
+    """
+    counts = stored(P.sequence_value_counts(df, catalogue), "value_counts")
     freq = P.length_frequencies(P.array_domain_lengths(df, catalogue)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         parts = [s.select(*COLUMNS) for s in sections(df, catalogue, counts, freq)]
         report = reduce(DataFrame.unionByName, parts)
         found = report.collect()
     finally:
-        counts.unpersist()
         freq.unpersist()
     # the missing section repeats scalar statistics of the columns where they matter
     often = {r["column"] for r in found
