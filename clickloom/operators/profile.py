@@ -267,8 +267,8 @@ def string_sketch(df: DataFrame, columns: list[str], k: int = 20, counters: int
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("total"),
-            F.approx_count_distinct("value").alias("approx_unique"),
-            F.expr(f"approx_top_k(value, {k}, {counters})").alias("approx_top"),
+            F.hll_sketch_estimate(F.hll_sketch_agg("value")).alias("approx_unique"),
+            F.expr(f"approx_top_k(value, {k}, {counters}) filter (where value is not null)").alias("approx_top"),
         )
     )
 

@@ -335,7 +335,7 @@ used AS (
   UNION ALL SELECT 'item_int_feats_4', {VOCAB_ITEM}, f4 FROM wide
   UNION ALL SELECT 'user_int_feats_3', {VOCAB_ITEM}, item FROM kept WHERE domain = 'click' AND pos < 4)
 SELECT "column", vocab, count(*) AS oov_count, min(v) AS oov_min, max(v) AS oov_max FROM used WHERE v >= vocab GROUP BY 1, 2""",
-    "label_filter": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_returnflag = 'R'",
+    "label_filter": "SELECT doc_id, CAST(toxic AS BIGINT) AS toxic FROM labels WHERE quality = 1",
     "row_cap": "SELECT least(count(*), 1000) AS n_rows FROM lineitem",
     "first_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000",
     "pad_int": f"""WITH {WORDS}, {positions(16)}

@@ -92,8 +92,7 @@ def oov_report(spark, sf):
 
 @query
 def label_filter(spark, sf):
-    rows = readers.by_label(V.features(spark, sf), 2)
-    return rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"))
+    return readers.by_label(V.table(spark, sf, "labels"), 1, "quality").select("doc_id", big("toxic"))
 
 
 @query

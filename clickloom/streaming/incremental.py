@@ -92,7 +92,7 @@ def string_state(df: DataFrame, columns: list[str]) -> DataFrame:
             F.count(F.lit(1)).alias("total"),
             F.count("value").alias("valid_count"),
             F.hll_sketch_agg("value").alias("hll"),
-            F.expr(f"approx_top_k_accumulate(value, {TOP_COUNTERS})").alias("top"),
+            F.expr(f"approx_top_k_accumulate(value, {TOP_COUNTERS}) filter (where value is not null)").alias("top"),
         )
     )
 

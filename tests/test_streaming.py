@@ -16,7 +16,7 @@ def files(spark, tmp_path):
         spark.range(lo, hi).select(
             F.when(F.col("id") % 7 != 0, F.col("id") * 0.5).alias("x"),
             F.when(F.col("id") % 5 != 0, F.sequence(F.lit(1).cast("bigint"), F.col("id") % 4 + 1)).alias("a"),
-            F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("s"),
+            F.when(F.col("id") % 10 != 9, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("s"),
         ).coalesce(1).write.mode("append").parquet(path)
 
     return path, add
@@ -71,8 +71,8 @@ def test_strings(spark, tmp_path, files):
     schema = spark.createDataFrame([], SCHEMA).schema
     st = T.run_profile(T.string_state(T.stream_files(spark, path, schema), ["s"]), str(tmp_path / "strings"))
     r = one(T.finish_strings(st))
-    assert (r["total"], r["null_count"], r["approx_unique"]) == (90, 0, 3)
-    assert {x["item"]: x["count"] for x in r["approx_top"]} == {"s0": 30, "s1": 30, "s2": 30}
+    assert (r["total"], r["null_count"], r["approx_unique"]) == (90, 9, 3)
+    assert {x["item"]: x["count"] for x in r["approx_top"]} == {"s0": 27, "s1": 27, "s2": 27}
 
 
 def test_empty_columns(spark):
