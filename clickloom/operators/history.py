@@ -18,6 +18,8 @@ from clickloom.functions import arrays as A
 GROUP_LIMIT = 1000
 SALT_PARTS = 64
 PADDING_KEYS = 1024
+# widest vectors that are summed by one expression per position
+SUMMED_DIM = 96
 # weight of padding in a mean: it keeps groups that hold nothing else, and moves no other mean
 _NO_WEIGHT = 1e-300
 
@@ -99,7 +101,8 @@ def mean_pool(
     """Mean vector of the ids above 0 per group and their number; the zero vector where there are none.
 
     Repeated items are counted before the vectors join, so a long history is moved as its different
-    items only. The weighted mean combines on the map side.
+    items only. Vectors of moderate width are summed position by position, which compiles into one hash
+    aggregation; wider ones go through the summarizer of Spark's ML library. Both combine on the map side.
     """
     counts = rows.groupBy(*keys, F.when(F.col(item) > 0, F.col(item)).alias("_item")).agg(
         F.count(F.lit(1)).cast("double").alias("_n")
@@ -107,11 +110,15 @@ def mean_pool(
     weighted = lookup_vectors(counts, vectors, "_item", dim, vec_id, vector).withColumn(
         "_n", F.when(F.col("_item").isNull(), F.lit(0.0)).otherwise(F.col("_n"))
     )
-    pooled = weighted.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"),
-        Summarizer.mean(array_to_vector("vector"), F.greatest("_n", F.lit(_NO_WEIGHT))).alias("_mean"),
-    )
-    mean = F.when(F.col("_total") > 0, vector_to_array("_mean")).otherwise(A.zero_vector(dim))
+    total = F.sum("_n").alias("_total")
+    if dim <= SUMMED_DIM:
+        sums = [F.sum(F.col("_n") * F.get("vector", F.lit(i))).alias(f"_s{i}") for i in range(dim)]
+        pooled = weighted.groupBy(*keys).agg(total, *sums)
+        mean = F.array(*[F.col(f"_s{i}") / F.greatest("_total", F.lit(1.0)) for i in range(dim)])
+    else:
+        weight = F.greatest("_n", F.lit(_NO_WEIGHT))
+        pooled = weighted.groupBy(*keys).agg(total, Summarizer.mean(array_to_vector("vector"), weight).alias("_mean"))
+        mean = F.when(F.col("_total") > 0, vector_to_array("_mean")).otherwise(A.zero_vector(dim))
     return pooled.select(*keys, F.col("_total").cast("bigint").alias("n_valid"), mean.alias("vector"))
 
 

@@ -63,7 +63,9 @@ def test_lookup(log, vectors):
     assert all(r["vector"] == (table.get(r["item"], [0.0] * 4) if r["item"] > 0 else [0.0] * 4) for r in got)
 
 
-def test_mean_pool(spark, log, vectors):
+@pytest.mark.parametrize("summed_dim", [96, 0])
+def test_mean_pool(spark, log, vectors, monkeypatch, summed_dim):
+    monkeypatch.setattr(H, "SUMMED_DIM", summed_dim)
     data, df = log
     table, vec = vectors
     only_padding = spark.createDataFrame([(-1, 77, "a", 0, 5), (-2, 77, "a", -3, 5)], df.schema)
