@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clickloom.catalogue import Catalogue
 from clickloom.operators import history as H
 from clickloom.operators import prepare as R
+from clickloom.sources import readers, sinks
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +179,11 @@ def test_groups(impressions):
 def test_tabular(impressions):
     out = R.tabular_features(impressions, ["user_int_feats_1"], {"user_dense_feats_5": 2}, ["s_7"], ["user_id"])
     assert rows(out) == [(1, [9.0, 1.5, -2.0, 3.0]), (2, [-1.0, 0.0, 0.0, 0.0])]
+
+
+def test_report_sink_and_label_filter(spark, impressions, tmp_path):
+    sinks.write_oov_report(impressions, CAT, str(tmp_path / "oov"))
+    back = spark.read.json(str(tmp_path / "oov"))
+    assert rows(back, "column", "oov_count") == [("s_7", 1), ("t_7", 1), ("user_int_feats_1", 1), ("user_int_feats_2", 1)]
+    assert [r["user_id"] for r in readers.by_label(impressions, 2).collect()] == [1]
+    assert readers.row_cap(impressions, 1).count() == 1
