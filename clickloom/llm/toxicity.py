@@ -3,7 +3,7 @@
 1. A sample of labelled documents, at most ``PER_CLASS`` of each class taken in hash order of the id, is the training set.
 2. Document counts of all its n-grams by class are summed in Spark; the ``FEATURES`` with the largest standardised
    difference become features, each with its log-count ratio r.
-3. A document is the set of features present in its whole text, each worth r. A logistic model on these vectors is
+3. A document is the set of features present in its whole text, each worth r, scaled to length 1. A logistic model on these vectors is
    fitted on the driver (sample and features are bounded by the parameters).
 4. Every document is scored in one pass over its whole text.
 """
@@ -24,7 +24,9 @@ ORDERS = (3, 4, 5, 6)
 PER_CLASS = 4000
 FEATURES = 20_000
 MIN_DOCS = 5
-PENALTY = 1.0
+#: Added to a document's squared length before it is scaled to length 1.
+NORM_FLOOR = 1e-6
+PENALTY = 0.1
 FOLDS, HELD_OUT = 5, 0
 #: Code points hashed at once; a longer text is taken block by block, overlapping by one n-gram.
 BLOCK = 1 << 18
@@ -75,9 +77,9 @@ class Model:
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def score(self, text: str | None) -> float:
-        z = self.bias
-        if len(self.hashes):
-            z += float(self.weights[self.features(text)].sum())
+        z, at = self.bias, self.features(text) if len(self.hashes) else []
+        if len(at):
+            z += float(self.weights[at].sum() / np.sqrt((self.ratios[at] ** 2).sum() + NORM_FLOOR))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -188,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, learn_from: Column
     lengths = np.diff(at.offsets.to_numpy())
     cols, rows = at.values.to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
     y = data.column("label").to_numpy().astype(float)
-    w, bias = logistic(rows, cols, ratios[cols], y, len(ratios), PENALTY)
+    norm = np.sqrt(np.bincount(rows, ratios[cols] ** 2, len(y)) + NORM_FLOOR)
+    w, bias = logistic(rows, cols, ratios[cols] / norm[rows], y, len(ratios), PENALTY)
     return Model(model.hashes, ratios, w * ratios, bias)
 
 
