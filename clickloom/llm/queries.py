@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clickloom.llm import decontaminate, line_dedup, simhash, toxicity
+from clickloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op8_packing": packing.op8_packing,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
