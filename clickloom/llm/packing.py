@@ -15,6 +15,7 @@ third of all pieces share is ranked in many tasks. Windows of a tier are dealt t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -34,7 +35,8 @@ STEP_WINDOWS = 512
 #: Ranks within a length are counted in so many parts.
 BUCKETS = 256
 #: Word ids kept by a worker before it starts afresh.
-CACHE = 400_000
+CACHE = 1_000_000
+_DOUBLE = re.compile(r"\s\s")
 
 
 def default_tokenizer() -> str:
@@ -53,49 +55,51 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's words never reach over a single space that stands before a visible character. A text in which no
-    space is followed by white space or the end is therefore cut before each space, and ids of its words are
-    looked up; other texts are encoded whole.
+    Where white space stands alone, the tokenizer's words end before a space and on both sides of a line break, and a mark
+    after a letter is a word of its own. Such texts are cut there and the ids of their parts looked up, so only parts not
+    met before are encoded; texts with white space next to white space are encoded whole.
     """
 
     def __init__(self, path: str):
-        import re
+        self.path, self.known = path, {"": b""}
 
-        self.path, self.words, self.odd = path, {}, re.compile(r" (?:\s|\Z)")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        tokenizer = _tokenizer(self.path)
-        if len(self.words) > CACHE:
-            self.words.clear()
-        split, whole = [], {}
-        for i, text in enumerate(texts):
-            if self.odd.search(text):
-                whole[i] = None
-                split.append(None)
-            elif text:
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-                if parts is None:
-                    whole[i] = None
-                split.append(parts)
-            else:
-                split.append([])
-        known = self.words
-        new = list({w for parts in split if parts for w in parts if w not in known})
+    def _learn(self, parts: set[str]) -> None:
+        known = self.known
+        marked = [w for w in parts if w[-1] in ".,;:!?" and w[-2:-1].isalpha()]
+        new = list((parts.difference(marked) | {w[:-1] for w in marked} | set(".,;:!?")).difference(known))
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for w, e in zip(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        if whole:
-            found = tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-            whole = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(whole, found, strict=True)}
-        return [whole[i] if parts is None else b"".join([known[w] for w in parts]) for i, parts in enumerate(split)]
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        split = [
+            [t] if "\0" in t or _DOUBLE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts
+        ]
+        whole = [i for i, parts in enumerate(split) if len(parts) == 1]
+        self._learn({w for parts in split if len(parts) > 1 for w in parts}.difference(self.known))
+        known = self.known
+        out = [b"".join([known[w] for w in parts]) if len(parts) > 1 else b"" for parts in split]
+        for i, e in zip(whole, _tokenizer(self.path).encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One per worker process, so that what it knows serves all its tasks."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of every piece of every row; NULL text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([END], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer_path), np.array([END], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
