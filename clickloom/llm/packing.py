@@ -80,12 +80,18 @@ class Encoder:
         split = [
             [t] if "\0" in t or _DOUBLE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts
         ]
-        whole = [i for i, parts in enumerate(split) if len(parts) == 1]
-        self._learn({w for parts in split if len(parts) > 1 for w in parts}.difference(self.known))
-        known = self.known
-        out = [b"".join([known[w] for w in parts]) if len(parts) > 1 else b"" for parts in split]
-        for i, e in zip(whole, _tokenizer(self.path).encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        found = [list(map(self.known.get, parts)) for parts in split]
+        new = {w for parts, ids in zip(split, found, strict=True) if len(parts) > 1 and None in ids for w, i in zip(parts, ids, strict=True) if i is None}
+        self._learn(new)
+        known, out = self.known, []
+        for parts, ids in zip(split, found, strict=True):
+            if len(parts) == 1:
+                e = _tokenizer(self.path).encode(parts[0], add_special_tokens=False)
+                out.append(np.array(e.ids, "<u4").tobytes())
+            elif None in ids:
+                out.append(b"".join([known[w] if i is None else i for w, i in zip(parts, ids, strict=True)]))
+            else:
+                out.append(b"".join(ids))
         return out
 
 
