@@ -164,7 +164,7 @@ def dedup_lines(
     """
     gone = scratch.save(repeated_lines(docs, scratch, min_chars, min_docs, batches), "gone")
     gone = gone.select(F.col("doc_id").alias("line_dedup_id"), F.col("dropped").alias("line_dedup_keys"))
-    joined = docs.join(gone, docs["doc_id"] == gone["line_dedup_id"], "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["line_dedup_id"], "left")
     lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
 
     def stays(line):
