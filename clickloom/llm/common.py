@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.session import work_dir
@@ -56,3 +56,23 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(self.path(name)), True)
+
+
+def ranked(df: DataFrame, by: str, order: list[str], name: str, buckets: int) -> DataFrame:
+    """Adds the gapless rank from 0 of each row among those of equal ``by`` (never NULL), as a column ``name``.
+
+    Rows are counted per hash bucket of ``order``, and only rows of one bucket are ordered in one task, so a value that a
+    third of all rows share is ranked in many tasks. ``df`` must be a saved table, as it is read twice.
+    """
+    keyed = df.withColumn("in_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(by).orderBy("in_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        keyed.groupBy(by, "in_bucket")
+        .count()
+        .withColumn("in_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        .select(F.col(by).alias("of_group"), F.col("in_bucket").alias("of_bucket"), "in_start")
+    )
+    within = F.row_number().over(Window.partitionBy(by, "in_bucket").orderBy(*order)) - 1
+    numbered = keyed.withColumn("in_rank", within)
+    joined = numbered.join(starts, (F.col(by) == F.col("of_group")) & (F.col("in_bucket") == F.col("of_bucket")))
+    return joined.select(*df.columns, (F.col("in_start") + F.col("in_rank")).cast("long").alias(name))

@@ -22,10 +22,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import Scratch, table
+from clickloom.llm.common import Scratch, ranked, table
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -211,23 +211,12 @@ def placed(pieces: DataFrame, scratch: Scratch, window: int = WINDOW, tiers: tup
     schema = "slot_length long, low long, high long, first_sequence long, offset long, tier long, first_in_tier long"
     slot_table = F.broadcast(spark.createDataFrame(slots, schema))  # rows: some per different length
 
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int")
-    keyed = pieces.withColumn("bucket", bucket)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        keyed.groupBy("length", "bucket")
-        .count()
-        .select(F.col("length").alias("in_length"), F.col("bucket").alias("in_bucket"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ranked"))
-    )
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = keyed.withColumn("in_rank", rank)
-    ranked = ranked.join(starts, (F.col("length") == F.col("in_length")) & (F.col("bucket") == F.col("in_bucket")))
-    rank = F.col("ranked") + F.col("in_rank")
-    out = ranked.join(slot_table, (F.col("length") == F.col("slot_length")) & (rank >= F.col("low")) & (rank < F.col("high")))
-    in_tier = F.col("first_in_tier") + rank - F.col("low")
+    pieces_ranked = ranked(pieces, "length", ["doc_id", "start", "ids_crc32"], "rank", BUCKETS)
+    out = pieces_ranked.join(slot_table, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    in_tier = F.col("first_in_tier") + F.col("rank") - F.col("low")
     return out.select(
         *pieces.columns,
-        (F.col("first_sequence") + rank - F.col("low")).alias("sequence_id"),
+        (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"),
         "offset",
         "tier",
         F.floor(in_tier * F.col("tier") / F.lit(STEP_WINDOWS * window)).cast("long").alias("step_group"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from clickloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from clickloom.llm import decontaminate, langid, line_dedup, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": langid.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
