@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from clickloom.llm import decontaminate, langid, line_dedup, packing, sharding, simhash, toxicity
+from clickloom.llm import ann, decontaminate, langid, line_dedup, lm_score, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_sharding": sharding.op6_sharding,
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_packing": packing.op8_packing,
+    "op9_approximate_nearest_neighbours": ann.op9_approximate_nearest_neighbours,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
+#: The others train a model, tokenise, search a graph or follow links of any length, which SQL does not express.
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
+    "op7_lm_scoring": lm_score.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
