@@ -6,8 +6,6 @@ below the shuffle, so a user who holds a third of all events sends at most ``k``
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +16,6 @@ from clickloom.functions import arrays as A
 GROUP_LIMIT = 1000
 SALT_PARTS = 64
 PADDING_KEYS = 1024
-# widest vectors that are summed by one expression per position
-SUMMED_DIM = 96
-# weight of padding in a mean: it keeps groups that hold nothing else, and moves no other mean
-_NO_WEIGHT = 1e-300
 
 
 def latest_per_group(
@@ -49,13 +43,15 @@ def history_arrays(
     domains: list[str],
     order: list[str],
     values: list[str],
-    k: int,
+    k: int | None = None,
 ) -> DataFrame:
     """One row per user with, per domain, arrays ``{domain}_{value}`` of its latest ``k`` events, oldest first.
 
+    Without ``k`` all events are gathered, for keys that bound them, such as user and day.
+
     The arrays of a domain are aligned by position; domains a user lacks have empty arrays.
     """
-    recent = latest_per_group(events, [user, domain], order, k, "_recency")
+    recent = latest_per_group(events, [user, domain], order, k, "_recency") if k else events
     fields = list(dict.fromkeys([*order, *values]))
     per_domain = [
         F.sort_array(F.collect_list(F.when(F.col(domain) == d, F.struct(*fields)))).alias(f"_h{i}")
@@ -71,6 +67,8 @@ def lookup_vectors(
 ) -> DataFrame:
     """Add ``vector`` to every row; padding ids (<= 0) and ids without a vector get the zero vector.
 
+    Of several vectors with one id the largest in array order counts, so rows are never multiplied.
+
     A plain equi-join: the optimizer broadcasts a small vector table and splits skewed items of a
     large one at run time. Padding rows match nothing, so they join under spread negative keys
     instead of meeting in one partition.
@@ -78,6 +76,8 @@ def lookup_vectors(
     table = (
         vectors.filter(F.col(vec_id) > 0)
         .select(F.col(vec_id).cast("bigint").alias("_key"), F.col(vector).cast("array<double>").alias("_vec"))
+        .groupBy("_key")
+        .agg(F.max("_vec").alias("_vec"))
     )
     spread = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(PADDING_KEYS))
     key = F.when(F.col(item) > 0, F.col(item)).otherwise(spread).cast("bigint")
@@ -110,15 +110,9 @@ def mean_pool(
     weighted = lookup_vectors(counts, vectors, "_item", dim, vec_id, vector).withColumn(
         "_n", F.when(F.col("_item").isNull(), F.lit(0.0)).otherwise(F.col("_n"))
     )
-    total = F.sum("_n").alias("_total")
-    if dim <= SUMMED_DIM:
-        sums = [F.sum(F.col("_n") * F.get("vector", F.lit(i))).alias(f"_s{i}") for i in range(dim)]
-        pooled = weighted.groupBy(*keys).agg(total, *sums)
-        mean = F.array(*[F.col(f"_s{i}") / F.greatest("_total", F.lit(1.0)) for i in range(dim)])
-    else:
-        weight = F.greatest("_n", F.lit(_NO_WEIGHT))
-        pooled = weighted.groupBy(*keys).agg(total, Summarizer.mean(array_to_vector("vector"), weight).alias("_mean"))
-        mean = F.when(F.col("_total") > 0, vector_to_array("_mean")).otherwise(A.zero_vector(dim))
+    sums = [F.sum(F.col("_n") * F.get("vector", F.lit(i))).alias(f"_s{i}") for i in range(dim)]
+    pooled = weighted.groupBy(*keys).agg(F.sum("_n").alias("_total"), *sums)
+    mean = F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / F.greatest("_total", F.lit(1.0)) for i in range(dim)])
     return pooled.select(*keys, F.col("_total").cast("bigint").alias("n_valid"), mean.alias("vector"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from clickloom.functions.scalars import FINE_TIME_EDGES, TIME_EDGES
-from clickloom.plans.standins import DIM, DOMAINS, FEAT, SEQ_LEN, VOCAB_ID, VOCAB_ITEM
+from clickloom.plans.standins import CAPS, DIM, DOMAINS, FEAT, VOCAB_ID, VOCAB_ITEM
 
 REQUEST_TS = 1706745600
 
@@ -13,11 +13,13 @@ BEH = """beh AS (
          CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts, value
   FROM events)"""
 
-KEPT = f"""recent AS (
+# the events with user and day as one number: each lies in exactly one wide row
+DAYS = BEH.replace("beh AS", "single AS") + """,
+beh AS (SELECT * REPLACE (user_id * 100000 + ts // 86400 AS user_id) FROM single)"""
+
+KEPT = """recent AS (
   SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY ts DESC, event_id DESC) AS recency FROM beh),
-kept AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY ts, event_id) - 1 AS pos
-  FROM recent WHERE recency <= {SEQ_LEN})"""
+kept AS (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY ts, event_id) - 1 AS pos FROM recent)"""
 
 USERS = "users AS (SELECT user_id, max(ts) AS req FROM beh GROUP BY user_id)"
 
@@ -43,8 +45,7 @@ SCORED = """scored AS (
   FROM lineitem),
 known AS (SELECT CAST(z AS DOUBLE) AS z, y FROM scored WHERE z IS NOT NULL)"""
 
-CAPS = {"click": 10, "view": 20}
-DOMAIN_CAPS = "caps(domain, n) AS (VALUES " + ", ".join(f"('{d}', {CAPS.get(d, SEQ_LEN)})" for d in DOMAINS) + ")"
+DOMAIN_CAPS = "caps(domain, n) AS (VALUES " + ", ".join(f"('{d}', {CAPS[d]})" for d in DOMAINS) + ")"
 PAIRS = "pairs(domain_a, domain_b) AS (VALUES " + ", ".join(
     f"('{a}', '{b}')" for i, a in enumerate(DOMAINS) for b in DOMAINS[i + 1 :]
 ) + ")"
@@ -327,7 +328,7 @@ CASE WHEN balance > 0 THEN balance ELSE 0 END AS balance FROM acct""",
 CAST(label_type = 2 AS BIGINT) AS label, CAST(0 AS BIGINT) AS scoring_label FROM feat""",
     "fill_missing": f"WITH {ACCT} SELECT c_custkey, nation, coalesce(balance, -1) AS balance FROM acct",
     "oov_clip": f"""WITH {BEH} SELECT event_id, {CLEAN_ITEM} AS item, {CLEAN_ID} AS id, CAST(0 AS BIGINT) AS no_vocab FROM beh k""",
-    "oov_report": f"""WITH {BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {positions(4)}, {WIDE_SCALARS},
+    "oov_report": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {positions(4)}, {WIDE_SCALARS},
 used AS (
   SELECT domain || '_seq_1' AS "column", CAST({VOCAB_ITEM} AS BIGINT) AS vocab, item AS v FROM kept JOIN caps USING (domain) WHERE pos < n
   UNION ALL SELECT domain || '_seq_2', {VOCAB_ID}, id FROM kept JOIN caps USING (domain) WHERE pos < n
@@ -346,10 +347,10 @@ SELECT e.vec_id, p.pos, coalesce(v.x, 0.0) AS value
 FROM embeddings e CROSS JOIN pos_n p LEFT JOIN vec v ON v.vec_id = e.vec_id AND v.pos = p.pos""",
     "valid_length": f"""WITH {WORDS} SELECT doc_id, count(*) FILTER (v > 0) AS valid_len, count(*) FILTER (v <> 0) AS nonzero,
 CAST(count(*) FILTER (v > 0) > 0 AS BIGINT) AS has_valid FROM word GROUP BY doc_id""",
-    "active_items": f"""WITH {BEH}, {KEPT}
+    "active_items": f"""WITH {DAYS}, {KEPT}
 SELECT user_id, domain, row_number() OVER (PARTITION BY user_id, domain ORDER BY pos) - 1 AS pos, item AS value
-FROM kept WHERE domain IN ('click', 'view') AND item <> 0""",
-    "seq_prep": f"""WITH {BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {positions(SEQ_LEN)},
+FROM kept WHERE item <> 0""",
+    "seq_prep": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {positions(max(CAPS.values()))},
 lens AS (SELECT user_id, domain, count(*) AS c FROM kept GROUP BY 1, 2),
 slots(slot) AS (VALUES (0), (1))
 SELECT u.user_id, d.domain, least(coalesce(l.c, 0), d.n) AS length, CAST(s.slot AS BIGINT) AS slot, p.pos,
@@ -357,7 +358,7 @@ SELECT u.user_id, d.domain, least(coalesce(l.c, 0), d.n) AS length, CAST(s.slot
 FROM users u CROSS JOIN caps d CROSS JOIN slots s JOIN pos_n p ON p.pos < d.n
 LEFT JOIN lens l ON l.user_id = u.user_id AND l.domain = d.domain
 LEFT JOIN kept k ON k.user_id = u.user_id AND k.domain = d.domain AND k.pos = p.pos""",
-    "flat_vector": f"""WITH {BEH}, {KEPT}, {USERS}, {positions(4)}, {WIDE_SCALARS}, {LIST3},
+    "flat_vector": f"""WITH {DAYS}, {KEPT}, {USERS}, {positions(4)}, {WIDE_SCALARS}, {LIST3},
 parts AS (
   SELECT user_id, 'user_int' AS part, 0 AS pos, CAST({F1} AS DOUBLE) AS value FROM wide
   UNION ALL SELECT user_id, 'user_int', 1, 0.0 FROM wide
@@ -372,15 +373,18 @@ FROM parts JOIN (SELECT user_id, n_purchase FROM wide) USING (user_id)""",
 FROM (VALUES ('user_int_feats_1', 1, 0, 6), ('user_int_feats_2', 1, 1, 6), ('user_int_feats_3', 4, 2, 6),
              ('item_int_feats_4', 1, 0, 1), ('user_dense_feats_5', 3, 0, 3)) t(c, d, o, w)
 WHERE EXISTS (SELECT 1 FROM events)""",
-    "time_bucket": f"""WITH {BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {positions(SEQ_LEN)}
+    "time_bucket": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {positions(max(CAPS.values()))}
 SELECT u.user_id, d.domain, p.pos, coalesce({bucket("u.req", "k.ts", TIME_EDGES)}, 0) AS bucket
 FROM users u CROSS JOIN caps d JOIN pos_n p ON p.pos < d.n
 LEFT JOIN kept k ON k.user_id = u.user_id AND k.domain = d.domain AND k.pos = p.pos""",
     "time_bucket_fine": f"""WITH {BEH} SELECT event_id, {bucket(str(REQUEST_TS), "ts", FINE_TIME_EDGES)} AS bucket FROM beh""",
-    "aligned_pairs": f"""WITH {BEH}, {KEPT} SELECT user_id, pos, item AS id, id AS weight FROM kept WHERE domain = 'click'""",
-    "misaligned_rows": f"""WITH {BEH}, {KEPT}, c AS (
-  SELECT user_id, count(*) FILTER (domain = 'click') AS n_click, count(*) FILTER (domain = 'view') AS n_view FROM kept GROUP BY 1)
-SELECT user_id, n_click, n_view FROM c WHERE n_click <> n_view""",
+    "aligned_pairs": f"""WITH {DAYS}, {KEPT} SELECT user_id, domain, pos, item AS id, id AS weight FROM kept""",
+    "misaligned_rows": f"""WITH {DAYS}, {PAIRS}, users AS (SELECT DISTINCT user_id FROM beh),
+c AS (SELECT user_id, domain, count(*) AS n FROM beh GROUP BY 1, 2),
+p AS (
+  SELECT u.user_id, domain_a, domain_b, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM users u CROSS JOIN pairs
+  LEFT JOIN c a ON a.user_id = u.user_id AND a.domain = domain_a LEFT JOIN c b ON b.user_id = u.user_id AND b.domain = domain_b)
+SELECT * FROM p WHERE n_a <> n_b""",
     "tabular_matrix": f"""WITH {VEC}
 SELECT vec_id, CAST(0 AS BIGINT) AS pos, CAST(coalesce(nullif(label, 3), -1) AS DOUBLE) AS value FROM embeddings
 UNION ALL SELECT vec_id, pos + 1, x FROM vec
@@ -388,7 +392,7 @@ UNION ALL SELECT vec_id, {DIM + 1}, CAST(count(*) FILTER (x <> 0) AS DOUBLE) FRO
     "chunk_split": f"""WITH {VEC}, {positions(66)}
 SELECT e.vec_id, p.pos // 11 AS chunk, p.pos % 11 AS pos, coalesce(v.x, 0.0) AS value
 FROM embeddings e CROSS JOIN pos_n p LEFT JOIN vec v ON v.vec_id = e.vec_id AND v.pos = p.pos""",
-    "virtual_ids": f"""WITH {BEH}, {KEPT}, {USERS}, {WIDE_SCALARS}, {VIRTUAL} SELECT * FROM vid""",
+    "virtual_ids": f"""WITH {DAYS}, {KEPT}, {USERS}, {WIDE_SCALARS}, {VIRTUAL} SELECT * FROM vid""",
     "observed_catalogue": f"WITH {BEH}, {OBSERVED} SELECT * FROM obs",
     "primary_field": f"""WITH {BEH}, {OBSERVED},
 fit AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) - 1 AS slot FROM obs WHERE NOT is_ts)
@@ -396,7 +400,7 @@ SELECT domain, arg_min("column", ord) FILTER (vocab <= 50000) AS "column", min(f
        min(slot) FILTER (vocab <= 50000) AS slot, arg_min(vocab, ord) FILTER (vocab <= 50000) AS vocab
 FROM fit GROUP BY domain""",
     "vocab_gate": f"""WITH {BEH}, {OBSERVED} SELECT domain, "column", vocab, vocab <= 0 OR vocab > 1000000 AS skipped, vocab > 10000 AS is_id FROM obs""",
-    "group_assembly": f"""WITH {BEH}, {KEPT}, {USERS}, {positions(4)}, {WIDE_SCALARS}, {LIST3}
+    "group_assembly": f"""WITH {DAYS}, {KEPT}, {USERS}, {positions(4)}, {WIDE_SCALARS}, {LIST3}
 SELECT user_id, 'U1' AS group_name, CAST(0 AS BIGINT) AS pos, {F1} AS value FROM wide
 UNION ALL SELECT user_id, 'U1', pos + 1, v FROM list3
 UNION ALL SELECT user_id, 'U2', 0, 0 FROM wide""",
@@ -462,7 +466,7 @@ e AS (SELECT count(*) AS elements, CAST(min(v) AS DOUBLE) AS elem_min, CAST(max(
         round(avg(v), 6) AS elem_mean, round(stddev_pop(v), 6) AS elem_std FROM word)
 SELECT 'words' AS "column", CAST(0 AS BIGINT) AS null_count, * FROM l, e""",
     "seq_length": seq_length(lengths_of("beh"), f"{BEH}, {USERS}, {DOMAIN_CAPS}"),
-    "seq_length_arrays": seq_length(lengths_of("kept"), f"{BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}"),
+    "seq_length_arrays": seq_length(lengths_of("kept"), f"{DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}"),
     "domain_coverage": f"""WITH {BEH}, {USERS}, {DOMAIN_CAPS}, lengths AS ({lengths_of("beh")})
 SELECT domain, count(*) FILTER (valid_len > 0) AS with_seq, count(*) FILTER (valid_len <= 0) AS without_seq,
        round(count(*) FILTER (valid_len > 0) / count(*), 6) AS coverage FROM lengths GROUP BY 1""",
@@ -517,11 +521,11 @@ n AS (SELECT "column", count(*) AS total, count(DISTINCT v) AS approx_unique FRO
 c AS (SELECT "column", v, count(*) AS count FROM t GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, v) AS rank FROM c WHERE v IS NOT NULL)
 SELECT "column", total, approx_unique, v AS item, count FROM r JOIN n USING ("column") WHERE rank <= 20""",
-    "full_report": f"""WITH {BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {WIDE_SCALARS}, lengths AS ({lengths_of("kept")}),
+    "full_report": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {WIDE_SCALARS}, lengths AS ({lengths_of("kept")}),
 {report_sql()}""",
     "recent_k": f"""WITH {BEH}, {KEPT} SELECT user_id, domain, recency, event_id, item FROM recent WHERE recency <= 64""",
-    "recent_arrays": f"""WITH {BEH}, {KEPT} SELECT user_id,
-row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS pos, item AS value FROM kept WHERE domain = 'click' AND recency <= 8""",
+    "recent_arrays": f"""WITH {DAYS}, {KEPT} SELECT user_id, domain,
+row_number() OVER (PARTITION BY user_id, domain ORDER BY pos) - 1 AS pos, item AS value FROM kept WHERE recency <= 2""",
     "embedding_lookup": f"""WITH {BEH}
 SELECT event_id, item, coalesce(CAST(e.embedding[1] AS DOUBLE), 0.0) AS first, coalesce(CAST(e.embedding[{DIM}] AS DOUBLE), 0.0) AS last,
        CAST({DIM} AS BIGINT) AS dim
@@ -529,12 +533,19 @@ FROM beh LEFT JOIN embeddings e ON e.vec_id = beh.item AND e.vec_id % 3 <> 2 AND
     "mean_pool": f"""WITH {BEH}, {VEC}, {positions(DIM)}, {POOL}
 SELECT g.user_id, g.domain, g.n_valid, p.pos, round(coalesce(v, 0.0), 6) AS value
 FROM groups g CROSS JOIN pos_n p LEFT JOIN pooled q ON q.user_id = g.user_id AND q.domain = g.domain AND q.pos = p.pos""",
+    "mean_pool_wide": f"""WITH {BEH}, {positions(5 * DIM)},
+n AS (SELECT domain, item, count(*) AS c FROM beh WHERE item > 0 GROUP BY 1, 2),
+t AS (SELECT domain, CAST(sum(c) AS BIGINT) AS n_valid FROM n GROUP BY 1),
+x AS (
+  SELECT vec_id, pos, CASE WHEN vec_id % 5 = 0 AND pos >= 40 THEN 0 WHEN vec_id % 5 = 1 AND (pos = 3 OR pos >= {DIM}) THEN 0
+         ELSE CAST(embedding[pos % {DIM} + 1] AS DOUBLE) END AS x FROM embeddings CROSS JOIN pos_n WHERE vec_id > 0)
+SELECT domain, n_valid, pos, round(sum(c * x) / n_valid, 6) AS value FROM n JOIN x ON vec_id = item JOIN t USING (domain) GROUP BY 1, 2, 3""",
     "target_topk": f"""WITH {BEH}, {VEC}, {TARGETS}
 SELECT user_id, rank, recency, event_id, item, round(score, 6) AS score,
        round(exp(score - max(score) OVER (PARTITION BY user_id)) /
              sum(exp(score)) OVER (PARTITION BY user_id) * exp(max(score) OVER (PARTITION BY user_id)), 6) AS weight
 FROM ranked WHERE rank <= 64""",
-    "unified_timeline": f"""WITH {BEH}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {WIDE_SCALARS}, {VIRTUAL}
+    "unified_timeline": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, {WIDE_SCALARS}, {VIRTUAL}
 SELECT user_id, CAST(0 AS BIGINT) AS segment, CAST(CASE "column" WHEN 'item_int_feats_4' THEN 0 WHEN 'user_int_feats_1' THEN 1 ELSE 2 END AS BIGINT) AS pos,
        virtual_id AS token, CAST(0 AS BIGINT) AS bucket FROM vid
 UNION ALL

@@ -136,14 +136,16 @@ def valid_length(spark, sf):
     )
 
 
+def _by_domain(wide: DataFrame, values: Callable[[str], dict[str, Column]]) -> DataFrame:
+    """A row per wide row and domain, from one read."""
+    parts = [F.struct(F.lit(d).alias("domain"), *[c.alias(n) for n, c in values(d).items()]) for d in V.DOMAINS]
+    return wide.select("user_id", F.inline(F.array(*parts)))
+
+
 @query
 def active_items(spark, sf):
     """Items of each event history other than 0, from the arrays of the wide rows."""
-    w = V.wide(spark, sf)
-    rows = reduce(
-        DataFrame.unionByName,
-        [w.select("user_id", F.lit(d).alias("domain"), A.active_items(f"{d}_seq_1").alias("v")) for d in ["click", "view"]],
-    )
+    rows = _by_domain(V.wide(spark, sf), lambda d: {"v": A.active_items(f"{d}_seq_1")})
     return tidy(H.explode_positions(rows, ["user_id", "domain"], "v"), counts=["pos"])
 
 
@@ -203,15 +205,21 @@ def time_bucket_fine(spark, sf):
 
 @query
 def aligned_pairs(spark, sf):
-    pairs = H.explode_pairs(V.wide(spark, sf), ["user_id"], "user_int_feats_3", "click_seq_2")
-    return tidy(pairs, counts=["pos"])
+    rows = _by_domain(V.wide(spark, sf), lambda d: {"items": F.col(f"{d}_seq_1"), "ids": F.col(f"{d}_seq_2")})
+    return tidy(H.explode_pairs(rows, ["user_id", "domain"], "items", "ids"), counts=["pos"])
 
 
 @query
 def misaligned_rows(spark, sf):
-    """Users whose click and view histories could not be zipped."""
-    bad = H.misaligned_rows(V.wide(spark, sf), "click_seq_1", "view_seq_1")
-    return bad.select("user_id", F.size("click_seq_1").cast("bigint").alias("n_click"), F.size("view_seq_1").cast("bigint").alias("n_view"))
+    """Rows and pairs of domains whose histories could not be zipped."""
+    pairs = [
+        F.struct(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"), F.col(f"{a}_seq_1").alias("a"), F.col(f"{b}_seq_1").alias("b"))
+        for i, a in enumerate(V.DOMAINS)
+        for b in V.DOMAINS[i + 1 :]
+    ]
+    bad = H.misaligned_rows(V.wide(spark, sf).select("user_id", F.inline(F.array(*pairs))), "a", "b")
+    size = {n: F.size(n).cast("bigint").alias(f"n_{n}") for n in ("a", "b")}
+    return bad.select("user_id", "domain_a", "domain_b", size["a"], size["b"])
 
 
 @query
@@ -514,9 +522,9 @@ def recent_k(spark, sf):
 
 @query
 def recent_arrays(spark, sf):
-    """The last 8 positions of gathered arrays, which are in time order."""
-    w = V.wide(spark, sf).select("user_id", A.last_k("click_seq_1", 8).alias("v"))
-    return tidy(H.explode_positions(w, ["user_id"], "v"), counts=["pos"])
+    """The last 2 positions of gathered arrays, which are in time order."""
+    rows = _by_domain(V.wide(spark, sf), lambda d: {"v": A.last_k(f"{d}_seq_1", 2)})
+    return tidy(H.explode_positions(rows, ["user_id", "domain"], "v"), counts=["pos"])
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -541,6 +549,18 @@ def mean_pool(spark, sf):
     return tidy(rows, doubles=["value"], counts=["pos"])
 
 
+@query
+def mean_pool_wide(spark, sf):
+    """The same for vectors of width 320, some with a NULL element and some too short."""
+    e = F.col("embedding").cast("array<double>")
+    odd = F.when(F.col("vec_id") % 5 == 0, F.slice(e, 1, 40)).when(
+        F.col("vec_id") % 5 == 1, F.transform(e, lambda x, i: F.when(i != 3, x))
+    ).otherwise(F.concat(e, e, e, e, e))
+    vectors = V.table(spark, sf, "embeddings").select("vec_id", odd.alias("embedding"))
+    pooled = H.mean_pool(V.behaviour(spark, sf), ["domain"], vectors, "item", 5 * V.DIM)
+    return tidy(H.explode_positions(pooled, ["domain", "n_valid"], "vector"), doubles=["value"], counts=["pos"])
+
+
 @query
 def target_topk(spark, sf):
     """Per user the 64 events of the latest 256 nearest to the mean vector of its latest 4 purchases."""
@@ -558,7 +578,7 @@ def target_topk(spark, sf):
 @query
 def unified_timeline(spark, sf):
     cat = V.wide_catalogue()
-    w = V.wide(spark, sf)
+    w = stored(V.wide(spark, sf), "wide")
     tokens = C.virtual_id_bases(cat.to_df(spark), BUCKETS).collect()
     ids = F.array(*[S.virtual_id(t["column"], t["base"], t["slots"]) for t in tokens])
     features = w.select("user_id", F.posexplode(ids).alias("pos", "token"))
@@ -664,9 +684,10 @@ NAMES = ["n_chars", "n_words", "n_lines", "mean_word", "n_upper", "n_digit"]
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Text measures of the labelled documents."""
-    d = V.table(spark, sf, "documents")
-    measures = d.select(
-        "doc_id",
+    lab = V.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    d = lab.join(V.table(spark, sf, "documents"), "doc_id")
+    joined = d.select(
+        "doc_id", "label",
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split("text", " ", -1)).cast("double").alias("n_words"),
         F.size(F.split("text", "\n", -1)).cast("double").alias("n_lines"),
@@ -674,8 +695,6 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
         F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("n_upper"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("n_digit"),
     )
-    lab = V.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    joined = lab.join(measures, "doc_id")
     return joined.select("doc_id", "label", R.scalar_features(joined, NAMES).alias("features"))
 
 

@@ -1,8 +1,7 @@
 """Views of the test tables in the shapes the operators take.
 
-``events`` is the behaviour log: the event type is the domain and ``props.k`` the item. Histories are
-never gathered whole; wide rows hold the latest ``SEQ_LEN`` events of each domain, the length that a
-catalogue gives by default.
+``events`` is the behaviour log: the event type is the domain and ``props.k`` the item. A wide row holds
+one user's events of one day, so every event lies in exactly one row and no history is gathered whole.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from clickloom.catalogue import Catalogue
 from clickloom.operators.history import history_arrays
 
 DOMAINS = ["click", "error", "purchase", "signup", "view"]
-SEQ_LEN = 256
+CAPS = {"click": 3, "error": 4, "purchase": 4, "signup": 4, "view": 6}
 DIM = 64
 # declared vocabularies: items go to 99 and ids to 99490, so both limits cut some off
 VOCAB_ITEM, VOCAB_ID = 90, 60000
@@ -82,19 +81,20 @@ def wide_catalogue() -> Catalogue:
             "user_dense": [[5, 3]],
             "seq": {d: {"prefix": f"{d}_seq", "ts_fid": 3, "features": features} for d in DOMAINS},
         },
-        {"click": 10, "view": 20},
+        CAPS,
     )
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    """One impression row per user in the catalogue's column layout.
+    """One impression row per user and day in the catalogue's column layout; ``user_id`` is user and day in one number.
 
     Scalars are the oldest item or id held of a domain, the click items serve as a list feature and the
     view values as a dense one.
     """
-    ev = behaviour(spark, sf)
+    day = F.floor(F.col("ts") / 86400)
+    ev = behaviour(spark, sf).withColumn("user_id", F.col("user_id") * 100000 + day)
     values = ["item", "id", "ts", "value"]
-    h = history_arrays(ev, "user_id", "domain", DOMAINS, ["ts", "event_id"], values, SEQ_LEN)
+    h = history_arrays(ev, "user_id", "domain", DOMAINS, ["ts", "event_id"], values)
     seqs = [
         F.col(f"{d}_{src}").alias(f"{d}_seq_{fid}")
         for d in DOMAINS
