@@ -30,7 +30,7 @@ ORDER = 2
 MIN_COUNT = 2
 BACKOFF = 0.4
 #: Bytes of text in a block, and bytes of text for which the count table gets a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 32_000_000, 8_000_000
+BLOCK_BYTES, BUCKET_BYTES = 10_000_000, 8_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
