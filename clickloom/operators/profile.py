@@ -194,22 +194,46 @@ def scalar_stats(df: DataFrame, columns: list[str], probs: list[float] = [0.5, 0
 
 
 def running_moments(long: DataFrame, keys: list[str] = ["column"]) -> DataFrame:
-    """Mergeable exact sums over non-NULL values: the state that incremental profiling keeps."""
+    """Mergeable exact moments over non-NULL values: the state that incremental profiling keeps.
+
+    ``m2`` is the sum of squared differences from the mean, so large values do not swallow their spread.
+    """
     v = F.when(~F.isnan("value"), F.col("value"))
     return long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count(v).alias("valid_count"),
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
-        F.coalesce(F.sum(v * v), F.lit(0.0)).alias("sum_sq"),
+        F.avg(v).alias("mean"),
+        (F.coalesce(F.var_pop(v), F.lit(0.0)) * F.count(v)).alias("m2"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
 
 
+def merge_moments(parts: DataFrame, keys: list[str] = ["column"], extra: list[Column] = []) -> DataFrame:
+    """Moments of all rows from the moments of disjoint parts, by the pairwise formula; few rows per key."""
+    group = Window.partitionBy(*keys)
+    n = F.sum("valid_count").over(group)
+    mean = F.sum(F.col("mean") * (F.col("valid_count") / n)).over(group)
+    around = F.col("m2") + F.col("valid_count") * F.coalesce(F.pow(F.col("mean") - F.col("_mean"), 2), F.lit(0.0))
+    return (
+        parts.withColumn("_mean", F.when(n > 0, mean))
+        .withColumn("_around", around)
+        .groupBy(*keys)
+        .agg(
+            F.sum("total").alias("total"),
+            F.sum("valid_count").alias("valid_count"),
+            F.max("_mean").alias("mean"),
+            F.sum("_around").alias("m2"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
+            *extra,
+        )
+    )
+
+
 def finish_moments(moments: DataFrame, keys: list[str] = ["column"], extra: list[Column] = []) -> DataFrame:
-    """Counts, range, mean and population deviation from summed moments, then the ``extra`` columns."""
+    """Counts, range, mean and population deviation from moments, then the ``extra`` columns."""
     n = F.when(F.col("valid_count") > 0, F.col("valid_count"))
-    mean = F.col("sum") / n
     return moments.select(
         *keys,
         "total",
@@ -218,8 +242,8 @@ def finish_moments(moments: DataFrame, keys: list[str] = ["column"], extra: list
         "valid_count",
         "min",
         "max",
-        mean.alias("mean"),
-        F.sqrt(F.greatest(F.col("sum_sq") / n - mean * mean, F.lit(0.0))).alias("std"),
+        "mean",
+        F.sqrt(F.col("m2") / n).alias("std"),
         *extra,
     )
 
@@ -302,6 +326,18 @@ def array_top(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return top_values(value_counts(long), k)
 
 
+def element_top(df: DataFrame, columns: list[str], k: int = 20) -> DataFrame:
+    """Most frequent elements per array column over all elements, 0 and negatives too, where all are whole numbers.
+
+    NULL and NaN elements are left out. A column with any fraction gives no row.
+    """
+    counts = value_counts(array_long(df, columns).filter("value is not null and not isnan(value)"))
+    # the flag is one aggregate per column: joined, so that a column's values stay spread
+    fraction = counts.groupBy("column").agg(F.max(F.col("value") != F.floor("value")).alias("_fraction"))
+    whole = counts.join(F.broadcast(fraction), "column").filter("not _fraction").drop("_fraction")
+    return top_values(whole.withColumn("value", F.col("value").cast("bigint")), k)
+
+
 def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per array column: lengths of non-NULL arrays (mean, population deviation, percentiles, share of empty)
     and, over all elements, count, range, mean and population deviation."""
@@ -309,13 +345,15 @@ def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     sizes = long_form(df, {c: F.size(c).cast("bigint") for c in columns})
     known = F.when(F.col("value").isNotNull(), F.col("count"))
     x = F.col("value").cast("double")
-    n, total, squares = F.sum(known), F.sum(known * x), F.sum(known * x * x)
+    n, total = F.sum(known), F.sum(known * x)
+    of_column = Window.partitionBy("column")
+    freq = value_counts(sizes).withColumn("_mean", total.over(of_column) / n.over(of_column))
     lengths = frequency_quantiles(
-        value_counts(sizes), ["column"], "value", "count", probs,
+        freq, ["column"], "value", "count", probs,
         F.sum("count").alias("total"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("null_count"),
         (total / n).alias("len_mean"),
-        F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))).alias("len_std"),
+        F.sqrt(F.sum(known * F.pow(x - F.col("_mean"), 2)) / n).alias("len_std"),
         F.min("value").alias("len_min"),
         F.max("value").alias("len_max"),
         (F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("count"))), F.lit(0)) / n).alias("zero_len_rate"),
@@ -338,12 +376,20 @@ def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 # ---- sequences ----------------------------------------------------------------------------------
 
 
-def array_domain_lengths(df: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """``(domain, valid_len, raw_len)`` per row and domain, measured on each domain's reference column."""
-    domains = [d for d in catalogue.domains if catalogue.reference_feature(d).column in df.columns]
+def array_domain_lengths(df: DataFrame, catalogue: Catalogue, first_field: bool = False) -> DataFrame:
+    """``(domain, valid_len, raw_len)`` per row and domain, measured on each domain's reference column.
+
+    With ``first_field`` the first field of the domain that the table has stands for it, timestamp or not: the rule
+    of batch coverage.
+    """
+    chosen = {}
+    for d in catalogue.domains:
+        fields = [f for f in catalogue.group("seq") if f.domain == d] if first_field else [catalogue.reference_feature(d)]
+        present = [f.column for f in fields if f.column in df.columns]
+        if present:
+            chosen[d] = present[0]
     parts = []
-    for d in domains:
-        c = catalogue.reference_feature(d).column
+    for d, c in chosen.items():
         valid, raw = A.valid_length(c), F.coalesce(F.size(c), F.lit(0))
         parts.append(F.struct(F.lit(d).alias("domain"), valid.alias("valid_len"), raw.alias("raw_len")))
     return df.select(F.inline(F.array(*parts)))

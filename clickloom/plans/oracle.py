@@ -225,6 +225,24 @@ def melt(section: str, source: str, name: str, values: list[str], texts: list[st
     return out + [row.format(s=section, n=name, m=t, v="CAST(NULL AS DOUBLE)", t=t, f=source) for t in texts]
 
 
+FIELDS = [("item", 1, VOCAB_ITEM), ("id", 2, VOCAB_ID), ("ts", 3, 0)]
+
+
+def seq_fields(source: str) -> str:
+    return " UNION ALL ".join(f"SELECT domain, domain || '_seq_{n}' AS c, {f} AS v FROM {source}" for f, n, _ in FIELDS)
+
+
+def declared_rows() -> str:
+    return ", ".join(f"('{d}_seq_{n}', {v}, {'true' if f == 'ts' else 'false'})" for d in DOMAINS for f, n, v in FIELDS)
+
+
+def incremental_sql() -> str:
+    bounds = ", ".join(f"true AS {c}_in_bounds" for c in ("p50", "p90", "p99", "distinct"))
+    return f"""SELECT "column", count(*) AS total, count(*) - count(v) AS null_count, round((count(*) - count(v)) / count(*), 6) AS null_rate,
+       count(v) AS valid_count, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean,
+       round(stddev_pop(v), 6) AS std, {bounds} FROM long GROUP BY 1"""
+
+
 def report_sql() -> str:
     """All sections of the report over the wide rows. Needs ``wide``, ``kept`` and ``lengths``."""
     scalars = {"user_int_feats_1": "f1", "user_int_feats_2": "f2", "item_int_feats_4": "f4"}
@@ -235,9 +253,7 @@ def report_sql() -> str:
         f"HAVING {present(a, 's3')} > 0.2 AND {present(b, 's3')} > 0.2"
         for a, b in pairs
     )
-    fields = [("item", 1, VOCAB_ITEM), ("id", 2, VOCAB_ID), ("ts", 3, 0)]
-    seq = " UNION ALL ".join(f"SELECT domain, domain || '_seq_{n}' AS c, {f} AS v FROM kept" for f, n, _ in fields)
-    declared = ", ".join(f"('{d}_seq_{n}', {v}, {'true' if f == 'ts' else 'false'})" for d in DOMAINS for f, n, v in fields)
+    seq, declared = seq_fields("kept"), declared_rows()
     domain_pairs = ", ".join(f"('{a}', '{b}')" for i, a in enumerate(DOMAINS) for b in DOMAINS[i + 1 :])
     sections = [
         *melt("label", "lab", "'label_type'", ["positive", "negative", "total", "pos_rate", "neg_per_pos"]),
@@ -553,6 +569,16 @@ SELECT k.user_id, CAST(list_position({DOMAINS}, k.domain) AS BIGINT), k.pos, {CL
 FROM kept k JOIN users u USING (user_id) JOIN caps c ON c.domain = k.domain WHERE k.pos < c.n""",
     "tail_split": f"WITH {BEH}, {tail_sql('ts, event_id', 'beh', 'event_id', 1.0)}",
     "train_prefix": f"WITH {BEH}, {tail_sql('ts, event_id', 'beh', 'event_id', 0.5)}",
+    "tail_split_nulls": f"""WITH {BEH}, e AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts // 86400 END AS day FROM beh),
+r AS (SELECT *, row_number() OVER (ORDER BY day NULLS FIRST, event_id) AS i, count(*) OVER () AS n FROM e)
+SELECT event_id, day, CASE WHEN i <= n - greatest(1, CAST(floor(n * 0.4) AS BIGINT)) THEN 'train' ELSE 'valid' END AS split FROM r""",
+    "tail_split_ties": f"""WITH {BEH}, e AS (SELECT CASE WHEN event_id % 3 <> 0 THEN ts // 86400 END AS day FROM beh),
+r AS (SELECT *, row_number() OVER (ORDER BY day NULLS FIRST) AS i, count(*) OVER () AS n FROM e),
+s AS (SELECT *, n - greatest(1, CAST(floor(n * 0.4) AS BIGINT)) AS rest FROM r)
+SELECT day, CASE WHEN i > rest THEN 'valid' WHEN i <= greatest(1, CAST(floor(rest * 0.5) AS BIGINT)) THEN 'train' ELSE 'dropped' END AS split,
+       count(*) AS n FROM s GROUP BY 1, 2""",
+    "sample_repeated_ids": f"""WITH {BEH}, r AS (SELECT user_id FROM beh ORDER BY {hash52(42, "user_id")}, user_id LIMIT 500)
+SELECT user_id, count(*) AS n FROM r GROUP BY 1""",
     "tail_split_files": f"WITH {tail_sql('o_orderkey', 'orders', 'o_orderkey', 0.5)}",
     "stratified_split": f"""WITH k AS (SELECT doc_id, quality, {hash52(42, "doc_id")} AS h FROM labels),
 c AS (SELECT quality, count(*) AS n, sum(count(*)) OVER () AS total FROM k GROUP BY 1),
@@ -589,14 +615,33 @@ SELECT CAST(c AS BIGINT) AS class, round(hit / greatest(said, 1), 6) AS precisio
         f"SELECT doc_id, CAST({i} AS BIGINT) AS pos, round((a{i} - avg(a{i}) OVER ()) / stddev_pop(a{i}) OVER (), 6) AS value FROM m"
         for i in range(6)
     ),
-    "incremental_profile": f"""WITH {long_sql(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")}
-SELECT "column", count(*) AS total, count(*) - count(v) AS null_count, round((count(*) - count(v)) / count(*), 6) AS null_rate,
-       count(v) AS valid_count, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean,
-       round(stddev_pop(v), 6) AS std FROM long GROUP BY 1""",
+    "incremental_profile": f"""WITH {long_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")}
+{incremental_sql()}""",
+    "incremental_times": f"""WITH {BEH}, f AS (SELECT 1.7e9 + (event_id % 7) / 10 AS tick, ts FROM beh), {long_sql(["tick", "ts"], "f")}
+SELECT * REPLACE (round(mean, 2) AS mean, round(std, 4) AS std) FROM ({incremental_sql().replace("avg(v)", "favg(v)")})""",
     "incremental_arrays": f"""WITH {VEC}, long AS (
   SELECT 'embedding#len' AS "column", CAST(len(embedding) AS DOUBLE) AS v FROM embeddings UNION ALL SELECT 'embedding#elem', x FROM vec)
-SELECT "column", count(*) AS total, count(*) - count(v) AS null_count, count(v) AS valid_count, round(min(v), 6) AS min,
-       round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM long GROUP BY 1""",
-    "incremental_strings": """SELECT 'lang' AS "column", count(*) AS total, count(*) - count(lang) AS null_count FROM documents
-UNION ALL SELECT 'source', count(*), count(*) - count(source) FROM documents""",
+{incremental_sql()}""",
+    "incremental_strings": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) - count({c}) AS null_count, true AS unique_in_bounds FROM documents"
+        for c in ("lang", "source", "text")
+    ),
+    "incremental_labels": f"WITH {FEATS} SELECT CAST(label_type AS BIGINT) AS label, count(*) AS count FROM feat GROUP BY 1",
+    "incremental_lengths": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, lengths AS ({lengths_of("kept")})
+SELECT domain, count(*) AS n_rows, round(avg(valid_len), 6) AS mean_len, round(quantile_cont(CAST(valid_len AS DOUBLE), 0.5), 6) AS p50,
+       round(quantile_cont(CAST(valid_len AS DOUBLE), 0.9), 6) AS p90, round(quantile_cont(CAST(valid_len AS DOUBLE), 0.99), 6) AS p99,
+       max(valid_len) AS max_len, count(*) FILTER (valid_len > 0) AS with_seq, count(*) FILTER (valid_len = 0) AS without_seq,
+       round(count(*) FILTER (valid_len > 0) / count(*), 6) AS coverage FROM lengths GROUP BY 1""",
+    "incremental_ids": f"""WITH {DAYS}, el AS ({seq_fields("beh")}), declared(c, vocab, is_ts) AS (VALUES {declared_rows()}),
+seen AS (SELECT c, count(DISTINCT v) AS u, count(*) FILTER (v BETWEEN 1577836800 AND 1893456000) / count(*) AS f FROM el WHERE v > 0 GROUP BY 1)
+SELECT c AS "column", CAST(vocab AS BIGINT) AS vocab, coalesce(u, 0) AS unique_ids, round(coalesce(u, 0) / greatest(vocab, 1), 6) AS coverage_rate, is_ts,
+       CASE WHEN is_ts THEN 'timestamp' WHEN coalesce(u, 0) < vocab * 0.01 THEN 'shrink' ELSE '' END AS note,
+       round(f, 6) AS in_range, f > 0.8 AS is_timestamp FROM declared LEFT JOIN seen USING (c)""",
+    "element_top": f"""WITH {WORDS}, c AS (SELECT v AS value, count(*) AS count FROM word GROUP BY 1)
+SELECT * FROM (SELECT 'words' AS "column", value, count, row_number() OVER (ORDER BY count DESC, value) AS rank FROM c) WHERE rank <= 20""",
+    "coverage_first_field": f"""WITH {DAYS}, {KEPT}, {USERS}, {DOMAIN_CAPS}, lengths AS ({lengths_of("kept")}),
+firsts AS ({lengths_of("kept")}),
+c AS (SELECT 'first' AS rule, * FROM firsts UNION ALL SELECT 'reference', * FROM lengths)
+SELECT rule, domain, count(*) FILTER (valid_len > 0) AS with_seq, count(*) FILTER (valid_len = 0) AS without_seq,
+       round(count(*) FILTER (valid_len > 0) / count(*), 6) AS coverage FROM c GROUP BY 1, 2""",
 }

@@ -610,6 +610,28 @@ def train_prefix(spark, sf):
     return X.tail_split(V.behaviour(spark, sf), ORDER, 0.1, 0.5).select("event_id", "split")
 
 
+@query
+def tail_split_nulls(spark, sf):
+    """Every third time is NULL, and many are equal: NULL first, then time, then the hash of the row."""
+    ev = V.behaviour(spark, sf).select("event_id", F.when(F.col("event_id") % 3 != 0, F.floor(F.col("ts") / 86400)).alias("day"))
+    marked = X.tail_split(ev, ["day", "event_id"], 0.4)
+    return marked.select("event_id", "day", "split")
+
+
+@query
+def tail_split_ties(spark, sf):
+    """By a key that many rows share: how many rows of each day are in each part."""
+    ev = V.behaviour(spark, sf).select(F.when(F.col("event_id") % 3 != 0, F.floor(F.col("ts") / 86400)).alias("day"))
+    return X.tail_split(ev, ["day"], 0.4, 0.5).groupBy("day", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sample_repeated_ids(spark, sf):
+    """A sample by an id that rows share has exactly the size asked for."""
+    ev = V.behaviour(spark, sf).select("user_id", "item")
+    return X.exact_sample(ev, ["user_id"], 500).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def tail_split_files(spark, sf):
     ordered = readers.read_table(spark, f"{sf}/orders.parquet", file_order=True)
@@ -752,31 +774,123 @@ def batch_scoring(spark, sf):
 # ---- streaming ----------------------------------------------------------------------------------
 
 
+def _files(spark: SparkSession, df: DataFrame, parts: int = 3) -> tuple[DataFrame, str]:
+    """The rows of a table as a stream of several files, one a batch, and a folder for its state."""
+    where = work_dir(spark, "profile")
+    df.repartition(parts, F.xxhash64(df.columns[0])).write.parquet(f"{where}/in")
+    return T.stream_files(spark, f"{where}/in", df.schema), where
+
+
+def _in_bounds(finished: DataFrame, long: DataFrame) -> list[str]:
+    """Adds booleans: true ranks within 2% of those of the percentiles, distinct values within 5%."""
+    names = {0.5: "approx_p50", 0.9: "approx_p90", 0.99: "approx_p99"}
+    found = F.broadcast(finished.select("column", "approx_distinct", *names.values()))  # one row per column
+    counts = P.value_counts(long.filter("value is not null")).join(found, "column")
+    n = F.sum("count")
+    checks = counts.groupBy("column").agg(
+        *[
+            (
+                (F.sum(F.when(F.col("value") < F.col(c), F.col("count")).otherwise(0)) / n <= p + 0.02)
+                & (F.sum(F.when(F.col("value") <= F.col(c), F.col("count")).otherwise(0)) / n >= p - 0.02)
+            ).alias(f"p{p * 100:g}_in_bounds")
+            for p, c in names.items()
+        ],
+        (F.abs(F.count(F.lit(1)) - F.max("approx_distinct")) <= F.greatest(F.lit(1.0), 0.05 * F.count(F.lit(1)))).alias("distinct_in_bounds"),
+    )
+    return finished.drop("approx_distinct", *names.values()).join(checks, "column")
+
+
+def _incremental(spark: SparkSession, df: DataFrame, columns: list[str]) -> DataFrame:
+    stream, where = _files(spark, df)
+    state = T.run_profile(stream, where, lambda rows: T.profile_state(T.measures(rows, columns)))
+    out = _in_bounds(T.finish(state), T.measures(df, columns))
+    return tidy(out, doubles=["null_rate", "min", "max", "mean", "std"])
+
+
 @query
 def incremental_profile(spark, sf):
-    schema = V.table(spark, sf, "lineitem").schema
-    stream = T.stream_files(spark, sf, schema, glob="lineitem.parquet")
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    where = work_dir(spark, "profile")
-    state = T.run_profile(T.profile_state(T.measures(stream, columns)), where)
-    exact = ["column", "total", "null_count", "null_rate", "valid_count", "min", "max", "mean", "std"]
-    return tidy(T.finish(state).select(*exact), doubles=["null_rate", "min", "max", "mean", "std"])
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return _incremental(spark, V.table(spark, sf, "lineitem").select(*names), names)
+
+
+@query
+def incremental_times(spark, sf):
+    """Epoch seconds with fractions: the deviation must not be lost in the size of the values."""
+    ev = V.behaviour(spark, sf).select("event_id", (F.lit(1.7e9) + F.pmod(F.col("event_id"), F.lit(7)) / 10).alias("tick"), "ts")
+    # a plain sum of so many large values is good to some thousandths
+    return _incremental(spark, ev, ["tick", "ts"]).withColumns({"mean": F.round("mean", 2), "std": F.round("std", 4)})
 
 
 @query
 def incremental_arrays(spark, sf):
-    schema = V.table(spark, sf, "embeddings").schema
-    stream = T.stream_files(spark, sf, schema, glob="embeddings.parquet")
-    where = work_dir(spark, "profile")
-    state = T.run_profile(T.profile_state(T.measures(stream, ["embedding"])), where)
-    exact = ["column", "total", "null_count", "valid_count", "min", "max", "mean", "std"]
-    return tidy(T.finish(state).select(*exact), doubles=["min", "max", "mean", "std"])
+    return _incremental(spark, V.table(spark, sf, "embeddings"), ["embedding"])
 
 
 @query
 def incremental_strings(spark, sf):
-    schema = V.table(spark, sf, "documents").schema
-    stream = T.stream_files(spark, sf, schema, glob="documents.parquet")
-    where = work_dir(spark, "profile")
-    state = T.run_profile(T.string_state(stream, ["lang", "source"]), where)
-    return T.finish_strings(state).select("column", "total", "null_count")
+    docs = V.table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    stream, where = _files(spark, docs)
+    names = ["lang", "source", "text"]
+    state = T.run_profile(stream, where, lambda rows: T.string_state(rows, names), T.merge_string_states)
+    found = T.finish_strings(state)
+    exact = P.string_stats(docs, names).select("column", "unique_count")
+    near = F.abs(F.col("approx_unique") - F.col("unique_count")) <= F.greatest(F.lit(1.0), 0.05 * F.col("unique_count"))
+    return found.join(exact, "column").select("column", "total", "null_count", near.alias("unique_in_bounds"))
+
+
+@query
+def incremental_labels(spark, sf):
+    """Label counts as files arrive, from the state of several batches."""
+    stream, where = _files(spark, V.features(spark, sf))
+    count = lambda rows: T.count_state(rows.select(F.col("label_type").alias("label")), ["label"])
+    return tidy(T.run_profile(stream, where, count, lambda a, b: T.count_state(a.unionByName(b), ["label"])), counts=["label"])
+
+
+@query
+def incremental_lengths(spark, sf):
+    """Sequence lengths and coverage of the wide rows as files arrive."""
+    cat = V.wide_catalogue()
+    stream, where = _files(spark, V.wide(spark, sf))
+    keys = ["domain", "valid_len"]
+
+    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+        return T.count_state(a.unionByName(b), keys, most=["raw_len"])
+
+    freq = T.run_profile(stream, where, lambda rows: P.length_frequencies(P.array_domain_lengths(rows, cat)), merge)
+    stats, cover = P.seq_length_stats(freq), P.domain_coverage(freq)
+    # one row per domain each
+    out = stats.select("domain", "n_rows", "mean_len", "p50", "p90", "p99", "max_len").join(F.broadcast(cover), "domain")
+    return tidy(out, doubles=["mean_len", "p50", "p90", "p99", "coverage"])
+
+
+@query
+def incremental_ids(spark, sf):
+    """Vocabulary coverage and timestamp fields of the wide rows as files arrive."""
+    cat = V.wide_catalogue()
+    stream, where = _files(spark, V.wide(spark, sf))
+    keys = ["domain", "column", "value"]
+    counts = T.run_profile(
+        stream, where, lambda rows: P.sequence_value_counts(rows, cat), lambda a, b: T.count_state(a.unionByName(b), keys)
+    )
+    cover = P.vocab_coverage(counts, G.declared_fields(V.wide(spark, sf), cat))
+    stamps = P.timestamp_fields(counts)
+    return tidy(cover.join(F.broadcast(stamps), "column", "left"), doubles=["coverage_rate", "in_range"])
+
+
+@query
+def element_top(spark, sf):
+    """Most frequent elements of the word lengths and of the embeddings, which are no whole numbers."""
+    words = P.element_top(V.words(spark, sf), ["words"], 20)
+    return tidy(words.unionByName(P.element_top(V.table(spark, sf, "embeddings"), ["embedding"], 20)), counts=["rank"])
+
+
+@query
+def coverage_first_field(spark, sf):
+    """Coverage by the first field of each domain, next to that by its reference field."""
+    w, cat = stored(V.wide(spark, sf), "wide"), V.wide_catalogue()
+    rules = {"first": True, "reference": False}
+    parts = [
+        P.domain_coverage(P.length_frequencies(P.array_domain_lengths(w, cat, first))).withColumn("rule", F.lit(name))
+        for name, first in rules.items()
+    ]
+    return tidy(reduce(DataFrame.unionByName, parts), doubles=["coverage"])

@@ -1,21 +1,22 @@
 """Profiling of files as they arrive.
 
-A streaming aggregation keeps one row of mergeable state per column: exact sums and counts plus a KLL
-sketch for percentiles and an HLL sketch for distinct values. The engine stores that state with the
-source offsets in the checkpoint, so a restart goes on where it stopped and a repeated batch counts once.
-The state has catalogue size; a new file costs one scan of it and no reading of older ones.
+The state is one row of mergeable statistics per column: exact moments and counts plus a KLL sketch for percentiles and
+an HLL sketch for distinct values. Each micro-batch is aggregated by itself, merged with the state before it and
+written under its batch id before the engine commits the batch. A batch that is run again after a stop starts from the
+same older state and overwrites its own, so nothing is lost and nothing counts twice. The state has catalogue size; a
+new file costs one scan of it and no reading of older ones.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.operators.order_stats import probe_name
-from clickloom.operators.profile import array_long, column_kinds, finish_moments, long_form, scalar_long, string_long
+from clickloom.operators.profile import array_long, column_kinds, finish_moments, long_form, merge_moments, scalar_long, string_long
 
 PROBS = [0.5, 0.9, 0.99]
 TOP_COUNTERS = 10_000
@@ -47,12 +48,12 @@ def profile_state(long: DataFrame) -> DataFrame:
     return long.groupBy("column").agg(
         F.count(F.lit(1)).alias("total"),
         F.count(v).alias("valid_count"),
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
-        F.coalesce(F.sum(v * v), F.lit(0.0)).alias("sum_sq"),
+        F.avg(v).alias("mean"),
+        (F.coalesce(F.var_pop(v), F.lit(0.0)) * F.count(v)).alias("m2"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.kll_sketch_agg_double(v, F.lit(KLL_K)).alias("kll"),
-        F.hll_sketch_agg(v.cast("string")).alias("hll"),
+        F.hll_sketch_agg(F.when(v.isNotNull(), F.xxhash64(v))).alias("hll"),
     )
 
 
@@ -61,16 +62,8 @@ def merge_states(*states: DataFrame) -> DataFrame:
     rows = states[0]
     for s in states[1:]:
         rows = rows.unionByName(s)
-    return rows.groupBy("column").agg(
-        F.sum("total").alias("total"),
-        F.sum("valid_count").alias("valid_count"),
-        F.sum("sum").alias("sum"),
-        F.sum("sum_sq").alias("sum_sq"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-        F.kll_merge_agg_double("kll").alias("kll"),
-        F.hll_union_agg("hll").alias("hll"),
-    )
+    sketches = [F.kll_merge_agg_double("kll").alias("kll"), F.hll_union_agg("hll").alias("hll")]
+    return merge_moments(rows, extra=sketches)
 
 
 def finish(state: DataFrame, probs: list[float] = PROBS) -> DataFrame:
@@ -97,6 +90,24 @@ def string_state(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def merge_string_states(*states: DataFrame) -> DataFrame:
+    rows = states[0]
+    for s in states[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy("column").agg(
+        F.sum("total").alias("total"),
+        F.sum("valid_count").alias("valid_count"),
+        F.hll_union_agg("hll").alias("hll"),
+        F.expr(f"approx_top_k_combine(top, {TOP_COUNTERS})").alias("top"),
+    )
+
+
+def count_state(df: DataFrame, keys: list[str], count: str = "count", most: list[str] = []) -> DataFrame:
+    """Exact mergeable counts: labels, lengths per domain, ids per field. ``df`` holds rows or counts of earlier ones."""
+    n = F.sum(count) if count in df.columns else F.count(F.lit(1))
+    return df.groupBy(*keys).agg(n.alias("count"), *[F.max(c).alias(c) for c in most])
+
+
 def finish_strings(state: DataFrame, k: int = 20) -> DataFrame:
     return state.select(
         "column",
@@ -116,30 +127,50 @@ def stream_files(
     return reader.parquet(path)
 
 
-def run_profile(state: DataFrame, where: str) -> DataFrame:
-    """Process all files not seen yet and return the current state, a table with one row per column.
+def run_profile(
+    stream: DataFrame,
+    where: str,
+    state: Callable[[DataFrame], DataFrame],
+    merge: Callable[..., DataFrame] = merge_states,
+) -> DataFrame:
+    """Process all files not seen yet and return the current state.
 
-    ``state`` is ``profile_state`` or ``string_state`` over ``stream_files``; ``where`` is a folder that
-    all executors reach. It keeps the checkpoint and the state after each run, so calling this again adds
-    new files only. Every run that saw data writes the complete state, never a difference: a driver that
-    stops after the last commit but before that write is made good by the next file.
+    ``stream`` is read by ``stream_files``; ``state`` turns a batch of its rows into mergeable state and ``merge`` combines two;
+    ``where`` is a folder that all executors reach. It keeps the checkpoint and the states, so calling this again adds new
+    files only. A stop at any point loses nothing: the state of a batch is written before the batch is committed, and a
+    repeated batch starts from the state of the batches below it.
     """
-    spark = state.sparkSession
-    name = f"state_{uuid.uuid4().hex}"
+    spark = stream.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = jvm_path(f"{where}/states")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def done() -> list[int]:
+        """Batches whose state is complete."""
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root)]
+        return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(jvm_path(f"{p}/_SUCCESS")))
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        new = state(batch)
+        older = [b for b in done() if b < batch_id]
+        if older:
+            new = merge(session.read.parquet(f"{where}/states/batch={older[-1]}"), new)
+        new.write.mode("overwrite").parquet(f"{where}/states/batch={batch_id}")
+        # a repeated batch needs the one below it, nothing needs older ones
+        for b in older[:-1]:
+            fs.delete(jvm_path(f"{where}/states/batch={b}"), True)
+
     query = (
-        state.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        stream.writeStream.foreachBatch(absorb)
         .option("checkpointLocation", f"{where}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    current = spark.table(name)
-    batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
-    if batches:
-        current.write.mode("overwrite").parquet(f"{where}/states/batch={max(batches)}")
-    spark.catalog.dropTempView(name)
-    kept = spark.read.parquet(f"{where}/states")
-    # one row per column and run
-    return kept.filter(kept["batch"] == kept.agg(F.max("batch")).scalar()).drop("batch")
+    batches = done()
+    if not batches:
+        raise ValueError("no file has been read yet")
+    return spark.read.parquet(f"{where}/states/batch={batches[-1]}")
