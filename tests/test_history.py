@@ -64,9 +64,7 @@ def test_lookup(log, vectors):
     assert all(r["vector"] == (table.get(r["item"], [0.0] * 4) if r["item"] > 0 else [0.0] * 4) for r in got)
 
 
-@pytest.mark.parametrize("summed_dim", [96, 0])
-def test_mean_pool(spark, log, vectors, monkeypatch, summed_dim):
-    monkeypatch.setattr(H, "SUMMED_DIM", summed_dim)
+def test_mean_pool(spark, log, vectors):
     data, df = log
     table, vec = vectors
     only_padding = spark.createDataFrame([(-1, 77, "a", 0, 5), (-2, 77, "a", -3, 5)], df.schema)
@@ -187,3 +185,26 @@ def test_report_sink_and_label_filter(spark, impressions, tmp_path):
     assert rows(back, "column", "oov_count") == [("s_7", 1), ("t_7", 1), ("user_int_feats_1", 1), ("user_int_feats_2", 1)]
     assert [r["user_id"] for r in readers.by_label(impressions, 2).collect()] == [1]
     assert readers.row_cap(impressions, 1).count() == 1
+
+
+@pytest.mark.parametrize("dim", [64, 320])
+def test_mean_pool_same_at_every_width(spark, dim):
+    """NULL elements and missing positions count as 0, whatever the width; a repeated id counts once."""
+    rows = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 0)], "user int, item bigint")
+    whole, gap = [2.0] * dim, [4.0] * dim
+    gap[1] = None
+    vectors = spark.createDataFrame(
+        [(10, whole), (11, gap), (12, [6.0]), (12, [6.0])], "vec_id bigint, embedding array<double>"
+    )
+    out = {r["user"]: r for r in H.mean_pool(rows, ["user"], vectors, "item", dim).collect()}
+    assert out[1]["n_valid"] == 3 and out[2]["n_valid"] == 0
+    assert [round(x, 9) for x in out[1]["vector"][:3]] == [4.0, round(2 / 3, 9), 2.0]
+    assert len(out[1]["vector"]) == dim and out[2]["vector"] == [0.0] * dim
+    assert H.lookup_vectors(rows, vectors, "item", dim).count() == 4
+
+
+def test_history_arrays_without_a_limit(spark):
+    """One very long history keeps all its events."""
+    df = spark.range(3000).selectExpr("1 as user", "'a' as domain", "id as ts", "id as item")
+    out = H.history_arrays(df, "user", "domain", ["a"], ["ts"], ["item"]).first()
+    assert out["a_item"] == list(range(3000))

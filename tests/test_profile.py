@@ -172,3 +172,16 @@ def test_correlations_match_pandas(spark):
     assert set(got) == {("x", "y"), ("x", "z"), ("y", "z")}
     assert all(close(v, want.loc[a, b], 1e-7) for (a, b), v in got.items())
     assert rows(P.correlated_pairs(df, names), "col_a", "col_b") == [("x", "y")]
+
+
+def test_element_top_counts_all_whole_elements(spark):
+    df = spark.createDataFrame([([0.0, 0.0, 0.0, -1.0, 5.0], [0.5, 1.0]), (None, [2.0])], "a array<double>, b array<double>")
+    got = [(r["column"], r["value"], r["count"]) for r in P.element_top(df, ["a", "b"]).orderBy("rank").collect()]
+    assert got == [("a", 0, 3), ("a", -1, 1), ("a", 5, 1)]
+
+
+def test_coverage_by_first_field(spark):
+    cat = Catalogue.from_dict({"user_int": [], "item_int": [], "user_dense": [], "seq": {"d": {"prefix": "d_seq", "ts_fid": 9, "features": [[9, 0], [1, 10]]}}})
+    df = spark.createDataFrame([([1], [0]), ([0], [3]), ([5], [])], "d_seq_9 array<bigint>, d_seq_1 array<bigint>")
+    held = lambda first: [r["valid_len"] for r in P.array_domain_lengths(df, cat, first).collect()]
+    assert held(True) == [1, 0, 1] and held(False) == [0, 1, 0]

@@ -159,3 +159,49 @@ def test_models_learn_and_score(spark):
     trees = M.fit_boosted_trees(df, trees=5)
     assert one(E.auc(M.score(trees, df), "prob", "label"))["auc"] > 0.9
     assert M.feature_importance(trees, ["a", "b", "c"], df, 2).first()["feature"] == "a"
+
+
+def split_counts(df):
+    return {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
+
+
+@pytest.mark.parametrize(
+    "times",
+    [
+        [None] * 4 + list(range(16)),
+        [float("nan")] * 15 + [1.0] * 5,
+        [7] * 20,
+        [None] * 20,
+        [1] * 10 + [2] * 10,
+    ],
+)
+def test_tail_split_on_any_data(spark, times):
+    """NULL, NaN and equal keys: the sizes are exact; NULL comes first and NaN last."""
+    df = spark.createDataFrame([(None if t is None else float(t),) for t in times], "t double")
+    out = X.tail_split(df, ["t"], 0.2)
+    assert split_counts(out) == {"train": 16, "valid": 4}
+    valid = [r["t"] for r in out.filter("split = 'valid'").collect()]
+    want = sorted(times, key=lambda t: (t is not None, t is not None and t != t, t if t is not None and t == t else 0))[-4:]
+    assert sorted(map(str, valid)) == sorted(str(None if t is None else float(t)) for t in want)
+    assert split_counts(X.tail_split(df, ["t"], 0.2, 0.5)) == {"train": 8, "dropped": 8, "valid": 4}
+
+
+def test_tail_split_refuses_text(spark):
+    with pytest.raises(TypeError):
+        X.tail_split(spark.createDataFrame([("a",)], "t string"), ["t"])
+
+
+@pytest.mark.parametrize("ids", [[1] * 20, ["x"] * 20, list("abcdefghijklmnopqrst"), [None] * 20, [1, 2] * 10])
+def test_exact_sample_on_any_ids(spark, ids):
+    df = spark.createDataFrame([(None if i is None else str(i),) for i in ids], "id string")
+    for n in (0, 5, 20, 30):
+        assert X.exact_sample(df, ["id"], n).count() == min(n, 20)
+
+
+def test_stratified_split_with_repeated_ids_and_null_labels(spark):
+    df = spark.createDataFrame([(i % 2, None if i % 5 == 0 else i % 3) for i in range(60)], "id int, y int")
+    out = X.stratified_split(df, "y", ["id"], 0.25)
+    assert split_counts(out) == {"test": 15, "train": 45}
+    by = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
+    sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    assert all(abs(by.get((y, "test"), 0) - n / 4) < 1 for y, n in sizes.items())

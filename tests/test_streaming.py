@@ -25,7 +25,11 @@ def files(spark, tmp_path):
 def state(spark, path, where):
     schema = spark.createDataFrame([], SCHEMA).schema
     stream = T.stream_files(spark, path, schema)
-    return T.finish(T.run_profile(T.profile_state(T.measures(stream, ["x", "a"])), where))
+    return T.finish(T.run_profile(stream, where, measured))
+
+
+def measured(rows):
+    return T.profile_state(T.measures(rows, ["x", "a"]))
 
 
 def test_stream_equals_batch_and_restarts(spark, tmp_path, files):
@@ -69,13 +73,55 @@ def test_strings(spark, tmp_path, files):
     path, add = files
     add(0, 90)
     schema = spark.createDataFrame([], SCHEMA).schema
-    st = T.run_profile(T.string_state(T.stream_files(spark, path, schema), ["s"]), str(tmp_path / "strings"))
+    add(90, 100)
+    stream = T.stream_files(spark, path, schema)
+    st = T.run_profile(stream, str(tmp_path / "strings"), lambda rows: T.string_state(rows, ["s"]), T.merge_string_states)
     r = one(T.finish_strings(st))
-    assert (r["total"], r["null_count"], r["approx_unique"]) == (90, 9, 3)
-    assert {x["item"]: x["count"] for x in r["approx_top"]} == {"s0": 27, "s1": 27, "s2": 27}
+    assert (r["total"], r["null_count"], r["approx_unique"]) == (100, 10, 3)
+    assert {x["item"]: x["count"] for x in r["approx_top"]} == {"s0": 30, "s1": 30, "s2": 30}
 
 
 def test_empty_columns(spark):
     df = spark.createDataFrame([(None,)], "x double")
     r = one(T.finish(T.profile_state(T.measures(df, ["x"]))))
     assert (r["total"], r["valid_count"], r["mean"], r["approx_p50"], r["approx_distinct"]) == (1, 0, None, None, 0)
+
+
+def test_stop_between_state_and_commit(spark, tmp_path, files):
+    """A driver that stops after the state is written and before the batch is committed loses and doubles nothing."""
+    path, add = files
+    where = str(tmp_path / "profile")
+    add(0, 100)
+    assert state(spark, path, where).filter("column = 'x'").first()["total"] == 100
+    add(100, 150)
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def stopping(rows):
+        out = measured(rows)
+        raise RuntimeError("stopped")  # before the state of the batch is written
+        return out
+
+    with pytest.raises(Exception, match="stopped"):
+        T.run_profile(T.stream_files(spark, path, schema), where, stopping)
+    assert state(spark, path, where).filter("column = 'x'").first()["total"] == 150
+    # the commit of the last batch is lost: its state is there, and the batch runs again
+    commits = sorted((tmp_path / "profile" / "checkpoint" / "commits").glob("[0-9]*"))
+    for f in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        f.unlink(missing_ok=True)
+    assert state(spark, path, where).filter("column = 'x'").first()["total"] == 150
+    add(150, 160)
+    assert state(spark, path, where).filter("column = 'x'").first()["total"] == 160
+
+
+def test_large_values_keep_their_spread(spark):
+    df = spark.range(1000).select((F.lit(1.7e9) + F.col("id") % 2 * 0.1).alias("x"))
+    batch = one(P.running_stats(df, ["x"]))
+    parts = [T.profile_state(T.measures(df.limit(300), ["x"])), T.profile_state(T.measures(df.offset(300), ["x"]))]
+    merged = one(T.finish(T.merge_states(*parts)))
+    assert abs(batch["std"] - 0.05) < 1e-6 and abs(merged["std"] - 0.05) < 1e-6
+
+
+def test_merge_with_an_empty_part(spark):
+    some, none = (spark.createDataFrame([(x,) for x in v], "x double") for v in ([1.0, 3.0], [None]))
+    r = one(T.finish(T.merge_states(*[T.profile_state(T.measures(d, ["x"])) for d in (some, none)])))
+    assert (r["total"], r["valid_count"], r["mean"], r["std"]) == (3, 2, 2.0, 1.0)
