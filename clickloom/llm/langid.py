@@ -166,6 +166,8 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Most likely language and its posterior; ``und`` with 0 where there is no letter or nothing was learned."""
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
         vocabulary, out = _vocabulary(self.path), []
         if len(self.index) > CACHE or not self.index:
             self.index, self.scores = {"": 0}, np.zeros((1, len(self.languages)))
@@ -176,7 +178,7 @@ class Model:
             new = list(index)[len(self.scores) :]
             self.scores = np.concatenate([self.scores, word_scores(vocabulary, new, self.p)])
         for text, at in zip(texts, rows, strict=True):
-            if not self.languages or not any(map(str.isalpha, text or "")):
+            if not any(map(str.isalpha, text or "")):
                 out.append(("und", 0.0))
                 continue
             z = self.prior + self.scores[at].sum(0)

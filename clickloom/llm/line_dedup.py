@@ -153,48 +153,45 @@ def repeated_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
+    docs: DataFrame,
+    scratch: Scratch,
+    min_chars: int = MIN_CHARS,
+    min_docs: int = MIN_DOCS,
+    batches: int = BATCHES,
+    counts: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` with ``text`` rewritten, plus ``line_dedup_total`` and ``line_dedup_dropped``.
+    """All columns of ``docs`` with ``text`` rewritten; ``counts`` names two more, lines before and lines dropped.
 
     Lines whose key has at least ``min_chars`` code points and occurs in at least ``min_docs`` documents stay only in the
     document with the largest id that holds them. NULL or empty text is one empty line. Rows with a NULL id are not
     counted and keep every line; rows that share an id are one document. Text without a dropped line comes back
     as it was, NULL as NULL.
     """
-    gone = scratch.save(repeated_lines(docs, scratch, min_chars, min_docs, batches), "gone")
-    gone = gone.select(F.col("doc_id").alias("line_dedup_id"), F.col("dropped").alias("line_dedup_keys"))
-    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["line_dedup_id"], "left")
+    gone = scratch.save(repeated_lines(docs.select("doc_id", "text"), scratch, min_chars, min_docs, batches), "gone")
+    own_id, own_keys, own_kept = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "keys", "kept"))  # no clash with columns of docs
+    gone = gone.select(F.col("doc_id").alias(own_id), F.col("dropped").alias(own_keys))
+    # always by merge: a plan that broadcasts small sets would change with the size of the input
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone[own_id], "left")
     lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
 
     def stays(line):
         key = line_key(line)
-        return ~F.array_contains(F.col("line_dedup_keys"), F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2")))
+        return ~F.array_contains(F.col(own_keys), F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2")))
 
-    some = F.col("line_dedup_keys").isNotNull()
+    some = F.col(own_keys).isNotNull()
     kept = F.when(some, F.filter(lines, lambda x: (F.char_length(x) < min_chars) | stays(x)))
-    out = joined.withColumn("line_dedup_kept", kept)
-    total = F.size(lines).cast("long")
-    columns = [
-        F.when(some, F.array_join("line_dedup_kept", "\n")).otherwise(docs["text"]).alias("text") if c == "text" else docs[c]
-        for c in docs.columns
-    ]
-    return out.select(
-        *columns,
-        total.alias("line_dedup_total"),
-        F.when(some, total - F.size("line_dedup_kept")).otherwise(F.lit(0)).cast("long").alias("line_dedup_dropped"),
-    )
+    out = joined.withColumn(own_kept, kept)
+    columns = [F.when(some, F.array_join(own_kept, "\n")).otherwise(docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns]
+    if counts:
+        total = F.size(lines).cast("long")
+        columns += [total.alias(counts[0]), F.when(some, total - F.size(own_kept)).otherwise(F.lit(0)).cast("long").alias(counts[1])]
+    return out.select(*columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, Scratch(spark, "op1"))
-    return out.select(
-        "doc_id",
-        F.col("line_dedup_total").alias("n_lines"),
-        F.col("line_dedup_dropped").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-    )
+    out = dedup_lines(docs, Scratch(spark, "op1"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""
