@@ -257,6 +257,10 @@ def report_sql() -> str:
     domain_pairs = ", ".join(f"('{a}', '{b}')" for i, a in enumerate(DOMAINS) for b in DOMAINS[i + 1 :])
     sections = [
         *melt("label", "lab", "'label_type'", ["positive", "negative", "total", "pos_rate", "neg_per_pos"]),
+        """SELECT 'label_counts', CASE WHEN n_purchase % 2 = 1 THEN '2' ELSE '1' END, 'count', CAST(count(*) AS DOUBLE), NULL
+           FROM wide GROUP BY 2""",
+        *[f"SELECT 'fields', '{d}', '{m}', NULL, '{d}_seq_1'" for d in DOMAINS for m in ("length_field", "overlap_field")],
+        "SELECT 'fields', 'scalars', 'correlated_columns', 3, NULL",
         *melt("domain_coverage", "cover", "domain", ["with_seq", "without_seq", "coverage"]),
         *melt("seq_length", "slen", "domain",
               ["mean_len", "p50", "p90", "p99", "max_len", "max_raw_len", "zero_seq_rate", "suggested_cap"]),
@@ -645,3 +649,13 @@ c AS (SELECT 'first' AS rule, * FROM firsts UNION ALL SELECT 'reference', * FROM
 SELECT rule, domain, count(*) FILTER (valid_len > 0) AS with_seq, count(*) FILTER (valid_len = 0) AS without_seq,
        round(count(*) FILTER (valid_len > 0) / count(*), 6) AS coverage FROM c GROUP BY 1, 2""",
 }
+
+TEST_ROWS = f"SELECT doc_id, quality FROM ({ORACLE['stratified_split']}) WHERE split = 'test'"
+TERMS = ", ".join(f"('{t}')" for t in ("intercept", "n_chars", "n_words", "n_lines", "mean_word", "n_upper", "n_digit"))
+ORACLE |= {
+    "logistic_baseline": f"""SELECT term, true AS holds, CAST(0 AS BIGINT) AS n FROM (VALUES {TERMS}) t(term)
+UNION ALL SELECT 'class ' || quality, true, count(*) FROM ({TEST_ROWS}) GROUP BY quality""",
+    "boosted_trees": f"SELECT quality AS class, count(*) AS support, true AS shares, true AS ranks FROM ({TEST_ROWS}) GROUP BY 1",
+    "feature_importance": "SELECT range AS rank, true AS holds FROM range(1, 7)",
+    "batch_scoring": f"SELECT doc_id, true AS holds FROM ({TEST_ROWS})",
+}

@@ -737,38 +737,65 @@ def standardize(spark, sf):
     return tidy(H.explode_positions(flat, ["doc_id"], "v"), doubles=["value"], counts=["pos"])
 
 
-def _report(model, test: DataFrame) -> DataFrame:
-    out = M.score(model, test)
-    rows = E.class_report(out, "label", "prediction")
-    area = E.auc(out, "prob", "label").select("auc")
-    return rows.withColumn("auc", F.lit(area.first()["auc"]))
+def _auc(df: DataFrame, score: str) -> float:
+    return E.auc(df, score, "label").first()["auc"]
 
 
 @query
 def logistic_baseline(spark, sf):
+    """Whether each term of the fitted model satisfies its score equation, and how many test rows each class has."""
     train, test = _train_test(spark, sf)
     scaler = M.fit_standardizer(train)
-    return _report(M.fit_logistic(scaler.transform(train)), scaler.transform(test))
+    rows = M.balanced_weights(scaler.transform(train))
+    model = M.fit_logistic(scaler.transform(train))
+    terms = ["intercept", *NAMES]
+    x = F.concat(F.array(F.lit(1.0)), M.vector_to_array("scaled"))
+    scored = M.score(model, rows).select("class_weight", (F.col("prob") - F.col("label")).alias("miss"), x.alias("x"))
+    sums = scored.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("class_weight") * F.col("miss") * F.col("x")[i]).alias(t) for i, t in enumerate(terms)])
+    weights = [0.0, *model.coefficients.toArray().tolist()]
+    # the penalty on the summed loss is half the squared coefficients
+    holds = [F.struct(F.lit(t).alias("term"), (F.abs(F.col(t) + w) / F.col("n") < 1e-3).alias("holds"), F.lit(0).cast("bigint").alias("n")) for t, w in zip(terms, weights)]
+    support = E.class_report(M.score(model, scaler.transform(test)), "label", "prediction")
+    support = support.select(F.concat(F.lit("class "), F.col("class").cast("int")).alias("term"), F.lit(True).alias("holds"), F.col("support").alias("n"))
+    return sums.select(F.inline(F.array(*holds))).unionByName(support)
 
 
 @query
 def boosted_trees(spark, sf):
+    """Test rows per class; probabilities are shares, and trees rank at least about as well as the best single measure."""
     train, test = _train_test(spark, sf)
-    return _report(M.fit_boosted_trees(train), test)
+    out = M.score(M.fit_boosted_trees(train), test)
+    flat = out.select("label", "prob", *[M.vector_to_array("features")[i].alias(n) for i, n in enumerate(NAMES)])
+    single = [_auc(flat, n) for n in NAMES]
+    ranks = _auc(flat, "prob") >= max(max(a, 1 - a) for a in single) - 0.05
+    shares = out.groupBy("label").agg(F.count(F.lit(1)).alias("support"), F.min(F.col("prob").between(0, 1)).alias("shares"))
+    return shares.select(F.col("label").cast("bigint").alias("class"), "support", "shares", F.lit(ranks).alias("ranks"))
 
 
 @query
 def feature_importance(spark, sf):
+    """Ranks of the measures; importances fall, are not negative and add up to 1."""
     train, _ = _train_test(spark, sf)
-    return M.feature_importance(M.fit_boosted_trees(train), NAMES, train)
+    found = M.feature_importance(M.fit_boosted_trees(train), NAMES, train).collect()  # a row per measure
+    values = [r["importance"] for r in found]
+    good = abs(sum(values) - 1) < 1e-6 and values == sorted(values, reverse=True) and values[-1] >= 0
+    good = good and {r["feature"] for r in found} == set(NAMES)
+    return spark.createDataFrame([(r["rank"], good) for r in found], "rank bigint, holds boolean")
 
 
 @query
 def batch_scoring(spark, sf):
+    """One prediction per test document, equal to the logistic of its linear form."""
     train, test = _train_test(spark, sf)
     scaler = M.fit_standardizer(train)
-    out = M.score(M.fit_logistic(scaler.transform(train)), scaler.transform(test))
-    return E.last_prediction(out, "doc_id", ["doc_id"], "prob")
+    model = M.fit_logistic(scaler.transform(train))
+    rows = scaler.transform(test)
+    linear = F.lit(float(model.intercept))
+    for i, c in enumerate(model.coefficients.toArray().tolist()):
+        linear = linear + c * M.vector_to_array("scaled")[i]
+    last = E.last_prediction(M.score(model, rows), "doc_id", ["doc_id"], "prob")
+    want = rows.select("doc_id", (1 / (1 + F.exp(-linear))).alias("want"))
+    return last.join(want, "doc_id").select("doc_id", (F.abs(F.col("prob") - F.col("want")) < 1e-9).alias("holds"))
 
 
 # ---- streaming ----------------------------------------------------------------------------------

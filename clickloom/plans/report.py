@@ -35,13 +35,15 @@ def metrics(df: DataFrame, section: str, name: str | Column, values: list[str],
     return df.select(F.lit(section).alias("section"), key.alias("column"), F.inline(F.array(*rows)))
 
 
-def overlap_fields(catalogue: Catalogue) -> dict[str, str]:
-    """Per domain the column that stands for its items: first non-timestamp field of moderate vocabulary."""
+def overlap_fields(catalogue: Catalogue, held: set[str] | None = None) -> dict[str, str]:
+    """Per domain the column that stands for its items: the first non-timestamp field of moderate vocabulary that
+    holds ids. ``held`` names the columns that do; without it all count."""
     out = {}
     for d in catalogue.domains:
-        fit = [f for f in catalogue.side_info(d) if (f.vocab or 0) <= OVERLAP_MAX_VOCAB]
+        fit = [f.column for f in catalogue.side_info(d) if (f.vocab or 0) <= OVERLAP_MAX_VOCAB]
+        fit = [c for c in fit if held is None or c in held]
         if fit:
-            out[d] = fit[0].column
+            out[d] = fit[0]
     return out
 
 
@@ -63,6 +65,8 @@ def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataF
     if "label_type" in df.columns:
         label = ["positive", "negative", "total", "pos_rate", "neg_per_pos"]
         out.append(metrics(P.label_distribution(df), "label", F.lit("label_type"), label))
+        values = P.label_counts(df).withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("null")))
+        out.append(metrics(values, "label_counts", "label", ["count"]))
     out += [
         metrics(P.domain_coverage(freq), "domain_coverage", "domain", ["with_seq", "without_seq", "coverage"]),
         metrics(
@@ -94,7 +98,14 @@ def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataF
         metrics(P.vocab_coverage(counts, declared), "vocab", "column", ["vocab", "unique_ids", "coverage_rate"], ["note"]),
         metrics(stamps.withColumn("declared", F.col("is_ts").cast("int")), "timestamp", "column", ["in_range", "declared"]),
     ]
-    fields = overlap_fields(catalogue)
+    # columns of the catalogue that hold an id
+    held = {r["column"] for r in counts.select("column").distinct().collect()}
+    fields = overlap_fields(catalogue, held)
+    lengths = {d: catalogue.reference_feature(d).column for d in catalogue.domains}
+    named = [("fields", d, "length_field", None, c) for d, c in lengths.items() if c in df.columns]
+    named += [("fields", d, "overlap_field", None, c) for d, c in fields.items()]
+    named.append(("fields", "scalars", "correlated_columns", float(len(scalars)), None))
+    out.append(df.sparkSession.createDataFrame(named, "section string, column string, metric string, value double, text string"))
     if len(fields) > 1:
         chosen = counts.filter(F.col("column").isin(list(fields.values())))
         pairs = P.domain_overlap(chosen, list(fields), "domain", "value")

@@ -8,8 +8,6 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare
 
-SLOW = {"boosted_trees", "feature_importance"}  # a hundred trees each; model training has its own test
-
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -24,7 +22,7 @@ def test_entry(spark):
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, sf, con, name):
     got = queries()[name](spark, sf).toPandas()
     sql = oracle_sql().get(name)
