@@ -49,7 +49,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        # not zstd: its native contexts pile up outside the heap when many small parts are read
+        writer = df.write.mode("overwrite").option("compression", "snappy")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
