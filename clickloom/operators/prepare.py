@@ -54,14 +54,15 @@ def prepare_rows(
     ]
     for d in catalogue.domains:
         n, side, ts = catalogue.max_len(d), catalogue.side_info(d), catalogue.ts_feature(d)
-        lengths = [A.head_length(f.column, n) for f in side]
+        # a domain with nothing but a timestamp has no slots, and its length is that of the timestamps
+        lengths = [A.head_length(f.column, n) for f in side or [ts]]
         buckets = (
             A.time_bucket_array(F.col("timestamp"), ts.column, n, edges)
             if ts is not None
             else F.array_repeat(F.lit(0), n)
         )
         out += [
-            F.array(*[seq_feature(f, n, clip_vocab) for f in side]).alias(d),
+            (F.array(*[seq_feature(f, n, clip_vocab) for f in side]) if side else F.array().cast("array<array<bigint>>")).alias(d),
             (F.greatest(*lengths) if len(lengths) > 1 else lengths[0]).alias(f"{d}_len"),
             buckets.alias(f"{d}_time_bucket"),
         ]

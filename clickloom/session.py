@@ -51,11 +51,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
-    For tables that many jobs read: the lineage ends there, and losing an executor loses nothing.
+    For tables that many jobs read: the lineage ends there, and losing an executor loses nothing. The table is
+    deleted when the driver ends, as lazy results may read it until then.
     """
-    path = work_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = work_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.parquet(path)
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
