@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from clickloom.catalogue import Catalogue
 from clickloom.functions import arrays as A
 from clickloom.functions.scalars import in_time_range
-from clickloom.operators.order_stats import frequency_quantiles, quantiles
+from clickloom.operators.order_stats import frequency_quantiles, probe_name, quantiles
 
 REPORT_ABOVE = 0.01
 IQR_FACTOR = 3.0
@@ -144,6 +144,18 @@ def label_distribution(df: DataFrame, label: str = "label_type", positive: int =
     )
 
 
+def label_distribution_of(counts: DataFrame, positive: int = 2, negative: int = 1) -> DataFrame:
+    """``label_distribution`` from ``label_counts``."""
+    n = lambda v: F.coalesce(F.sum(F.when(F.col("label") == v, F.col("count"))), F.lit(0))
+    return counts.agg(
+        n(positive).alias("positive"), n(negative).alias("negative"), F.coalesce(F.sum("count"), F.lit(0)).alias("total")
+    ).select(
+        "*",
+        (F.col("positive") / F.greatest(F.col("total"), F.lit(1))).alias("pos_rate"),
+        (F.col("negative") / F.greatest(F.col("positive"), F.lit(1))).alias("neg_per_pos"),
+    )
+
+
 def label_counts(df: DataFrame, label: str = "label_type") -> DataFrame:
     return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"))
 
@@ -193,6 +205,54 @@ def scalar_stats(df: DataFrame, columns: list[str], probs: list[float] = [0.5, 0
     )
 
 
+def scalar_summary(
+    counts: DataFrame, probs: list[float] = [0.5, 0.9, 0.99], factor: float = IQR_FACTOR
+) -> tuple[DataFrame, DataFrame]:
+    """``scalar_stats`` and ``iqr_outliers`` of all columns from one saved table ``(column, value, count)``.
+
+    Moments, then both sets of percentiles together, then deviation and outliers in one more pass. Both results have a
+    row per column.
+    """
+    real = F.col("value").isNotNull() & ~F.isnan("value")
+    v = F.when(real & (F.col("value") != 0), F.col("value"))
+    held = F.when(v.isNotNull(), F.col("count")).otherwise(0)
+    moments = counts.groupBy("column").agg(
+        F.sum("count").alias("total"),
+        F.coalesce(F.sum(F.when(F.col("value") <= 0, F.col("count"))), F.lit(0)).alias("missing_count"),
+        F.sum(held).alias("valid_count"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        (F.sum(v * F.col("count")) / F.nullif(F.sum(held), F.lit(0))).alias("mean"),
+    )
+    sets = F.array_compact(F.array(F.when(F.col("value") != 0, "other"), F.when(F.col("value") > 0, "above")))
+    both = counts.filter(real).select("column", "value", "count", F.explode(sets).alias("of"))
+    every = sorted({*probs, 0.25, 0.75})
+    found = quantiles(both, ["column", "of"], "value", every, "count")
+    other = found.filter("of = 'other'").select("column", *[probe_name(p) for p in probs])
+    spread = F.col("p75") - F.col("p25")
+    bounds = found.filter("of = 'above'").select(
+        "column", F.col("p25").alias("q1"), F.col("p75").alias("q3"),
+        (F.col("p25") - factor * spread).alias("lower"), (F.col("p75") + factor * spread).alias("upper"),
+    )
+    rows = moments.join(F.broadcast(other), "column", "left").join(F.broadcast(bounds), "column", "left")
+    rows = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)  # a row per column
+    above = real & (F.col("value") > 0)
+    outside = above & ((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
+    second = counts.join(F.broadcast(rows.select("column", "mean", "lower", "upper")), "column").groupBy("column").agg(
+        F.sum(F.col("count") * F.pow(v - F.col("mean"), 2)).alias("_m2"),
+        F.coalesce(F.sum(F.when(above, F.col("count"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(outside, F.col("count"))), F.lit(0)).alias("outlier_count"),
+    )
+    all_rows = rows.join(F.broadcast(second), "column")
+    std = F.when(F.col("valid_count") > 1, F.sqrt(F.col("_m2") / (F.col("valid_count") - 1)))
+    names = ["total", "missing_count", "valid_count", "min", "max", "mean"]
+    stats = all_rows.select(
+        "column", *names, std.alias("std"), *[probe_name(p) for p in probs],
+        (F.col("missing_count") / F.col("total")).alias("missing_rate"),
+    )
+    return stats, _severity(all_rows.select("column", "q1", "q3", "lower", "upper", "n", "outlier_count"))
+
+
 def running_moments(long: DataFrame, keys: list[str] = ["column"]) -> DataFrame:
     """Mergeable exact moments over non-NULL values: the state that incremental profiling keeps.
 
@@ -320,6 +380,31 @@ def array_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.withColumn("missing_rate", missing / F.greatest(F.col("total_values"), F.lit(1)))
 
 
+def element_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, value, count, last)``: elements by value with their last position; one NULL row stands for what is empty."""
+    arrays = long_form(df, {c: F.col(c).cast("array<double>") for c in columns})
+    elements = arrays.select("column", F.posexplode_outer("value").alias("pos", "value"))
+    return elements.groupBy("column", "value").agg(F.count("pos").alias("count"), F.max("pos").alias("last"))
+
+
+def array_summary(counts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``array_stats`` and ``array_top`` from one saved table of ``element_counts``."""
+    above = F.col("value") > 0
+    valid = F.coalesce(F.sum(F.when(above, F.col("count"))), F.lit(0))
+    stats = counts.groupBy("column").agg(
+        F.coalesce(F.max("last") + 1, F.lit(0)).cast("bigint").alias("max_dim"),
+        F.sum("count").alias("total_values"),
+        valid.alias("valid_count"),
+        F.min(F.when(above, F.col("value"))).alias("min"),
+        F.max(F.when(above, F.col("value"))).alias("max"),
+        (F.sum(F.when(above, F.col("value") * F.col("count"))) / F.nullif(valid, F.lit(0))).alias("mean"),
+    )
+    missing = F.col("total_values") - F.col("valid_count")
+    stats = stats.withColumn("missing_rate", missing / F.greatest(F.col("total_values"), F.lit(1)))
+    whole = counts.select("column", F.col("value").cast("bigint").alias("value"), "count").filter("value > 0")
+    return stats, top_values(whole.groupBy("column", "value").agg(F.sum("count").alias("count")), k)
+
+
 def array_top(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Most frequent whole-number elements above 0 per array column."""
     long = array_long(df, columns, "bigint").filter("value > 0")
@@ -376,8 +461,10 @@ def array_length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 # ---- sequences ----------------------------------------------------------------------------------
 
 
-def array_domain_lengths(df: DataFrame, catalogue: Catalogue, first_field: bool = False) -> DataFrame:
-    """``(domain, valid_len, raw_len)`` per row and domain, measured on each domain's reference column.
+def array_domain_lengths(
+    df: DataFrame, catalogue: Catalogue, first_field: bool = False, keep: list[str] = []
+) -> DataFrame:
+    """``(domain, valid_len, raw_len)`` per row and domain, measured on each domain's reference column, after ``keep``.
 
     With ``first_field`` the first field of the domain that the table has stands for it, timestamp or not: the rule
     of batch coverage.
@@ -392,7 +479,10 @@ def array_domain_lengths(df: DataFrame, catalogue: Catalogue, first_field: bool
     for d, c in chosen.items():
         valid, raw = A.valid_length(c), F.coalesce(F.size(c), F.lit(0))
         parts.append(F.struct(F.lit(d).alias("domain"), valid.alias("valid_len"), raw.alias("raw_len")))
-    return df.select(F.inline(F.array(*parts)))
+    if not parts:
+        nothing = F.array().cast("array<struct<domain: string, valid_len: int, raw_len: int>>")
+        return df.select(*keep, F.inline(nothing))
+    return df.select(*keep, F.inline(F.array(*parts)))
 
 
 def event_domain_lengths(events: DataFrame, user: str, domain: str, item: str, domains: list[str]) -> DataFrame:
@@ -573,6 +663,11 @@ def iqr_outliers(df: DataFrame, columns: list[str], factor: float = IQR_FACTOR)
     stats = long.join(F.broadcast(bounds), "column").groupBy("column", "q1", "q3", "lower", "upper").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("outlier_count")
     )
+    return _severity(stats)
+
+
+def _severity(stats: DataFrame) -> DataFrame:
+    """Columns with enough values and an outlier, with rate and grade."""
     rate = F.col("outlier_count") / F.col("n")
     return stats.filter((F.col("n") >= IQR_MIN_VALUES) & (F.col("outlier_count") > 0)).select(
         "*",
@@ -581,12 +676,13 @@ def iqr_outliers(df: DataFrame, columns: list[str], factor: float = IQR_FACTOR)
     )
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str], stats: list | None = None) -> DataFrame:
     """Pearson r of every pair of columns over rows where both are present, ``(col_a, col_b, n, pearson)``.
 
     0 counts as absent, columns present in at most 20% of rows are left out. All pairs come from one
     Gramian of ``[x m, m, x x m]`` with centred ``x`` and presence ``m``: one pass whatever the number
-    of columns, and a result of catalogue size on the driver. Runs when called.
+    of columns, and a result of catalogue size on the driver. Runs when called. ``stats`` are rows ``column, total,
+    valid_count, mean, std`` of values that are present, if they are known already.
     """
     spark = df.sparkSession
     schema = "col_a string, col_b string, n bigint, pearson double"
@@ -594,17 +690,13 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     def present(v: Column) -> Column:
         return F.when((v != 0) & ~F.isnan(v), v)
 
-    stats = (
-        scalar_long(df, columns)
-        .withColumn("value", present(F.col("value")))
-        .groupBy("column")
-        .agg(
-            F.count(F.lit(1)).alias("total"), F.count("value").alias("n"),
+    if stats is None:
+        values = scalar_long(df, columns).withColumn("value", present(F.col("value")))
+        stats = values.groupBy("column").agg(
+            F.count(F.lit(1)).alias("total"), F.count("value").alias("valid_count"),
             F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        )
-        .filter(F.col("n") > F.col("total") * CORR_PRESENT)
-        .collect()
-    )
+        ).collect()
+    stats = [r for r in stats if r["valid_count"] > r["total"] * CORR_PRESENT]
     known = {r["column"]: r for r in stats}
     kept = [c for c in columns if c in known]
     if len(kept) < 2:
@@ -635,8 +727,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(out, schema)
 
 
-def correlated_pairs(df: DataFrame, columns: list[str], at_least: float = CORR_AT_LEAST) -> DataFrame:
+def correlated_pairs(
+    df: DataFrame, columns: list[str], at_least: float = CORR_AT_LEAST, stats: list | None = None
+) -> DataFrame:
     """Pairs with |r| >= ``at_least``, r rounded to 4 places."""
-    return correlations(df, columns).filter(F.abs("pearson") >= at_least).select(
+    return correlations(df, columns, stats).filter(F.abs("pearson") >= at_least).select(
         "col_a", "col_b", F.round("pearson", 4).alias("pearson")
     )

@@ -52,20 +52,24 @@ def declared_fields(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, vocab bigint, is_ts boolean")
 
 
-def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataFrame) -> list[DataFrame]:
+def sections(
+    df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataFrame, labels: DataFrame | None
+) -> list[DataFrame]:
     """All report sections that read the table.
 
     ``counts`` is ``sequence_value_counts``: vocabulary, overlap and timestamp detection read this one
-    de-duplicated table. ``freq`` is ``length_frequencies``. The caller keeps both materialized.
+    de-duplicated table. ``freq`` is ``length_frequencies``, ``labels`` ``label_counts``. The caller keeps all materialized.
+    Scalars and arrays are counted by value once each, so the table itself is read five times in all.
     """
     kinds = P.classify_columns(df, catalogue)
     scalars = kinds["user_int/scalar"] + kinds["item_int/scalar"] + kinds["dense/scalar"]
     arrays = kinds["user_int/array"] + kinds["item_int/array"]
     out = []
-    if "label_type" in df.columns:
+    if labels is not None:
         label = ["positive", "negative", "total", "pos_rate", "neg_per_pos"]
-        out.append(metrics(P.label_distribution(df), "label", F.lit("label_type"), label))
-        values = P.label_counts(df).withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("null")))
+        distribution = P.label_distribution_of(labels)
+        out.append(metrics(distribution, "label", F.lit("label_type"), label))
+        values = labels.withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("null")))
         out.append(metrics(values, "label_counts", "label", ["count"]))
     out += [
         metrics(P.domain_coverage(freq), "domain_coverage", "domain", ["with_seq", "without_seq", "coverage"]),
@@ -77,21 +81,23 @@ def sections(df: DataFrame, catalogue: Catalogue, counts: DataFrame, freq: DataF
     if scalars:
         stats = ["total", "missing_count", "missing_rate", "valid_count", "min", "max", "mean", "std", "p50", "p90", "p99"]
         outlier = ["outlier_count", "outlier_rate"]
-        top = P.top_values(P.value_counts(P.scalar_long(df, scalars).filter("value != 0")), TOP_K)
+        values = stored(P.value_counts(P.scalar_long(df, scalars)), "scalar_counts")
+        top = P.top_values(values.filter("value != 0 and value is not null"), TOP_K)
+        summary, outliers = P.scalar_summary(values)
+        known = summary.collect()  # a row per column
+        found = df.sparkSession.createDataFrame(known, summary.schema)
         out += [
-            metrics(P.scalar_stats(df, scalars), "scalar", "column", stats),
+            metrics(found, "scalar", "column", stats),
             _top(top, "scalar_top"),
             metrics(
-                P.correlated_pairs(df, scalars), "correlation", F.concat_ws("/", "col_a", "col_b"), ["pearson"]
+                P.correlated_pairs(df, scalars, stats=known), "correlation", F.concat_ws("/", "col_a", "col_b"), ["pearson"]
             ),
-            metrics(P.iqr_outliers(df, scalars), "outliers", "column", outlier, ["severity"]),
+            metrics(outliers, "outliers", "column", outlier, ["severity"]),
         ]
     if arrays:
         stats = ["max_dim", "total_values", "valid_count", "missing_rate", "min", "max", "mean"]
-        out += [
-            metrics(P.array_stats(df, arrays), "array", "column", stats),
-            _top(P.array_top(df, arrays, TOP_K), "array_top"),
-        ]
+        summary, top = P.array_summary(stored(P.element_counts(df, arrays), "element_counts"), TOP_K)
+        out += [metrics(summary, "array", "column", stats), _top(top, "array_top")]
     declared = declared_fields(df, catalogue)
     stamps = P.timestamp_fields(counts).filter("is_timestamp").join(declared, "column")
     out += [
@@ -171,9 +177,23 @@ def full_report(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     several sections. Runs when called.
     """
     counts = stored(P.sequence_value_counts(df, catalogue), "value_counts")
-    freq = P.length_frequencies(P.array_domain_lengths(df, catalogue)).persist(StorageLevel.MEMORY_AND_DISK)
+    lengths, labels = P.array_domain_lengths(df, catalogue), None
+    measured = [d for d in catalogue.domains if catalogue.reference_feature(d).column in df.columns]
+    if "label_type" in df.columns and measured:
+        # one pass gives both: each row has every domain once
+        by = P.array_domain_lengths(df, catalogue, keep=["label_type"]).groupBy(
+            "label_type", "domain", F.col("valid_len").cast("bigint").alias("valid_len")
+        )
+        by = stored(by.agg(F.count(F.lit(1)).alias("count"), F.max("raw_len").cast("bigint").alias("raw_len")), "lengths")
+        freq = by.groupBy("domain", "valid_len").agg(F.sum("count").alias("count"), F.max("raw_len").alias("raw_len"))
+        one = by.filter(F.col("domain") == measured[0])
+        labels = one.groupBy(F.col("label_type").alias("label")).agg(F.sum("count").alias("count"))
+    else:
+        labels = P.label_counts(df) if "label_type" in df.columns else None
+        freq = P.length_frequencies(lengths)
+    freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        parts = [s.select(*COLUMNS) for s in sections(df, catalogue, counts, freq)]
+        parts = [s.select(*COLUMNS) for s in sections(df, catalogue, counts, freq, labels)]
         report = reduce(DataFrame.unionByName, parts)
         found = report.collect()
     finally:
