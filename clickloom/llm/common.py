@@ -59,6 +59,22 @@ class Scratch:
             self._fs.delete(self._path(self.path(name)), True)
 
 
+def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each value of ``by``, the first in hash order of ``key``.
+
+    Values of ``by`` are classes, few and counted first; a bound on the hash that a few times ``n`` rows pass keeps what
+    reaches one task small, whatever the table.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    h, passes = F.xxhash64(key), F.lit(False)
+    for value, count in counts.items():
+        share = (4 * n + 100) / count
+        inside = h < F.lit(int(share * 2**64) - 2**63) if share < 1 else F.lit(True)
+        passes = passes | (F.col(by).eqNullSafe(F.lit(value)) & inside)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
+    return rows.filter(passes).withColumn("in_place", place).filter(F.col("in_place") <= n).drop("in_place")
+
+
 def ranked(df: DataFrame, by: str, order: list[str], name: str, buckets: int) -> DataFrame:
     """Adds the gapless rank from 0 of each row among those of equal ``by`` (never NULL), as a column ``name``.
 

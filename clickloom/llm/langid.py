@@ -14,10 +14,10 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import Scratch, fold, table
+from clickloom.llm.common import Scratch, first_by_hash, fold, table
 
 #: Documents learned from, per language, in hash order of the id.
 PER_LANGUAGE = 1000
@@ -194,8 +194,7 @@ def fit(docs: DataFrame, scratch: Scratch, learn_from: Column | None = None, voc
     ids = known.select("doc_id", "lang")
     share = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}
     languages = sorted(share)
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.distinct().withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_language)
+    chosen = first_by_hash(ids.distinct(), "lang", "doc_id", per_language)
     chosen = F.broadcast(chosen.select("doc_id", "lang"))  # at most per_language rows a language
     sample = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 

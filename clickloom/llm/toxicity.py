@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import Scratch, fold, labels_of, table
+from clickloom.llm.common import Scratch, first_by_hash, fold, labels_of, table
 
 ORDERS = (3, 4, 5, 6)
 PER_CLASS = 4000
@@ -128,9 +128,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
 
 def sample_of(docs: DataFrame, labels: DataFrame, name: str, learn_from: Column, per_class: int) -> DataFrame:
     """``doc_id, text, label``: at most ``per_class`` documents of each class, in hash order of their ids."""
-    known = labels_of(labels, name).filter(learn_from)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.filter("label = 1").orderBy(*order).limit(per_class).unionByName(known.filter("label = 0").orderBy(*order).limit(per_class))
+    chosen = first_by_hash(labels_of(labels, name).filter(learn_from), "label", "doc_id", per_class)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
