@@ -87,11 +87,17 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
     """Class-balanced L2 logistic regression on sparse rows, by limited-memory BFGS."""
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
 
+    parts = [slice(at, at + 1_000_000) for at in range(0, len(rows), 1_000_000)]  # what is computed on the way stays small
+
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(rows, values * theta[cols], len(y)) + theta[-1]
+        z = np.full(len(y), theta[-1])
+        for s in parts:
+            z += np.bincount(rows[s], values[s] * theta[cols[s]], len(y))
         m = np.where(y == 1, z, -z)
         g = weight * (1 / (1 + np.exp(-z)) - y)
-        grad = np.append(np.bincount(cols, values * g[rows], width), g.sum())
+        grad = np.append(np.zeros(width), g.sum())
+        for s in parts:
+            grad[:-1] += np.bincount(cols[s], values[s] * g[rows[s]], width)
         grad[:-1] += penalty * theta[:-1]
         return float((weight * np.logaddexp(0, -m)).sum() + penalty / 2 * (theta[:-1] ** 2).sum()), grad
 
@@ -186,10 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, learn_from: Column
     data = sample.select("text", "label").mapInArrow(vectors, "label int, at array<int>").toArrow()
     at = data.column("at").combine_chunks()
     lengths = np.diff(at.offsets.to_numpy())
-    cols, rows = at.values.to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+    cols, rows = at.values.to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     y = data.column("label").to_numpy().astype(float)
-    norm = np.sqrt(np.bincount(rows, ratios[cols] ** 2, len(y)) + NORM_FLOOR)
-    w, bias = logistic(rows, cols, ratios[cols] / norm[rows], y, len(ratios), PENALTY)
+    values = ratios.astype(np.float32)[cols]
+    norm = np.sqrt(np.bincount(rows, values * values, len(y)) + NORM_FLOOR).astype(np.float32)
+    values /= norm[rows]
+    w, bias = logistic(rows, cols, values, y, len(ratios), PENALTY)
     return Model(model.hashes, ratios, w * ratios, bias)
 
 
