@@ -1,21 +1,24 @@
 """Resharding by minimum-cost flow.
 
-The old layout keeps documents by a hash of their text, so shards are uneven where texts repeat. From old sizes and new
-capacities a minimum-cost flow finds how many bytes each old shard hands to each new one; a byte that stays costs nothing.
+The old layout is read from its folders, whatever put the documents there. In the query a hash of the text stands in for it,
+so shards are uneven where texts repeat. From old sizes and new capacities a minimum-cost flow finds how many bytes each old shard hands to each new one; a byte that stays costs nothing.
 Within an old shard documents stand in the order of (text hash, id hash), and each transfer is one run of
 that order: a block. The ends of the blocks are found by descending through the hash digits, one narrow aggregation per
 digit over the few hash ranges that hold an end, so nothing is sorted and no document list reaches the driver.
 
 Documents larger than a hundredth of a shard, at most ``100 x shards``, are placed first, one by one. Equal texts
-have equal hashes and stay together unless they are more than a hundredth of a shard; larger groups are cut by id hash.
+of an old shard have equal hashes and stay together unless they are more than a hundredth of a shard; larger groups are cut by
+id hash. Then the shards that lose or gain documents are written anew, and the folders of all others are kept.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clickloom.llm.common import Scratch, ranked, table
 
@@ -119,23 +122,31 @@ def block_ends(rows: DataFrame, targets: dict[int, list[int]], whole: int, exact
     return {old: [ends[old, i] for i in range(len(found))] for old, found in targets.items()}
 
 
-def placed(docs: DataFrame, scratch: Scratch, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """``doc_id, size, text_crc32, old, k1, k2, shard`` of every row of ``docs``.
+def stand_in(old_shards: int) -> Column:
+    """The old shard of a document that lies in no layout: a hash of its text."""
+    return F.pmod(F.xxhash64(F.lit(2), F.coalesce("text", F.lit(""))), F.lit(old_shards)).cast("int")
 
-    NULL text has no bytes (size 8) and hashes like the empty text; rows with a NULL id and repeated rows are placed like others.
-    An empty table gives an empty result.
+
+def keyed(old: Column) -> list[Column]:
+    """``size, text_crc32, old, k1, k2``: what a row is placed by.
+
+    NULL text has no bytes (size 8) and hashes like the empty text.
     """
-    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    text = F.coalesce("text", F.lit(""))
+    return [
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit(2), text), F.lit(old_shards)).cast("int").alias("old"),
+        old.cast("int").alias("old"),
         F.shiftrightunsigned(F.xxhash64(text), 1).alias("k1"),
         F.shiftrightunsigned(F.xxhash64("doc_id", text), 1).alias("k2"),
-    )
-    rows = scratch.save(rows, "rows")
+    ]
+
+
+def plan(rows: DataFrame, old_shards: int, new_shards: int) -> Callable[[DataFrame], DataFrame]:
+    """From all ``old, k1, k2, size`` (a saved table) a function that adds ``shard`` to a table with these columns."""
+    spark = rows.sparkSession
     sizes = {r[0]: int(r[1]) for r in rows.groupBy("old").agg(F.sum("size")).collect()}
+    old_shards = max([old_shards, *(i + 1 for i in sizes)])
     total = sum(sizes.values())
     room = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
     whole, exact = total // new_shards // WHOLE, total // new_shards // EXACT
@@ -175,30 +186,54 @@ def placed(docs: DataFrame, scratch: Scratch, old_shards: int = OLD_SHARDS, new_
         shard = F.when(F.col("old") == i, inside).otherwise(shard)
     alone = F.broadcast(spark.createDataFrame(single, "s_old int, s_k1 long, s_k2 long, s_shard int"))
     on = (F.col("size") > whole) & (F.col("old") == F.col("s_old")) & (F.col("k1") == F.col("s_k1")) & (F.col("k2") == F.col("s_k2"))
-    return rows.join(alone, on, "left").select(*rows.columns, F.coalesce("s_shard", shard).cast("int").alias("shard"))
+    return lambda df: df.join(alone, on, "left").select(*df.columns, F.coalesce("s_shard", shard).cast("int").alias("shard"))
+
+
+def placed(docs: DataFrame, scratch: Scratch, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, old: Column | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, old, k1, k2, shard`` of every row of ``docs``.
+
+    ``old`` is the shard a row lies in (default: the stand-in). Rows with a NULL id and repeated rows are placed like others.
+    An empty table gives an empty result.
+    """
+    old = stand_in(old_shards) if old is None else old
+    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keyed(old)), "rows")
+    return plan(rows, old_shards, new_shards)(rows)
+
+
+def layout(docs: DataFrame, path: str) -> DataFrame:
+    """The documents below ``path`` with the columns of ``docs``, and ``shard`` from the name of their folder."""
+    fields = [f for f in docs.schema if f.name != "shard"]
+    return docs.sparkSession.read.schema(StructType([*fields, StructField("shard", IntegerType())])).parquet(path)
 
 
 def rewrite(docs: DataFrame, scratch: Scratch, path: str, new_path: str, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> list[int]:
-    """Write the new layout of ``docs`` (columns ``doc_id, text`` and others), folders ``shard=N`` below ``new_path``.
+    """Write the shards that lose or gain documents anew, folders ``shard=N`` below ``new_path``; their numbers are returned.
 
-    ``path`` is the old layout, folders ``shard=N``. Only shards that lose or gain documents are written anew; their numbers are
-    returned, and the folders of all others may be kept (renamed or linked) as they are.
+    ``path`` is the old layout, folders ``shard=N`` of rows with the columns of ``docs`` (``doc_id, text`` and others); which shard
+    a row lies in is taken from there alone. Its folders of all other shards below ``new_shards`` may be kept (renamed or
+    linked) as they are.
     """
-    found = scratch.save(placed(docs, scratch, old_shards, new_shards), "placed")
-    moves = found.groupBy("old", "shard").count().collect()
+    stored = layout(docs, path)
+    rows = scratch.save(stored.select(*keyed(F.col("shard"))), "rows")
+    place = plan(rows, old_shards, new_shards)
+    moves = place(rows).groupBy("old", "shard").count().collect()
     changed = sorted({x for r in moves if r["old"] != r["shard"] for x in (r["old"], r["shard"]) if x < new_shards})
-    keys = found.filter(F.col("shard").isin(changed)).select("k1", "k2", "old", F.col("shard").alias("new_shard")).distinct()
-    text = F.coalesce("text", F.lit(""))
-    stored = docs.sparkSession.read.parquet(path)
-    on = (F.shiftrightunsigned(F.xxhash64(text), 1) == F.col("k1")) & (F.shiftrightunsigned(F.xxhash64("doc_id", text), 1) == F.col("k2"))
-    out = stored.join(keys, on).select(*(c for c in stored.columns if c != "shard"), F.col("new_shard").alias("shard"))
-    out.write.mode("overwrite").partitionBy("shard").parquet(new_path)
+    # no other folder holds documents of a changed shard
+    affected = stored.filter(F.col("shard").isin(changed) | (F.col("shard") >= new_shards))
+    whole_rows = affected.select(F.struct(*(F.col(f"`{c}`") for c in stored.columns if c != "shard")).alias("in_row"), *keyed(F.col("shard")))
+    out = place(whole_rows).select("in_row.*", "shard")
+    out.write.mode("overwrite").option("compression", "snappy").partitionBy("shard").parquet(new_path)
     return changed
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "op6")
-    rows = scratch.save(placed(table(spark, sf_dir, "documents"), scratch), "placed")
+    """The documents are laid out by the stand-in, resharded, and what is told of them is read from the written and kept files."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "op6")
+    scratch.save(docs.withColumn("shard", stand_in(OLD_SHARDS)), "old", "shard")
+    changed = rewrite(docs, scratch, scratch.path("old"), scratch.path("new"))
+    kept = layout(docs, scratch.path("old")).filter(~F.col("shard").isin(changed) & (F.col("shard") < NEW_SHARDS))
+    final = layout(docs, scratch.path("new")).unionByName(kept)
+    rows = scratch.save(final.select(F.col("doc_id").cast("long").alias("doc_id"), *keyed(F.col("shard")), "shard"), "placed")
     return ranked(rows, "shard", ["k1", "k2", "doc_id"], "slot", BUCKETS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -100,6 +100,61 @@ def test_rewrite_moves_only_affected_shards(spark, scratch, tmp_path):
     assert {r[0] for r in new.select("shard").distinct().collect()} == set(changed) and {4, 5} <= set(changed)
 
 
+def test_second_resharding_reads_the_stored_layout(spark, scratch, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i // 2} " + "x" * (i % 50)) for i in range(2000)], "doc_id long, text string")
+    at = str(tmp_path / "0")
+    docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(4))).write.partitionBy("shard").parquet(at)
+    for step, (old, new) in enumerate([(4, 6), (6, 7), (7, 3)]):
+        written, whole = str(tmp_path / f"written{step}"), str(tmp_path / f"{step + 1}")
+        before = {r["doc_id"]: r["shard"] for r in spark.read.parquet(at).collect()}
+        changed = sharding.rewrite(docs, scratch, at, written, old, new)
+        kept = spark.read.parquet(at).filter(~F.col("shard").isin(changed) & (F.col("shard") < new))
+        spark.read.parquet(written).unionByName(kept).write.partitionBy("shard").parquet(whole)
+        rows = spark.read.parquet(whole).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted(map(tuple, docs.collect()))
+        assert {before[r["doc_id"]] for r in rows if before[r["doc_id"]] != r["shard"]} <= {*changed, *range(new, old)}
+        sizes = Counter()
+        for r in rows:
+            sizes[r["shard"]] += len(r["text"]) + 8
+        mean = sum(sizes.values()) / new
+        assert len(sizes) == new and all(0.95 * mean < s < 1.05 * mean for s in sizes.values())
+        at = whole
+
+
+def test_rewrite_reads_the_old_shard_from_the_folder(spark, scratch, tmp_path):
+    """By the hash shards 2 and 3 would change, as stored 0 and 1 do; the other folders hold documents of every hash."""
+    h = F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(4))
+    made = spark.range(12000).select(F.col("id").alias("doc_id"), F.format_string("text %05d", "id").alias("text"), h.alias("h")).collect()
+    left, rows = [1000, 1000, 1500, 500], []
+    for r in made:
+        if left[r["h"]]:
+            left[r["h"]] -= 1
+            rows.append((r["doc_id"], r["text"]))
+    assert len(rows) == 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ends = np.cumsum([1500, 500, 1000])
+    stored = [(*r, int(np.searchsorted(ends, n, "right"))) for n, r in enumerate(rows)]
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    spark.createDataFrame(stored, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(old)
+    changed = sharding.rewrite(docs, scratch, old, new, 4, 4)
+    kept = spark.read.parquet(old).filter(~F.col("shard").isin(changed))
+    whole = spark.read.parquet(new).unionByName(kept)
+    assert sorted((r["doc_id"], r["text"]) for r in whole.collect()) == sorted(rows)
+    assert changed == [0, 1]
+
+
+def test_op6_tells_of_the_files_it_wrote(spark, odd, tables, monkeypatch):
+    written = []
+    real = sharding.rewrite
+    monkeypatch.setattr(sharding, "rewrite", lambda docs, scratch, path, new_path, *a: written.append((path, new_path, real(docs, scratch, path, new_path, *a))) or written[0][2])
+    rows = sharding.op6_sharding(spark, tables(documents=odd)).collect()
+    (path, new_path, changed), = written
+    new, old = spark.read.parquet(new_path), spark.read.parquet(path).filter(~F.col("shard").isin(changed))
+    assert changed and new.columns == [*odd.columns, "shard"]
+    stored = [(r["doc_id"], r["shard"]) for r in new.select("doc_id", "shard").unionByName(old.select("doc_id", "shard")).collect()]
+    assert sorted(stored, key=str) == sorted(((r["doc_id"], r["shard"]) for r in rows), key=str)
+
+
 # ---- language-model scores ------------------------------------------------------------------------
 
 
