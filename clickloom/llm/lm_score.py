@@ -145,12 +145,19 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, b
     return out.withColumn("mean_log", F.expr("if(isnan(mean_log), null, mean_log)"))
 
 
-def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scores(table(spark, sf_dir, "documents"))
-    # rounded, as sums of doubles depend on their order in the last digits
+def rounded(out: DataFrame) -> DataFrame:
+    # sums of doubles depend on their order in the last digits
     return out.select("doc_id", "n_tokens", F.round("score", 4).alias("score"), F.round("mean_log", 6).alias("mean_log"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lm_scores(table(spark, sf_dir, "documents")))
+
+
+def op7_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lm_scores(table(spark, sf_dir, "documents"), 3))
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -166,3 +173,22 @@ g AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(x, 0), 4) AS score,
        round(x / len(w), 6) AS mean_log FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+SQL_ORDER3 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT c AS word, count(*) AS n FROM t GROUP BY c),
+p AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c HAVING count(*) >= 2),
+q AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 2),
+s AS (SELECT t.doc_id, CASE WHEN q.n IS NOT NULL THEN ln(q.n / pa.n)
+             WHEN p.n IS NOT NULL THEN ln(p.n / ub.n) + ln(0.4)
+             ELSE ln(uc.n / (SELECT CAST(count(*) AS DOUBLE) FROM t)) + 2 * ln(0.4) END AS x
+      FROM t JOIN u uc ON t.c = uc.word LEFT JOIN u ub ON t.b = ub.word LEFT JOIN p ON t.b = p.b AND t.c = p.c
+      LEFT JOIN p pa ON t.a = pa.b AND t.b = pa.c LEFT JOIN q ON t.a = q.a AND t.b = q.b AND t.c = q.c),
+g AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(x, 0), 4) AS score,
+       round(x / len(w), 6) AS mean_log FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

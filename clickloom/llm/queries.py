@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_sharding": sharding.op6_sharding,
     "op7_lm_scoring": lm_score.op7_lm_scoring,
+    "op7_lm_scoring_order3": lm_score.op7_lm_scoring_order3,
     "op8_packing": packing.op8_packing,
     "op9_approximate_nearest_neighbours": ann.op9_approximate_nearest_neighbours,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
@@ -21,5 +22,6 @@ QUERIES = {
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
     "op7_lm_scoring": lm_score.SQL,
+    "op7_lm_scoring_order3": lm_score.SQL_ORDER3,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }

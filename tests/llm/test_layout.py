@@ -185,6 +185,18 @@ def test_scores(odd, none, monkeypatch, order):
     assert lm_score.lm_scores(none, order).count() == 0
 
 
+def test_order3_query_counts_contexts_of_two_words(spark, tables):
+    """`a b c` and `x b d` are common, `a b d` is not: every pair of words is, so order 2 cannot tell them apart."""
+    from clickloom.llm.queries import QUERIES
+
+    rows = [(i, t) for i, t in enumerate(["a b c"] * 4 + ["x b d"] * 4 + ["a b d"])]
+    sf = tables(documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in QUERIES["op7_lm_scoring_order3"](spark, sf).collect())
+    assert got == brute_scores(rows, 3) and got != brute_scores(rows, 2)
+    # the last word of `a b d` backs off once: `d` follows 5 of the 9 `b`
+    assert got[8][2] == pytest.approx(got[0][2] - math.log(4 / 5) + math.log(5 / 9) + math.log(0.4), abs=2e-4)
+
+
 # ---- packing --------------------------------------------------------------------------------------
 
 
