@@ -27,6 +27,8 @@ MIN_DOCS = 5
 #: Added to a document's squared length before it is scaled to length 1.
 NORM_FLOOR = 1e-6
 PENALTY = 0.1
+#: Bias of a model that has learned nothing.
+UNLEARNED = -10.0
 FOLDS, HELD_OUT = 5, 0
 #: Code points hashed at once; a longer text is taken block by block, overlapping by one n-gram.
 BLOCK = 1 << 18
@@ -133,19 +135,22 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, name: str, learn_from: Column, per_class: int) -> DataFrame:
-    """``doc_id, text, label``: at most ``per_class`` documents of each class, in hash order of their ids."""
-    chosen = first_by_hash(labels_of(labels, name).filter(learn_from), "label", "doc_id", per_class)
+    """``doc_id, text, label``: at most ``per_class`` labelled documents of each class, in hash order of their ids."""
+    known = labels_of(labels, name).filter(learn_from).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = first_by_hash(known, "label", "doc_id", per_class)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, learn_from: Column | None = None, per_class: int = PER_CLASS) -> Model:
-    """Learn from the labelled rows of ``docs`` that satisfy ``learn_from``; without both classes the score is their share."""
+    """Learn from the labelled rows of ``docs`` that satisfy ``learn_from``.
+
+    Where nothing could be learned, without both classes or without any feature, no text counts as toxic.
+    """
     learn_from = F.lit(True) if learn_from is None else learn_from
     sample = scratch.save(sample_of(docs, labels, "toxic", learn_from, per_class), "sample")
     n = {int(k): c for k, c in sample.groupBy("label").count().collect()}
     if len(n) < 2:
-        share = float(n.get(1, 0) > 0)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 20 * share - 10)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), UNLEARNED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def summed(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -180,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, learn_from: Column
     order = np.argsort(hashes)
     pos, neg = chosen["pos"].to_numpy(float)[order], chosen["neg"].to_numpy(float)[order]
     ratios = np.log((pos + 1) / (p + 2)) - np.log((neg + 1) / (q + 2))
-    model = Model(hashes[order], ratios, ratios * 0, 0.0)
+    model = Model(hashes[order], ratios, ratios * 0, UNLEARNED)
     if not len(ratios):
         return model
 

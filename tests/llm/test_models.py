@@ -65,6 +65,21 @@ def test_drop_toxic_keeps_columns(odd, none, labels, scratch):
     assert X.drop_toxic(none, labels, scratch).count() == 0
 
 
+@pytest.mark.parametrize("toxic", [[1, 1, 1], [0, 1, 0]])
+def test_nothing_is_dropped_where_nothing_is_learned(spark, scratch, toxic):
+    docs = spark.createDataFrame([(i, f"clean text {i}") for i in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    assert X.drop_toxic(docs, labels, scratch).count() == 3
+    assert {r["predicted"] for r in X.toxicity(docs, labels, scratch).collect()} == {0}
+
+
+def test_sample_is_drawn_from_labels_of_the_documents_at_hand(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(3000)], "doc_id long, quality int, toxic int")
+    got = [tuple(r) for r in X.sample_of(docs, labels, "toxic", F.lit(True), 20).groupBy("label").count().collect()]
+    assert sorted(got) == [(0, 20), (1, 20)]
+
+
 def test_ngrams_of_a_long_text_do_not_depend_on_blocks(monkeypatch):
     text = "the quick brown fox jumps over the lazy dog " * 200
     whole = X.distinct_hashes(text)
