@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from clickloom.llm import ann, decontaminate, langid, line_dedup, lm_score, packing, quality, sharding, simhash, toxicity
+from clickloom.llm import (
+    ann, decontaminate, hard_negatives, langid, line_dedup, lm_score, packing, quality, sharding, simhash, token_counts, toxicity,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,9 +19,13 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_approximate_nearest_neighbours": ann.op9_approximate_nearest_neighbours,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
-#: The others train a model, tokenise, search a graph or follow links of any length, which SQL does not express.
+#: The others train a model, tokenise, search a graph, follow links of any length or iterate to a fixed number of rounds
+#: with data-dependent codebooks, which SQL does not express; op11 is tested against a brute-force version.
 ORACLE = {
     "op1_line_dedup": line_dedup.SQL,
     "op7_lm_scoring": lm_score.SQL,
