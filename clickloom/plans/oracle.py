@@ -236,10 +236,22 @@ def declared_rows() -> str:
     return ", ".join(f"('{d}_seq_{n}', {v}, {'true' if f == 'ts' else 'false'})" for d in DOMAINS for f, n, v in FIELDS)
 
 
-def incremental_sql() -> str:
+def exact_mean6(v: str) -> str:
+    """The mean of ``v`` to 6 decimals, half away from zero, from the exact sum of each double's shortest decimal form.
+
+    Integer arithmetic throughout: a float average can fall on either side of a mean that is exactly a tie (0.0399315).
+    """
+    s = f"sum(CAST(CAST(CAST({v} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)))"
+    a = f"(CAST(floor({s}) AS HUGEINT) * CAST(1000000000000000000 AS HUGEINT) + CAST(({s} - floor({s})) * 1000000000000000000 AS HUGEINT))"
+    d = f"(CAST(count({v}) AS HUGEINT) * CAST(1000000000000 AS HUGEINT))"
+    q = f"(abs({a}) // {d} + CASE WHEN 2 * (abs({a}) % {d}) >= {d} THEN 1 ELSE 0 END)"
+    return f"CASE WHEN count({v}) > 0 THEN sign({a}) * CAST({q} AS DOUBLE) / 1000000 END"
+
+
+def incremental_sql(mean: str = "round(avg(v), 6)") -> str:
     bounds = ", ".join(f"true AS {c}_in_bounds" for c in ("p50", "p90", "p99", "distinct"))
     return f"""SELECT "column", count(*) AS total, count(*) - count(v) AS null_count, round((count(*) - count(v)) / count(*), 6) AS null_rate,
-       count(v) AS valid_count, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean,
+       count(v) AS valid_count, round(min(v), 6) AS min, round(max(v), 6) AS max, {mean} AS mean,
        round(stddev_pop(v), 6) AS std, {bounds} FROM long GROUP BY 1"""
 
 
@@ -620,7 +632,7 @@ SELECT CAST(c AS BIGINT) AS class, round(hit / greatest(said, 1), 6) AS precisio
         for i in range(6)
     ),
     "incremental_profile": f"""WITH {long_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")}
-{incremental_sql()}""",
+{incremental_sql(exact_mean6("v"))}""",
     "incremental_times": f"""WITH {BEH}, f AS (SELECT 1.7e9 + (event_id % 7) / 10 AS tick, ts FROM beh), {long_sql(["tick", "ts"], "f")}
 SELECT * REPLACE (round(mean, 2) AS mean, round(std, 4) AS std) FROM ({incremental_sql().replace("avg(v)", "favg(v)")})""",
     "incremental_arrays": f"""WITH {VEC}, long AS (

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,10 +42,21 @@ def measures(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+#: Exact sums are kept to this many decimals; a value of 10 ** (38 - EXACT_SCALE) or more makes its column's sum inexact.
+EXACT_SCALE = 18
+
+
 def profile_state(long: DataFrame) -> DataFrame:
-    """Mergeable state per column; works on static and on streaming rows."""
+    """Mergeable state per column; works on static and on streaming rows.
+
+    Beside the moments, ``sum`` adds the values as decimals of ``EXACT_SCALE`` places, so the mean of any number of batches
+    is one division at the end; ``inexact`` counts values that such a decimal cannot hold (then the mean of the moments serves).
+    """
     v = F.when(~F.isnan("value"), F.col("value"))
+    exact = F.when(v.isNotNull(), F.expr(f"try_cast(value AS DECIMAL(38, {EXACT_SCALE}))"))
     return long.groupBy("column").agg(
+        F.try_sum(exact).alias("sum"),
+        F.count(F.when(v.isNotNull() & exact.isNull(), 1)).alias("inexact"),
         F.count(F.lit(1)).alias("total"),
         F.count(v).alias("valid_count"),
         F.avg(v).alias("mean"),
@@ -63,7 +74,14 @@ def merge_states(*states: DataFrame) -> DataFrame:
     for s in states[1:]:
         rows = rows.unionByName(s)
     sketches = [F.kll_merge_agg_double("kll").alias("kll"), F.hll_union_agg("hll").alias("hll")]
-    return merge_moments(rows, extra=sketches)
+    sums = [F.try_sum("sum").alias("sum"), F.sum("inexact").alias("inexact")]
+    return merge_moments(rows, extra=[*sketches, *sums])
+
+
+def exact_mean(state: DataFrame) -> Column:
+    """The mean from the exact sum, a decimal of ``EXACT_SCALE`` places (rounded half up); NULL where the sum is not exact."""
+    n = F.col("valid_count").cast("decimal(20, 0)")
+    return F.when((F.col("inexact") == 0) & F.col("sum").isNotNull() & (F.col("valid_count") > 0), F.col("sum") / n)
 
 
 def finish(state: DataFrame, probs: list[float] = PROBS) -> DataFrame:
@@ -73,7 +91,7 @@ def finish(state: DataFrame, probs: list[float] = PROBS) -> DataFrame:
     quantiles = [
         F.when(held, F.kll_sketch_get_quantile_double("kll", F.lit(p))).alias(f"approx_{probe_name(p)}") for p in probs
     ]
-    return finish_moments(state, extra=[distinct, *quantiles])
+    return finish_moments(state, extra=[distinct, *quantiles, exact_mean(state).alias("mean_exact")])
 
 
 def string_state(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -125,3 +125,29 @@ def test_merge_with_an_empty_part(spark):
     some, none = (spark.createDataFrame([(x,) for x in v], "x double") for v in ([1.0, 3.0], [None]))
     r = one(T.finish(T.merge_states(*[T.profile_state(T.measures(d, ["x"])) for d in (some, none)])))
     assert (r["total"], r["valid_count"], r["mean"], r["std"]) == (3, 2, 2.0, 1.0)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_exact_mean_of_any_split_equals_duckdb(spark, parts):
+    import duckdb
+    from decimal import Decimal
+
+    path = "/root/testdata/sf0.01/lineitem.parquet"
+    df = spark.read.parquet(path).select("l_orderkey", "l_discount", "l_extendedprice")
+    pieces = [df.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(parts)) == i) for i in range(parts)]
+    states = [T.profile_state(T.measures(p, ["l_discount", "l_extendedprice"])) for p in pieces]
+    got = {r["column"]: r for r in T.finish(T.merge_states(*states)).collect()}
+    values = [v for (v,) in duckdb.sql(f"SELECT l_discount FROM '{path}' WHERE l_discount IS NOT NULL").fetchall()]
+    (rounded,) = duckdb.sql(f"SELECT round(avg(l_discount), 6) FROM '{path}'").fetchall()[0]
+    # each double counts as its shortest decimal form
+    assert got["l_discount"]["mean_exact"] == (sum(Decimal(repr(v)) for v in values) / len(values)).quantize(Decimal(10) ** -18)
+    half_up = got["l_discount"]["mean_exact"].quantize(Decimal("0.000001"), rounding="ROUND_HALF_UP")
+    assert float(half_up) == rounded == 0.049919
+
+
+def test_exact_mean_gives_way_to_huge_values(spark):
+    df = spark.createDataFrame([(1e30,), (1.0,), (None,), (float("nan"),)], "x double")
+    r = one(T.finish(T.merge_states(T.profile_state(T.measures(df, ["x"])), T.profile_state(T.measures(df, ["x"])))))
+    assert r["mean_exact"] is None and close(r["mean"], 5e29)
+    small = spark.createDataFrame([(0.1,), (0.2,), (None,)], "x double")
+    assert one(T.finish(T.profile_state(T.measures(small, ["x"]))))["mean_exact"] == __import__("decimal").Decimal("0.15")
