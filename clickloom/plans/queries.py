@@ -27,6 +27,7 @@ from clickloom.plans import standins as V
 from clickloom.session import stored, work_dir
 from clickloom.sources import readers, sinks
 from clickloom.streaming import incremental as T
+from clickloom.streaming import levelled as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 REQUEST_TS = 1706745600  # fixed request time for single-event buckets, 2024-02-01
@@ -897,10 +898,8 @@ def incremental_ids(spark, sf):
     """Vocabulary coverage and timestamp fields of the wide rows as files arrive."""
     cat = V.wide_catalogue()
     stream, where = _files(spark, V.wide(spark, sf))
-    keys = ["domain", "column", "value"]
-    counts = T.run_profile(
-        stream, where, lambda rows: P.sequence_value_counts(rows, cat), lambda a, b: T.count_state(a.unionByName(b), keys)
-    )
+    # counts by id are kept as levelled runs: a batch writes in proportion to itself, not to all ids seen
+    counts = L.run_levelled(stream, where, lambda rows: P.sequence_value_counts(rows, cat), ["domain", "column", "value"])
     cover = P.vocab_coverage(counts, G.declared_fields(V.wide(spark, sf), cat))
     stamps = P.timestamp_fields(counts)
     return tidy(cover.join(F.broadcast(stamps), "column", "left"), doubles=["coverage_rate", "in_range"])

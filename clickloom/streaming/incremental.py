@@ -3,8 +3,9 @@
 The state is one row of mergeable statistics per column: exact moments and counts plus a KLL sketch for percentiles and
 an HLL sketch for distinct values. Each micro-batch is aggregated by itself, merged with the state before it and
 written under its batch id before the engine commits the batch. A batch that is run again after a stop starts from the
-same older state and overwrites its own, so nothing is lost and nothing counts twice. The state has catalogue size; a
-new file costs one scan of it and no reading of older ones.
+same older state and overwrites its own, so nothing is lost and nothing counts twice. The state of scalars and strings has
+catalogue size; a new file costs one scan of it and no reading of older ones. Counts by value (ids) grow with the data and
+are kept as levelled runs instead (``levelled.py``).
 """
 
 from __future__ import annotations
