@@ -632,6 +632,8 @@ SELECT CAST(c AS BIGINT) AS class, round(hit / greatest(said, 1), 6) AS precisio
         for i in range(6)
     ),
     "incremental_profile": f"""WITH {long_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")}
+{incremental_sql(exact_mean6("v"))}""",
+    "incremental_native": f"""WITH {long_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")}
 {incremental_sql(exact_mean6("v"))}""",
     "incremental_times": f"""WITH {BEH}, f AS (SELECT 1.7e9 + (event_id % 7) / 10 AS tick, ts FROM beh), {long_sql(["tick", "ts"], "f")}
 SELECT * REPLACE (round(mean, 2) AS mean, round(std, 4) AS std) FROM ({incremental_sql().replace("avg(v)", "favg(v)")})""",

@@ -828,9 +828,12 @@ def _in_bounds(finished: DataFrame, long: DataFrame) -> list[str]:
     return finished.drop("approx_distinct", *names.values()).join(checks, "column")
 
 
-def _incremental(spark: SparkSession, df: DataFrame, columns: list[str]) -> DataFrame:
+def _incremental(spark: SparkSession, df: DataFrame, columns: list[str], native: bool = False) -> DataFrame:
     stream, where = _files(spark, df)
-    state = T.run_profile(stream, where, lambda rows: T.profile_state(T.measures(rows, columns)))
+    if native:
+        state = T.native_profile(stream, where, columns)
+    else:
+        state = T.run_profile(stream, where, lambda rows: T.profile_state(T.measures(rows, columns)))
     out = _in_bounds(T.finish(state), T.measures(df, columns))
     # the exact mean is rounded as a decimal: its nearest double may lie on the other side of a tie
     mean = F.coalesce(F.round("mean_exact", 6).cast("double"), F.col("mean"))
@@ -843,6 +846,13 @@ def incremental_profile(spark, sf):
     return _incremental(spark, V.table(spark, sf, "lineitem").select(*names), names)
 
 
+@query
+def incremental_native(spark, sf):
+    """The profile of ``incremental_profile``, kept by Spark's streaming aggregation in its state store."""
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return _incremental(spark, V.table(spark, sf, "lineitem").select(*names), names, native=True)
+
+
 @query
 def incremental_times(spark, sf):
     """Epoch seconds with fractions: the deviation must not be lost in the size of the values."""

@@ -193,3 +193,42 @@ def run_profile(
     if not batches:
         raise ValueError("no file has been read yet")
     return spark.read.parquet(f"{where}/states/batch={batches[-1]}")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def native_profile(stream: DataFrame, where: str, columns: list[str]) -> DataFrame:
+    """The profile of ``columns`` as a streaming aggregation that Spark keeps in its state store.
+
+    Spark holds one state row per column (moments, the exact sum, a KLL and an HLL sketch) and updates it with each
+    micro-batch; the complete result of each epoch is written under its epoch id by the sink, and the newest complete
+    epoch is read back. The state store is RocksDB unless the session names another provider. A stop at any point resumes
+    from the engine's checkpoint under ``where``; an epoch that is run again rewrites its own folder.
+    """
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, ROCKSDB)
+    state = profile_state(measures(stream, columns))
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = jvm_path(f"{where}/epochs")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def sink(result: DataFrame, epoch: int) -> None:
+        result.write.mode("overwrite").parquet(f"{where}/epochs/epoch={epoch}")
+
+    query = (
+        state.writeStream.outputMode("complete")
+        .foreachBatch(sink)
+        .option("checkpointLocation", f"{where}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    done = [] if not fs.exists(root) else sorted(
+        int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if fs.exists(jvm_path(f"{s.getPath()}/_SUCCESS"))
+    )
+    if not done:
+        raise ValueError("no file has been read yet")
+    return spark.read.parquet(f"{where}/epochs/epoch={done[-1]}")

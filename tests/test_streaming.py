@@ -151,3 +151,21 @@ def test_exact_mean_gives_way_to_huge_values(spark):
     assert r["mean_exact"] is None and close(r["mean"], 5e29)
     small = spark.createDataFrame([(0.1,), (0.2,), (None,)], "x double")
     assert one(T.finish(T.profile_state(T.measures(small, ["x"]))))["mean_exact"] == __import__("decimal").Decimal("0.15")
+
+
+def test_native_aggregation_restarts_and_equals_the_batch_profile(spark, tmp_path, files):
+    path, add = files
+    where = str(tmp_path / "native")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    add(0, 300)
+    add(300, 500)
+    first = {r["column"]: r for r in T.finish(T.native_profile(T.stream_files(spark, path, schema), where, ["x", "a"])).collect()}
+    assert first["x"]["total"] == 500
+    add(500, 800)  # a new file after a stop: only it is read
+    got = {r["column"]: r for r in T.finish(T.native_profile(T.stream_files(spark, path, schema), where, ["x", "a"])).collect()}
+    whole = {r["column"]: r for r in T.finish(T.profile_state(T.measures(spark.read.parquet(path), ["x", "a"]))).collect()}
+    assert set(got) == set(whole)
+    for c in whole:
+        for k in ("total", "null_count", "valid_count", "min", "max", "mean_exact"):
+            assert got[c][k] == whole[c][k], (c, k)
+        assert close(got[c]["std"], whole[c]["std"])
