@@ -91,12 +91,21 @@ def test_token_counts_equal_the_library(spark, odd, none):
 
 
 def test_token_counts_of_special_strings_and_odd_spaces():
-    c = T.Counter(T.default_vocabulary())
-    tok = T._tokenizer(T.default_vocabulary())
+    path = T.default_vocabulary()
+    c, tok = T.Counter(path, T.doubtful(path)), T._tokenizer(path)
     texts = ["", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "  a  b\t\t\n\n c", "\x1c\x1d 　x", "x" * 5000, "'s'S 're'VE"]
+    # code points that Unicode versions class apart, one in each text
+    texts += [f"a{d}{d}b {d}1 x{d}  {d}\n'{d}" for d in sorted(T.doubtful(path))[:: max(1, len(T.doubtful(path)) // 300)]]
     assert c.count(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_every_code_point_is_cut_as_the_tokenizer_cuts_it():
+    path = T.default_vocabulary()
+    c, tok = T.Counter(path, T.doubtful(path)), T._tokenizer(path)
+    probe = [f"a{chr(cp)}{chr(cp)}b {chr(cp)}1 x{chr(cp)}  {chr(cp)}\n'{chr(cp)}" for cp in [*range(0xD800), *range(0xE000, 0x110000, 3)]]
+    assert c.count(probe) == [len(e.ids) for e in tok.encode_batch(probe, add_special_tokens=False)]
+
+
 def test_token_counts_on_the_test_table(spark):
     import pyarrow.parquet as pq
 
