@@ -846,6 +846,24 @@ def incremental_profile(spark, sf):
     return _incremental(spark, V.table(spark, sf, "lineitem").select(*names), names)
 
 
+@query
+def incremental_overlap(spark, sf):
+    """Domain overlap as files arrive, from theta sketches; tells whether every exact count lies within its interval."""
+    ids = V.behaviour(spark, sf).select("domain", "id")
+    stream, where = _files(spark, ids)
+    state = T.run_profile(stream, where, T.overlap_state, T.merge_overlap_states)
+    found = T.finish_overlap(state, V.DOMAINS)
+    exact = P.domain_overlap(ids, V.DOMAINS).select(
+        "domain_a", "domain_b", F.col("unique_a").alias("_ua"), F.col("unique_b").alias("_ub"), F.col("overlap").alias("_o")
+    )
+    near = lambda est, spread, truth: F.abs(F.col(est) - F.col(truth)) <= F.col(spread) + F.lit(1e-6)
+    return found.join(exact, ["domain_a", "domain_b"]).select(
+        "domain_a", "domain_b",
+        (near("unique_a", "unique_a_spread", "_ua") & near("unique_b", "unique_b_spread", "_ub")).alias("unique_in_bounds"),
+        near("overlap", "overlap_spread", "_o").alias("overlap_in_bounds"),
+    )
+
+
 @query
 def incremental_native(spark, sf):
     """The profile of ``incremental_profile``, kept by Spark's streaming aggregation in its state store."""

@@ -232,3 +232,49 @@ def native_profile(stream: DataFrame, where: str, columns: list[str]) -> DataFra
     if not done:
         raise ValueError("no file has been read yet")
     return spark.read.parquet(f"{where}/epochs/epoch={done[-1]}")
+
+
+#: Theta sketches keep about 2 ** THETA_LG hashes; up to that many distinct ids they are exact.
+THETA_LG = 12
+
+
+def overlap_state(ids: DataFrame, domain: str = "domain", item: str = "id") -> DataFrame:
+    """One theta sketch of the ids above 0 of each domain: the mergeable state of domain overlap."""
+    return ids.filter(F.col(item) > 0).groupBy(domain).agg(F.theta_sketch_agg(item, THETA_LG).alias("theta"))
+
+
+def merge_overlap_states(*states: DataFrame, domain: str = "domain") -> DataFrame:
+    rows = states[0]
+    for s in states[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy(domain).agg(F.theta_union_agg("theta", THETA_LG).alias("theta"))
+
+
+def _spread(estimate: Column, union: Column) -> Column:
+    """Three standard deviations of a theta estimate (of a set within a union of ``union``), 0 while sketches are exact.
+
+    A sketch in estimation mode keeps each hash with probability theta of about ``2 ** THETA_LG / union``, so the estimate
+    ``kept / theta`` has a deviation of at most ``sqrt(estimate * union / 2 ** THETA_LG)``.
+    """
+    k = F.lit(float(2**THETA_LG))
+    return F.when(union < k, F.lit(0.0)).otherwise(F.lit(3.0) * F.sqrt(estimate * union / k) + F.lit(1.0))
+
+
+def finish_overlap(state: DataFrame, domains: list[str], domain: str = "domain") -> DataFrame:
+    """Estimated distinct ids of every pair of domains and their overlap, each with the half-width of its interval.
+
+    ``state`` has one row per domain, so the pairs are a join of two rows at a time; domains without ids count 0.
+    """
+    spark = state.sparkSession
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(domains) for b in domains[i + 1 :]], "domain_a string, domain_b string")
+    side = lambda name, col: F.broadcast(state.select(F.col(domain).alias(name), F.col("theta").alias(col)))
+    both = pairs.join(side("domain_a", "ta"), "domain_a", "left").join(side("domain_b", "tb"), "domain_b", "left")
+    est = lambda c: F.coalesce(F.theta_sketch_estimate(c), F.lit(0.0))
+    a, b = est(F.col("ta")), est(F.col("tb"))
+    both_present = F.col("ta").isNotNull() & F.col("tb").isNotNull()
+    union = F.when(both_present, est(F.theta_union("ta", "tb", THETA_LG))).otherwise(F.greatest(a, b))
+    overlap = F.when(both_present, est(F.theta_intersection("ta", "tb"))).otherwise(F.lit(0.0))
+    return both.select(
+        "domain_a", "domain_b", a.alias("unique_a"), _spread(a, a).alias("unique_a_spread"), b.alias("unique_b"),
+        _spread(b, b).alias("unique_b_spread"), overlap.alias("overlap"), _spread(overlap, union).alias("overlap_spread"),
+    )

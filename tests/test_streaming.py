@@ -169,3 +169,20 @@ def test_native_aggregation_restarts_and_equals_the_batch_profile(spark, tmp_pat
         for k in ("total", "null_count", "valid_count", "min", "max", "mean_exact"):
             assert got[c][k] == whole[c][k], (c, k)
         assert close(got[c]["std"], whole[c]["std"])
+
+
+def test_theta_overlap_holds_its_bounds_in_estimation_mode(spark):
+    ids = spark.range(1, 60001).select(
+        F.when(F.col("id") <= 40000, F.lit("a")).otherwise(F.lit("c")).alias("domain"), F.col("id")
+    ).unionByName(spark.range(20001, 90001).select(F.lit("b").alias("domain"), F.col("id")))
+    ids = ids.unionByName(spark.createDataFrame([("a", None), ("b", 0), ("d", -3)], "domain string, id long"))
+    parts = [T.overlap_state(ids.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == i)) for i in range(3)]
+    merged = {(r.domain_a, r.domain_b): r for r in T.finish_overlap(T.merge_overlap_states(*parts), ["a", "b", "c", "d"]).collect()}
+    whole = {(r.domain_a, r.domain_b): r for r in T.finish_overlap(T.overlap_state(ids), ["a", "b", "c", "d"]).collect()}
+    exact = {("a", "b"): (40000, 70000, 20000), ("a", "c"): (40000, 20000, 0), ("b", "c"): (70000, 20000, 20000)}
+    for found in (merged, whole):
+        for pair, (ua, ub, o) in exact.items():
+            r = found[pair]
+            assert r.overlap_spread > 0 and abs(r.overlap - o) <= r.overlap_spread
+            assert abs(r.unique_a - ua) <= r.unique_a_spread and abs(r.unique_b - ub) <= r.unique_b_spread
+        assert found[("a", "d")].overlap == 0 and found[("a", "d")].unique_b == 0
