@@ -864,6 +864,14 @@ def incremental_overlap(spark, sf):
     )
 
 
+@query
+def incremental_correlations(spark, sf):
+    """Pearson r of every pair of feature columns as files arrive, from mergeable co-moments."""
+    stream, where = _files(spark, V.features(spark, sf).select(*V.FEAT))
+    state = T.run_profile(stream, where, lambda rows: T.comoment_state(rows, V.FEAT), T.merge_comoments)
+    return T.finish_correlations(state).select("col_a", "col_b", "n", F.round("pearson", 4).alias("pearson"))
+
+
 @query
 def incremental_native(spark, sf):
     """The profile of ``incremental_profile``, kept by Spark's streaming aggregation in its state store."""

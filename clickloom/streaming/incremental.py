@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -278,3 +278,75 @@ def finish_overlap(state: DataFrame, domains: list[str], domain: str = "domain")
         "domain_a", "domain_b", a.alias("unique_a"), _spread(a, a).alias("unique_a_spread"), b.alias("unique_b"),
         _spread(b, b).alias("unique_b_spread"), overlap.alias("overlap"), _spread(overlap, union).alias("overlap_spread"),
     )
+
+
+#: A column takes part in correlations if present in more than this share of rows (as in ``correlations``).
+CORR_PRESENT = 0.2
+
+
+def comoment_state(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Mergeable co-moments: a row per pair of columns over rows where both are present (not NULL, NaN or 0) and a row per
+    column (``col_b`` NULL) with its presence.
+
+    ``total`` rows, ``n`` rows counted, means ``mx``, ``my`` and the sums of products of deviations ``cxy``, ``mxx``, ``myy``,
+    each from Spark's own one-pass aggregates over values less a pivot per column (one small job finds the pivots).
+    """
+    def present(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.when((v != 0) & ~F.isnan(v), v)
+
+    # values are taken less a pivot per column (the batch's mean): products of deviations keep their digits near 1.7e9
+    pivots = df.agg(*[F.coalesce(F.avg(present(c)), F.lit(0.0)) for c in columns]).first() if columns else []
+    shifted = {c: present(c) - F.lit(float(p)) for c, p in zip(columns, pivots, strict=True)}
+    pivot = {c: F.lit(float(p)) for c, p in zip(columns, pivots, strict=True)}
+
+    def item(a: str, b: str | None) -> Column:
+        other = b or a
+        return F.struct(F.lit(a).alias("a"), F.lit(b).cast("string").alias("b"), shifted[a].alias("x"), shifted[other].alias("y"),
+                        pivot[a].alias("kx"), pivot[other].alias("ky"))
+
+    items = [item(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]] + [item(a, None) for a in columns]
+    long = df.select(F.explode(F.array(*items)).alias("p")).select("p.*")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    n = F.count(x)
+    return long.groupBy(F.col("a").alias("col_a"), F.col("b").alias("col_b")).agg(
+        F.count(F.lit(1)).alias("total"), n.alias("n"), (F.avg(x) + F.max("kx")).alias("mx"), (F.avg(y) + F.max("ky")).alias("my"),
+        (F.coalesce(F.covar_pop(x, y), F.lit(0.0)) * n).alias("cxy"),
+        (F.coalesce(F.var_pop(x), F.lit(0.0)) * n).alias("mxx"), (F.coalesce(F.var_pop(y), F.lit(0.0)) * n).alias("myy"),
+    )
+
+
+def merge_comoments(*states: DataFrame) -> DataFrame:
+    """Co-moments of all rows from those of disjoint parts: deviations are moved to the common means, few rows per pair."""
+    rows = states[0]
+    for s in states[1:]:
+        rows = rows.unionByName(s)
+    keys = ["col_a", "col_b"]
+    group = Window.partitionBy(*keys)
+    n = F.sum("n").over(group)
+    mean = lambda m: F.when(n > 0, F.sum(F.coalesce(F.col(m), F.lit(0.0)) * F.col("n")).over(group) / n)
+    moved = rows.withColumn("_mx", mean("mx")).withColumn("_my", mean("my"))
+    dx = F.coalesce(F.col("mx") - F.col("_mx"), F.lit(0.0))
+    dy = F.coalesce(F.col("my") - F.col("_my"), F.lit(0.0))
+    return moved.groupBy(*keys).agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("_mx").alias("mx"), F.max("_my").alias("my"),
+        F.sum(F.col("cxy") + F.col("n") * dx * dy).alias("cxy"),
+        F.sum(F.col("mxx") + F.col("n") * dx * dx).alias("mxx"), F.sum(F.col("myy") + F.col("n") * dy * dy).alias("myy"),
+    )
+
+
+def finish_correlations(state: DataFrame) -> DataFrame:
+    """``col_a, col_b, n, pearson`` of pairs whose columns are both present in more than ``CORR_PRESENT`` of rows; pairs
+    with fewer than two rows or a constant side have no r. A column never present has no rows at all."""
+    share = state.filter(F.col("col_b").isNull()).select(
+        F.col("col_a").alias("_c"), (F.col("n") > F.col("total") * F.lit(CORR_PRESENT)).alias("_kept")
+    )
+    kept = F.broadcast(share.filter("_kept").select("_c"))  # one row per column
+    pairs = state.filter(F.col("col_b").isNotNull())
+    pairs = pairs.join(kept, pairs["col_a"] == kept["_c"], "left_semi").join(kept, pairs["col_b"] == kept["_c"], "left_semi")
+    r = F.col("cxy") / F.sqrt(F.col("mxx") * F.col("myy"))
+    # what rounding leaves of a constant column (a deviation below 1e-12 of the mean) is no variance
+    varies = lambda m, mean: F.col(m) > F.col("n") * F.pow(F.lit(1e-12) * F.col(mean), 2)
+    ok = (F.col("n") > 1) & (F.col("mxx") > 0) & (F.col("myy") > 0) & varies("mxx", "mx") & varies("myy", "my")
+    return pairs.filter(ok).select("col_a", "col_b", F.col("n").cast("bigint").alias("n"), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)).alias("pearson"))

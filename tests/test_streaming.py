@@ -186,3 +186,22 @@ def test_theta_overlap_holds_its_bounds_in_estimation_mode(spark):
             assert r.overlap_spread > 0 and abs(r.overlap - o) <= r.overlap_spread
             assert abs(r.unique_a - ua) <= r.unique_a_spread and abs(r.unique_b - ub) <= r.unique_b_spread
         assert found[("a", "d")].overlap == 0 and found[("a", "d")].unique_b == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+@pytest.mark.parametrize("offset", [0.0, 1.7e9])
+def test_comoments_of_any_split_equal_correlations(spark, parts, offset):
+    df = spark.range(0, 3000).select(
+        F.col("id"),
+        F.when(F.col("id") % 9 != 0, F.lit(offset) + F.col("id") * 0.5 + F.sin("id")).alias("a"),
+        F.when(F.col("id") % 4 != 0, F.lit(offset) + F.col("id") * 0.3 - F.cos(F.col("id") * 3)).alias("b"),
+        F.when(F.col("id") % 2 == 0, F.lit(offset) + F.sqrt("id")).otherwise(F.lit(0.0)).alias("c"),
+        F.lit(7.0).alias("flat"), F.when(F.col("id") % 10 == 0, F.col("id")).alias("rare"),
+    )
+    cols = ["a", "b", "c", "flat", "rare"]
+    pieces = [df.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) for i in range(parts)]
+    got = {(r.col_a, r.col_b): r for r in T.finish_correlations(T.merge_comoments(*[T.comoment_state(p, cols) for p in pieces])).collect()}
+    want = {(r.col_a, r.col_b): r for r in P.correlations(df, cols).collect()}
+    assert set(got) == set(want) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for k, r in want.items():
+        assert got[k].n == r.n and abs(got[k].pearson - r.pearson) < 1e-9, (k, got[k].pearson, r.pearson)
