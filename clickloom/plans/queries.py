@@ -872,6 +872,15 @@ def incremental_correlations(spark, sf):
     return T.finish_correlations(state).select("col_a", "col_b", "n", F.round("pearson", 4).alias("pearson"))
 
 
+@query
+def incremental_sample(spark, sf):
+    """``exact_sample`` of the events as files arrive: the least 500 by hash, kept and merged as state."""
+    stream, where = _files(spark, V.behaviour(spark, sf).select("event_id", "user_id", "item"))
+    sample = lambda rows: T.bottom_k(rows, ["event_id"], 500)
+    state = T.run_profile(stream, where, sample, lambda a, b: sample(a.unionByName(b)))
+    return state.select("event_id", "user_id", "item")
+
+
 @query
 def incremental_native(spark, sf):
     """The profile of ``incremental_profile``, kept by Spark's streaming aggregation in its state store."""

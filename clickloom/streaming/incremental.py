@@ -350,3 +350,18 @@ def finish_correlations(state: DataFrame) -> DataFrame:
     varies = lambda m, mean: F.col(m) > F.col("n") * F.pow(F.lit(1e-12) * F.col(mean), 2)
     ok = (F.col("n") > 1) & (F.col("mxx") > 0) & (F.col("myy") > 0) & varies("mxx", "mx") & varies("myy", "my")
     return pairs.filter(ok).select("col_a", "col_b", F.col("n").cast("bigint").alias("n"), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)).alias("pearson"))
+
+
+def bottom_k(rows: DataFrame, ids: list[str], k: int, seed: int = 42) -> DataFrame:
+    """The ``k`` rows least by the hash of their id (``_h``), then by id, then by a digest of the whole row: a uniform
+    sample of exactly ``k`` rows (all, if fewer) that is its own mergeable state.
+
+    Merging is the same call on the union of two samples, so the sample of any number of files in any order equals the
+    sample of all rows at once. Each task keeps ``k`` rows at most before they meet in one.
+    """
+    from clickloom.operators.splits import hash_key
+
+    data = [c for c in rows.columns if c != "_h"]
+    keyed = rows if "_h" in rows.columns else rows.withColumn("_h", hash_key(ids, seed))
+    whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in data])))
+    return keyed.withColumn("_row", whole).orderBy("_h", *ids, "_row").limit(k).drop("_row")

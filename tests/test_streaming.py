@@ -205,3 +205,26 @@ def test_comoments_of_any_split_equal_correlations(spark, parts, offset):
     assert set(got) == set(want) == {("a", "b"), ("a", "c"), ("b", "c")}
     for k, r in want.items():
         assert got[k].n == r.n and abs(got[k].pearson - r.pearson) < 1e-9, (k, got[k].pearson, r.pearson)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_bottom_k_of_files_in_any_order_equals_the_batch_sample(spark, parts):
+    df = spark.range(0, 4000).select((F.col("id") % 1500).alias("uid"), F.col("id").alias("v"), F.create_map(F.lit("k"), F.col("id") % 3).alias("m"))
+    pieces = [df.filter(F.pmod(F.xxhash64("v"), F.lit(parts)) == i) for i in range(parts)]
+    for order in (pieces, pieces[::-1]):
+        state = T.bottom_k(order[0], ["uid"], 300)
+        for p in order[1:]:
+            state = T.bottom_k(state.unionByName(T.bottom_k(p, ["uid"], 300)), ["uid"], 300)
+        got = sorted((r.uid, r.v) for r in state.collect())
+        assert len(got) == 300
+        assert got == sorted((r.uid, r.v) for r in T.bottom_k(df, ["uid"], 300).collect())
+    # a sample larger than the table holds every row
+    assert T.bottom_k(df.limit(10), ["uid"], 300).count() == 10
+
+
+def test_bottom_k_by_a_unique_id_equals_exact_sample(spark):
+    from clickloom.operators import splits as X
+
+    df = spark.range(0, 3000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("x"))
+    want = sorted(r.event_id for r in X.exact_sample(df, ["event_id"], 250).collect())
+    assert sorted(r.event_id for r in T.bottom_k(df, ["event_id"], 250).collect()) == want
