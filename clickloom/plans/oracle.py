@@ -637,6 +637,10 @@ SELECT CAST(c AS BIGINT) AS class, round(hit / greatest(said, 1), 6) AS precisio
     "incremental_correlations": f"""WITH {FEATS}, c AS ({corr_sql(FEAT, "feat")})
 SELECT col_a, col_b, n, round(r, 4) AS pearson FROM c WHERE isfinite(r)""",
     "incremental_sample": f"""WITH {BEH} SELECT event_id, user_id, item FROM beh ORDER BY {hash52(42, "event_id")}, event_id LIMIT 500""",
+    "incremental_outliers": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", true AS below_in_bounds, true AS above_in_bounds"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    ),
     "incremental_native": f"""WITH {long_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")}
 {incremental_sql(exact_mean6("v"))}""",
     "incremental_times": f"""WITH {BEH}, f AS (SELECT 1.7e9 + (event_id % 7) / 10 AS tick, ts FROM beh), {long_sql(["tick", "ts"], "f")}

@@ -881,6 +881,23 @@ def incremental_sample(spark, sf):
     return state.select("event_id", "user_id", "item")
 
 
+@query
+def incremental_outliers(spark, sf):
+    """Outliers of every lineitem column by the IQR rule from the state of arriving files; tells whether the exact counts
+    outside the sketch's fences lie within the intervals."""
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    df = V.table(spark, sf, "lineitem").select(*names)
+    stream, where = _files(spark, df)
+    state = T.run_profile(stream, where, lambda rows: T.profile_state(T.measures(rows, names)))
+    found = T.outlier_estimates(state)
+    values = T.measures(df, names).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    exact = values.join(F.broadcast(found.select("column", "lower", "upper")), "column").groupBy("column").agg(
+        F.count(F.when(F.col("value") < F.col("lower"), 1)).alias("_below"), F.count(F.when(F.col("value") > F.col("upper"), 1)).alias("_above")
+    )
+    near = lambda est, truth: F.abs(F.col(est) - F.col(truth)) <= F.col("spread")
+    return found.join(exact, "column").select("column", near("below", "_below").alias("below_in_bounds"), near("above", "_above").alias("above_in_bounds"))
+
+
 @query
 def incremental_native(spark, sf):
     """The profile of ``incremental_profile``, kept by Spark's streaming aggregation in its state store."""

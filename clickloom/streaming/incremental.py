@@ -365,3 +365,40 @@ def bottom_k(rows: DataFrame, ids: list[str], k: int, seed: int = 42) -> DataFra
     keyed = rows if "_h" in rows.columns else rows.withColumn("_h", hash_key(ids, seed))
     whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in data])))
     return keyed.withColumn("_row", whole).orderBy("_h", *ids, "_row").limit(k).drop("_row")
+
+
+def rank_error(k: int = KLL_K) -> float:
+    """Normalised rank error (99 % confidence, both sides) of a KLL sketch of parameter ``k``: the published fit
+    ``2.296 / k ** 0.9723``."""
+    return 2.296 / k**0.9723
+
+
+def outlier_estimates(state: DataFrame, whisker: float = 1.5) -> DataFrame:
+    """Outliers by the IQR rule from a profile state alone, without a second scan of the data.
+
+    Fences are ``q1 - whisker * iqr`` and ``q3 + whisker * iqr`` of the sketch's quartiles; values below the lower fence
+    are about ``rank(lower) * n``, above the upper ``(1 - rank(upper)) * n``, each within ``spread`` (``rank_error() * n``
+    plus one) of the truth. The sketch takes its points as constants, so the fences (one row per column) are read first.
+    Columns without values give no row.
+    """
+    kll = F.col("kll")
+    q1, q3 = F.kll_sketch_get_quantile_double(kll, F.lit(0.25)), F.kll_sketch_get_quantile_double(kll, F.lit(0.75))
+    fenced = state.filter(F.col("valid_count") > 0).select(
+        "column", F.col("valid_count").alias("n"), "kll", (q1 - F.lit(whisker) * (q3 - q1)).alias("lower"), (q3 + F.lit(whisker) * (q3 - q1)).alias("upper")
+    )
+    fences = fenced.select("column", "lower", "upper").collect()  # one row per column
+    if not fences:
+        return fenced.select("column", "n", "lower", "upper", *[F.lit(0.0).alias(c) for c in ("below", "above", "spread")])
+    n = F.col("n")
+
+    def at(point: str):
+        out = F.lit(None).cast("double")
+        for r in fences:
+            out = F.when(F.col("column") == F.lit(r["column"]), F.kll_sketch_get_rank_double(kll, F.lit(float(r[point])))).otherwise(out)
+        return out
+
+    # a rank counts the values at or below its point
+    return fenced.select(
+        "column", "n", "lower", "upper", (at("lower") * n).alias("below"), ((F.lit(1.0) - at("upper")) * n).alias("above"),
+        (F.lit(rank_error()) * n + F.lit(1.0)).alias("spread"),
+    )

@@ -228,3 +228,20 @@ def test_bottom_k_by_a_unique_id_equals_exact_sample(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("x"))
     want = sorted(r.event_id for r in X.exact_sample(df, ["event_id"], 250).collect())
     assert sorted(r.event_id for r in T.bottom_k(df, ["event_id"], 250).collect()) == want
+
+
+def test_outliers_from_merged_sketches_hold_their_intervals(spark):
+    df = spark.range(0, 20000).select(
+        F.col("id"), F.exp(F.sin(F.col("id") * 1.3) * 3).alias("x"), F.when(F.col("id") % 50 == 0, F.lit(1e6)).otherwise(F.col("id") % 100).alias("y")
+    )
+    parts = [T.profile_state(T.measures(df.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == i), ["x", "y"])) for i in range(4)]
+    found = {r["column"]: r for r in T.outlier_estimates(T.merge_states(*parts)).collect()}
+    rows = df.collect()
+    for c in ("x", "y"):
+        r = found[c]
+        below = sum(1 for row in rows if row[c] < r.lower)
+        above = sum(1 for row in rows if row[c] > r.upper)
+        assert abs(r.below - below) <= r.spread and abs(r.above - above) <= r.spread
+    assert sum(1 for row in rows if row["y"] > found["y"].upper) == 400
+    empty = T.outlier_estimates(T.profile_state(T.measures(df.filter("false"), ["x"])))
+    assert empty.count() == 0
