@@ -72,7 +72,8 @@ def _placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
         bad = F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
         columns[f"_class{i}"] = F.when(F.col(c).isNull(), 0).when(bad, 2).otherwise(1)
         columns[f"_place{i}"] = F.when(bad, F.lit(0)).otherwise(F.col(c))
-    whole = [c for c in df.columns if not _has_map(kinds[c])]
+    # maps and variants cannot be hashed as they are: their JSON stands for them, so rows that differ there never tie
+    whole = [F.to_json(F.struct(F.col(c))) if _has_map(kinds[c]) else F.col(c) for c in df.columns]
     columns["_tie"] = F.xxhash64(*whole) if whole else F.lit(0).cast("bigint")
     return df.select("*", *[c.alias(n) for n, c in columns.items()]), list(columns)
 

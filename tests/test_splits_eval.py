@@ -205,3 +205,25 @@ def test_stratified_split_with_repeated_ids_and_null_labels(spark):
     by = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
     sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
     assert all(abs(by.get((y, "test"), 0) - n / 4) < 1 for y, n in sizes.items())
+
+
+@pytest.mark.parametrize("kind", ["map", "nested", "variant"])
+def test_splits_keep_every_row_once_where_only_maps_differ(spark, kind):
+    base = spark.range(10).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    value = {
+        "map": F.create_map(F.lit("a"), F.col("i")),
+        "nested": F.array(F.create_map(F.lit("a"), F.create_map(F.lit("b"), F.col("i")))),
+        "variant": F.parse_json(F.concat(F.lit('{"a": '), F.col("i").cast("string"), F.lit("}"))),
+    }[kind]
+    df = base.select("k", value.alias("m"), "i").drop("i").repartition(3)
+    got = X.tail_split(df, ["k"], 0.4).select(F.to_json(F.struct("m")).alias("m"), "split").collect()
+    assert len(got) == 10 and len({r.m for r in got}) == 10
+    assert sorted(r.split for r in got).count("valid") == 4
+    sample = X.exact_sample(df, ["k"], 6).select(F.to_json(F.struct("m")).alias("m")).collect()
+    assert len(sample) == 6 and len({r.m for r in sample}) == 6
+
+
+def test_file_counts_read_no_data_column(spark):
+    df = X.with_file_order(spark.read.parquet("/root/testdata/sf0.01/orders.parquet"))
+    plan = df.groupBy(X.FILE).count()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
