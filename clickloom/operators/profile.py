@@ -341,7 +341,21 @@ def string_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def string_top(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    return top_values(value_counts(string_long(df, columns)).filter("value is not null"), k)
+    """The ``k`` most frequent non-NULL values per string column, ties by value: ``column, value, count, rank``.
+
+    Values are counted by a 128-bit digest, so long texts are not shuffled to be counted. The ``k``-th count of each column
+    comes from the counts alone; texts are then fetched only for digests above it and for those tied at it, and the ties
+    are ordered by text.
+    """
+    long = string_long(df, columns).filter("value is not null").withColumn("_d", F.md5("value"))
+    counts = long.groupBy("column", "_d").agg(F.count(F.lit(1)).alias("count"))
+    by_count = Window.partitionBy("column").orderBy(F.desc("count"))
+    kth = counts.withColumn("_r", F.row_number().over(by_count)).filter(F.col("_r") == k).select("column", F.col("count").alias("_kth"))
+    # columns with fewer than k values keep them all
+    wanted = counts.join(F.broadcast(kth), "column", "left").filter(F.col("_kth").isNull() | (F.col("count") >= F.col("_kth")))
+    texts = long.join(wanted.select("column", "_d"), ["column", "_d"], "left_semi").groupBy("column", "_d").agg(F.min("value").alias("value"))
+    found = wanted.join(texts, ["column", "_d"]).select("column", "value", "count")
+    return top_values(found, k)
 
 
 def string_sketch(df: DataFrame, columns: list[str], k: int = 20, counters: int = 10000) -> DataFrame:

@@ -475,7 +475,8 @@ SELECT * FROM r WHERE rank <= 10""",
   UNION ALL SELECT 'text', text FROM documents)
 SELECT "column", count(*) AS total, count(*) - count(v) AS null_count, count(DISTINCT v) AS unique_count FROM t GROUP BY 1""",
     "string_top": """WITH t AS (
-  SELECT 'lang' AS "column", nullif(lang, 'en') AS v FROM documents UNION ALL SELECT 'source', source FROM documents),
+  SELECT 'lang' AS "column", nullif(lang, 'en') AS v FROM documents UNION ALL SELECT 'source', source FROM documents
+  UNION ALL SELECT 'text', text FROM documents),
 c AS (SELECT "column", v AS value, count(*) AS count FROM t WHERE v IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 20""",

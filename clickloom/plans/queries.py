@@ -357,7 +357,7 @@ def string_stats(spark, sf):
 
 @query
 def string_top(spark, sf):
-    return tidy(P.string_top(_text_columns(spark, sf), ["lang", "source"], 20), counts=["rank"])
+    return tidy(P.string_top(_text_columns(spark, sf), ["lang", "source", "text"], 20), counts=["rank"])
 
 
 @query

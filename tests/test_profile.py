@@ -185,3 +185,13 @@ def test_coverage_by_first_field(spark):
     df = spark.createDataFrame([([1], [0]), ([0], [3]), ([5], [])], "d_seq_9 array<bigint>, d_seq_1 array<bigint>")
     held = lambda first: [r["valid_len"] for r in P.array_domain_lengths(df, cat, first).collect()]
     assert held(True) == [1, 0, 1] and held(False) == [0, 1, 0]
+
+
+def test_string_top_by_digest_equals_counting_values(spark):
+    rows = [("x" * 5000 + str(i % 7), "b" if i % 3 else None) for i in range(100)] + [("tie" + str(i), "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "t string, u string")
+    for k in (1, 3, 8, 40):
+        got = sorted(tuple(r) for r in P.string_top(df, ["t", "u"], k).collect())
+        want = sorted(tuple(r) for r in P.top_values(P.value_counts(P.string_long(df, ["t", "u"])).filter("value is not null"), k).collect())
+        assert got == want
+    assert P.string_top(df.filter("false"), ["t"], 5).count() == 0
