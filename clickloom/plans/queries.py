@@ -802,11 +802,18 @@ def batch_scoring(spark, sf):
 # ---- streaming ----------------------------------------------------------------------------------
 
 
-def _files(spark: SparkSession, df: DataFrame, parts: int = 3) -> tuple[DataFrame, str]:
-    """The rows of a table as a stream of several files, one a batch, and a folder for its state."""
+def _files(spark: SparkSession, df: DataFrame, batches: int = 3) -> tuple[DataFrame, str]:
+    """The rows of a table as a stream of files arriving in about ``batches`` batches, and a folder for its state.
+
+    The files are written by as many tasks as the table is read in (``batches`` at least), not by ``batches`` tasks.
+    """
     where = work_dir(spark, "profile")
-    df.repartition(parts, F.xxhash64(df.columns[0])).write.parquet(f"{where}/in")
-    return T.stream_files(spark, f"{where}/in", df.schema), where
+    parts = max(batches, df.rdd.getNumPartitions())
+    df.repartition(parts).write.parquet(f"{where}/in")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/in")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sum(1 for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet"))
+    return T.stream_files(spark, f"{where}/in", df.schema, files_per_batch=max(1, -(-files // batches))), where
 
 
 def _in_bounds(finished: DataFrame, long: DataFrame) -> list[str]:
