@@ -19,9 +19,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,15 @@ END = 1
 STEP_WINDOWS = 512
 #: Ranks within a length are counted in so many parts.
 BUCKETS = 256
-#: Word ids kept by a worker before it starts afresh.
-CACHE = 1_000_000
-_DOUBLE = re.compile(r"\s\s")
+#: Words kept by a worker; beyond that, those met in one batch only are forgotten.
+CACHE = 600_000
+#: Texts encoded at once: at most so many, and so many bytes of them unless one text alone is longer.
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+#: Words encoded as one text.
+JOINED = 2000
+MARKS = ".,;:!?"
+#: Between NULs: a part with white space next to white space or at an end, but for one space before it; a line break is one.
+_ODD = re.compile(r"\0(?!\n\0)(?:(?! )\s|[^\0]*\s(?:\s|\0))")
 
 
 def default_tokenizer() -> str:
@@ -52,47 +60,158 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _byte_lengths(path: str) -> np.ndarray:
+    """Bytes of text that each id of a byte-level vocabulary stands for: a character of the token for each."""
+    vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    return out
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts as unsigned 32-bit numbers, a batch at a time.
 
     Where white space stands alone, the tokenizer's words end before a space and on both sides of a line break, and a mark
-    after a letter is a word of its own. Such texts are cut there and the ids of their parts looked up, so only parts not
-    met before are encoded; texts with white space next to white space are encoded whole.
+    after a letter is a word of its own. Such texts are cut there, the parts of a batch are counted once, and the ids of
+    each different part are looked up, so only parts not met before are encoded; texts with white space next to white space
+    are encoded whole. The ids of all known parts lie in one array, from which those of a batch are gathered.
     """
 
-    def __init__(self, path: str):
-        self.path, self.known = path, {"": b""}
+    def __init__(self, path: str, most: int = CACHE):
+        self.path, self.most = path, most
+        self._forget(np.zeros(0, np.int64))
+
+    def _forget(self, keep: np.ndarray) -> None:
+        """Only the known parts at the places ``keep`` (ascending) stay."""
+        if len(keep):
+            lengths = self.lengths[keep]
+            flat = self._gather(self.starts[keep], lengths)
+            kept = np.zeros(len(self.known), bool)
+            kept[keep] = True
+            words = [w for w, k in zip(self.known, kept.tolist(), strict=True) if k]
+            self.starts, self.lengths, self.flat = np.cumsum(lengths) - lengths, lengths, flat
+        else:
+            # the empty part is at place 0
+            words, self.starts, self.lengths, self.flat = [""], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.known: dict[str, int] = {w: i for i, w in enumerate(words)}  # the place of a part, in order of places
+        self.met, self.odd = np.zeros(len(words), np.int64), set()
+
+    def _gather(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        before = np.cumsum(lengths) - lengths
+        return self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+    def _ids(self, parts: list[str], lead: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of parts and the number of each, some thousand parts at once as one text, each behind ``lead``; parts of a
+        text that does not fall apart again at its parts are encoded one by one."""
+        tok, sizes = _tokenizer(self.path), _byte_lengths(self.path)
+        flat, lengths = [], []
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            text = lead + lead.join(some)
+            ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(0, np.cumsum(sizes[ids]))
+            plain = map(len, some) if text.isascii() else (len(w.encode()) for w in some)
+            size = np.fromiter(plain, np.int64, len(some)) + len(lead)
+            stop = np.cumsum(size)
+            start = stop - size + len(lead)
+            first, last = np.searchsorted(ends, start), np.searchsorted(ends, stop)
+            if ends[-1] == stop[-1] and (ends[first] == start).all() and (ends[last] == stop).all():
+                own = np.ones(len(ids), bool)
+                if lead:
+                    own[first - 1] = False
+                flat.append(ids[own])
+                lengths.append(last - first)
+            else:
+                each = [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+                flat.extend(each)
+                lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return flat, lengths
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         known = self.known
-        marked = [w for w in parts if w[-1] in ".,;:!?" and w[-2:-1].isalpha()]
-        new = list((parts.difference(marked) | {w[:-1] for w in marked} | set(".,;:!?")).difference(known))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, _tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        marked = [w for w in parts if w[-1] in MARKS and w[-2:-1].isalpha()]
+        plain = dict.fromkeys(parts)
         for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1]]
+            del plain[w]
+        plain.update(dict.fromkeys(w[:-1] for w in marked))
+        plain.update(dict.fromkeys(MARKS))
+        new = [w for w in plain if w not in known]
+        # white space at an end or next to white space: a text with such a part is encoded whole
+        bad = []
+        if _ODD.search("\0" + "\0".join(new) + "\0"):
+            bad = [w for w in new if _ODD.search(f"\0{w}\0")]
+            new = [w for w in new if not _ODD.search(f"\0{w}\0")]
+        # a part that begins with a space ends the word before it; the others are set off by a line break
+        spaced, others = [w for w in new if w[0] == " "], [w for w in new if w[0] != " "]
+        flat, lengths = [self.flat], [self.lengths]
+        for some, lead in ((spaced, ""), (others, "\n")):
+            ids, counts = self._ids(some, lead)
+            flat += ids
+            lengths += counts
+        for w in (*spaced, *others):
+            known[w] = len(known)
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        # a word with a mark: the ids of both in turn
+        whole = [w for w in marked if w[:-1] in known and known[w[:-1]] >= 0]
+        both = np.empty((len(whole), 2), np.int64)
+        both[:, 0] = np.fromiter((known[w[:-1]] for w in whole), np.int64, len(whole))
+        both[:, 1] = np.fromiter((known[w[-1]] for w in whole), np.int64, len(whole))
+        more = self._gather(self.starts[both.ravel()], self.lengths[both.ravel()])
+        for w in whole:
+            known[w] = len(known)
+        self.flat = np.append(self.flat, more)
+        # the ids of a known part lie behind those of the part before it
+        self.lengths = np.append(self.lengths, self.lengths[both].sum(1))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.odd.update(bad, (w for w in marked if w[:-1] in self.odd or w[:-1] in bad))
+        self.met = np.append(self.met, np.zeros(len(known) - len(self.met), np.int64))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        split = [
-            [t] if "\0" in t or _DOUBLE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts
-        ]
-        found = [list(map(self.known.get, parts)) for parts in split]
-        new = {w for parts, ids in zip(split, found, strict=True) if len(parts) > 1 and None in ids for w, i in zip(parts, ids, strict=True) if i is None}
-        self._learn(new)
-        known, out = self.known, []
-        for parts, ids in zip(split, found, strict=True):
-            if len(parts) == 1:
-                e = _tokenizer(self.path).encode(parts[0], add_special_tokens=False)
-                out.append(np.array(e.ids, "<u4").tobytes())
-            elif None in ids:
-                out.append(b"".join([known[w] if i is None else i for w, i in zip(parts, ids, strict=True)]))
-            else:
-                out.append(b"".join(ids))
-        return out
+        """Little-endian ids of each text."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and the number of each; NULL is empty."""
+        if len(self.known) + len(self.odd) > self.most:
+            often = np.flatnonzero(self.met > 1)
+            often = often[often > 0] if len(often) < self.most // 2 else often[:0]
+            self._forget(np.append(0, often) if len(often) else often)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        alone = pc.invert(pc.or_(pc.match_substring(texts, "\0"), pc.or_(pc.match_substring(texts, "\n\n"), pc.match_substring(texts, "\n "))))
+        cut = pc.if_else(alone, texts, "")
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
+        parts = pc.split_pattern(cut, "\0")
+        bounds = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        # no part holds a NUL
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())), "\0")[0].as_py().split("\0")
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self._learn([w for w in unknown if w not in self.odd])
+            places[new] = np.fromiter(map(self.known.get, unknown, repeat(-1)), np.int64, len(unknown))
+        # a part of white space that the tokenizer may join with its neighbours has no ids of its own
+        known = np.maximum(places, 0)
+        self.met[known] += 1
+        indices = coded.indices.to_numpy()
+        bad = np.append(0, np.cumsum(places[indices] < 0))
+        place = known[indices]
+        whole = ~alone.to_numpy(zero_copy_only=False) | (bad[bounds[1:]] > bad[bounds[:-1]])
+        ids_before = np.append(0, np.cumsum(self.lengths[place]))
+        counts = ids_before[bounds[1:]] - ids_before[bounds[:-1]]
+        gathered = self._gather(self.starts[place], self.lengths[place])
+        if not whole.any():
+            return gathered, counts
+        encoded = _tokenizer(self.path).encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        rest, out = iter([np.array(e.ids, "<u4") for e in encoded]), []
+        for i, is_whole in enumerate(whole.tolist()):
+            out.append(next(rest) if is_whole else gathered[ids_before[bounds[i]] : ids_before[bounds[i + 1]]])
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
 
 @cache
@@ -101,24 +220,46 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _batches(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` of text (one row at least)."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        done = int(sizes[at - 1]) if at else 0
+        end = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right"))))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of every piece of every row; NULL text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer_path), np.array([END], "<u4").tobytes()
+        encoder = _encoder(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                out = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, *((piece,) if with_ids else ())))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-                kinds = [pa.int64()] * 5 + ([pa.binary()] if with_ids else [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=names)
+            for part in _batches(b, 1):
+                ids, counts = encoder.encode_column(part.column(1))
+                tokens = counts + 1
+                ends = np.cumsum(tokens)
+                # every document's ids and the end id behind them
+                own = np.ones(int(ends[-1]), bool)
+                own[ends - 1] = False
+                stream = np.full(len(own), END, "<u4")
+                stream[own] = ids
+                pieces = -(-tokens // window)
+                doc = np.repeat(np.arange(len(tokens)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(tokens[doc] - start, window)
+                low = (ends - tokens)[doc] + start
+                data = memoryview(stream).cast("B")
+                cuts = [data[4 * i : 4 * (i + n)] for i, n in zip(low.tolist(), length.tolist(), strict=True)]
+                columns = [
+                    part.column(0).take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                    pa.array(list(map(zlib.crc32, cuts)), pa.int64()), pa.array(tokens[doc], pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.array([c.tobytes() for c in cuts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,6 +210,17 @@ def test_cut_texts_give_the_ids_of_whole_texts(text):
     assert ids == want.encode(text, add_special_tokens=False).ids
 
 
+def test_a_batch_is_encoded_at_once_and_only_words_met_again_are_kept():
+    want, encoder = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER, 60)
+    for n in range(8):
+        texts = [None, "", f"the n{n}a, n{n}b.\nthen, é{n}", f" the  gap{n}", f"a\0b{n} the", " ", "\n", f"the\tn{n} end.", *(f"once{n}x{i}" for i in range(40))]
+        ids, counts = encoder.encode_column(pa.array(texts, pa.string()))
+        each = [want.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, each)) and ids.tolist() == [i for e in each for i in e]
+    # what only one batch held is forgotten, what each held is not
+    assert len(encoder.known) < 150 and " the" not in encoder.odd and "the" in encoder.known and "once0x1" not in encoder.known
+
+
 def check_packed(rows, texts):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     windows, docs = defaultdict(list), defaultdict(list)
