@@ -297,25 +297,32 @@ def comoment_state(df: DataFrame, columns: list[str]) -> DataFrame:
 
     # values are taken less a pivot per column (the batch's mean): products of deviations keep their digits near 1.7e9
     pivots = df.agg(*[F.coalesce(F.avg(present(c)), F.lit(0.0)) for c in columns]).first() if columns else []
-    shifted = {c: present(c) - F.lit(float(p)) for c, p in zip(columns, pivots, strict=True)}
-    pivot = {c: F.lit(float(p)) for c, p in zip(columns, pivots, strict=True)}
-
-    def item(a: str, b: str | None) -> Column:
-        other = b or a
-        return F.struct(F.lit(a).alias("a"), F.lit(b).cast("string").alias("b"), shifted[a].alias("x"), shifted[other].alias("y"),
-                        pivot[a].alias("kx"), pivot[other].alias("ky"))
-
-    items = [item(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]] + [item(a, None) for a in columns]
-    long = df.select(F.explode(F.array(*items)).alias("p")).select("p.*")
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    shifted = [present(c) - F.lit(float(p)) for c, p in zip(columns, pivots, strict=True)]
+
+    # a row is exploded into the numbers of its pairs only; values are looked up by place, so that rows group by one int
+    # and carry no names
+    ends = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))] + [(i, i) for i in range(len(columns))]
+    first, last = F.array(*[F.lit(i) for i, _ in ends]), F.array(*[F.lit(j) for _, j in ends])
+    long = df.select(F.array(*shifted).alias("_v")).select("_v", F.explode(F.array(*[F.lit(k) for k in range(len(ends))])).alias("_pair"))
+    long = long.select("_pair", F.get("_v", F.get(first, F.col("_pair"))).alias("_x"), F.get("_v", F.get(last, F.col("_pair"))).alias("_y"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
     n = F.count(x)
-    return long.groupBy(F.col("a").alias("col_a"), F.col("b").alias("col_b")).agg(
-        F.count(F.lit(1)).alias("total"), n.alias("n"), (F.avg(x) + F.max("kx")).alias("mx"), (F.avg(y) + F.max("ky")).alias("my"),
+    sums = long.groupBy("_pair").agg(
+        F.count(F.lit(1)).alias("total"), n.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         (F.coalesce(F.covar_pop(x, y), F.lit(0.0)) * n).alias("cxy"),
         (F.coalesce(F.var_pop(x), F.lit(0.0)) * n).alias("mxx"), (F.coalesce(F.var_pop(y), F.lit(0.0)) * n).alias("myy"),
     )
 
+    def of_pair(values: list, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_pair"))
+
+    return sums.select(
+        of_pair([columns[i] for i, _ in ends], "string").alias("col_a"), of_pair([columns[j] if i != j else None for i, j in ends], "string").alias("col_b"),
+        "total", "n", (F.col("mx") + of_pair([float(pivots[i]) for i, _ in ends], "double")).alias("mx"),
+        (F.col("my") + of_pair([float(pivots[j]) for _, j in ends], "double")).alias("my"), "cxy", "mxx", "myy",
+    )
+
 
 def merge_comoments(*states: DataFrame) -> DataFrame:
     """Co-moments of all rows from those of disjoint parts: deviations are moved to the common means, few rows per pair."""

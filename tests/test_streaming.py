@@ -188,6 +188,16 @@ def test_theta_overlap_holds_its_bounds_in_estimation_mode(spark):
         assert found[("a", "d")].overlap == 0 and found[("a", "d")].unique_b == 0
 
 
+def test_comoments_group_by_one_number_and_carry_no_names(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, None), (2.0, 5.0, 3.0), (0.0, 1.0, 4.0)], "a double, b double, c double")
+    state = T.comoment_state(rows, ["a", "b", "c"])
+    # names and pivots are looked up after the aggregation, one row per pair
+    assert "Aggregate [_pair" in state._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["col_a"], r["col_b"]): (r["total"], r["n"], r["mx"], r["my"]) for r in state.collect()}
+    assert found[("a", "b")] == (3, 2, 1.5, 3.5) and found[("a", "c")] == (3, 1, 2.0, 3.0)
+    assert found[("c", None)] == (3, 2, 3.5, 3.5) and len(found) == 6
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 @pytest.mark.parametrize("offset", [0.0, 1.7e9])
 def test_comoments_of_any_split_equal_correlations(spark, parts, offset):
