@@ -5,8 +5,8 @@ largest document id. It is then merged with what is known:
 
 - the *settled* run holds keys already found in ``min_docs`` documents. The batch's keys that are there only update their
   count and last document;
-- the rest (merge anti-join) becomes a new run of level 0. ``FAN_IN`` runs of a level are compacted to one run of the
-  next; keys that reach ``min_docs`` there move on to the settled run.
+- the rest (merge anti-join) becomes a new run of level 0. ``FAN_IN`` runs of a level, the new one among them, are compacted
+  to one run of the next without being written before; keys that reach ``min_docs`` there move on to the settled run.
 
 Runs are bucketed and sorted by key, so joining a batch with a run needs no shuffle of the run. A key's rows are
 pre-aggregated in every task before they move, so a line that a third of all documents share costs one row per task.
@@ -53,20 +53,34 @@ class LineRuns:
         self.settled: str | None = None
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: one row ``k1, k2, doc_id`` per document and key; no document may come in two batches."""
+        """``batch``: one row ``k1, k2, doc_id`` per document and key; no document may come in two batches.
+
+        What a batch brings is merged with the runs of every level that it fills in one step, so a batch writes one run and
+        the settled run, however many levels are compacted.
+        """
         keys = batch.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        new, settling = keys, []
         if self.settled:
             known = self.spark.table(self.settled).hint("merge")
-            new = self._write(keys.join(known, KEY, "left_anti"))
-            self._settle(keys.join(known.select(*KEY), KEY, "left_semi"))
-        else:
-            new = self._write(keys)
-        self.levels[0].append(new)
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= self.fan_in:
-                self._compact(level)
+            new = keys.join(known, KEY, "left_anti")
+            settling.append(keys.join(known.select(*KEY), KEY, "left_semi"))
+        level, old = 0, []
+        while level < len(self.levels) and len(self.levels[level]) + 1 >= self.fan_in:
+            old += self.levels[level]
+            self.levels[level] = []
             level += 1
+        if old:
+            both = self._merged([*(self.spark.table(r) for r in old), new])
+            new = both.filter(F.col("n_docs") < self.min_docs)
+            settling.append(both.filter(F.col("n_docs") >= self.min_docs))
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(self._write(new))
+        if settling:
+            before = self.settled
+            self.settled = self._write(self._merged([*([self.spark.table(before)] if before else []), *settling]))
+            self._delete(*([before] if before else []))
+        self._delete(*old)
 
     def frequent(self) -> DataFrame:
         """``k1, k2, last_doc`` of the keys found in at least ``min_docs`` documents, over all runs."""
@@ -77,22 +91,6 @@ class LineRuns:
     def close(self) -> None:
         self._delete(*([self.settled] if self.settled else []), *(r for level in self.levels for r in level))
 
-    def _settle(self, rows: DataFrame) -> None:
-        old = self.settled
-        self.settled = self._write(self._merged([self.spark.table(old), rows]) if old else rows)
-        if old:
-            self._delete(old)
-
-    def _compact(self, level: int) -> None:
-        old = list(self.levels[level])
-        both = self._merged([self.spark.table(r) for r in old])
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        self.levels[level + 1].append(self._write(both.filter(F.col("n_docs") < self.min_docs)))
-        self._settle(both.filter(F.col("n_docs") >= self.min_docs))
-        self.levels[level].clear()
-        self._delete(*old)
-
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         def two(a: DataFrame, b: DataFrame) -> DataFrame:
             b = b.select(*KEY, F.col("n_docs").alias("more_docs"), F.col("last_doc").alias("other_doc"))

@@ -39,6 +39,14 @@ def test_line_dedup(spark, odd, none, tables):
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
 
 
+def test_a_batch_writes_one_run_and_the_settled_run(odd, scratch, monkeypatch):
+    written, write = [], L.LineRuns._write
+    monkeypatch.setattr(L.LineRuns, "_write", lambda self, df: written.append(write(self, df)) or written[-1])
+    L.repeated_lines(odd, scratch, batches=4)
+    # compacted levels are not written before they are merged on: the first batch has nothing to settle
+    assert len(written) == 7
+
+
 def test_line_dedup_rewrites_text_only(odd, none, scratch):
     out = L.dedup_lines(odd, scratch)
     assert out.columns == odd.columns and out.count() == odd.count()
