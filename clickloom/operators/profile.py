@@ -88,15 +88,24 @@ def column_census(df: DataFrame) -> DataFrame:
 # ---- long forms ---------------------------------------------------------------------------------
 
 
-def long_form(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``(column, value)`` rows of columns of one type; NULLs are kept.
+def numbered_form(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """``(_pos, value)`` rows of columns of one type by their place in the list; NULLs are kept.
 
     One array exploded by position: the generated code stays small for hundreds of columns, which an
-    unpivot with one projection per column does not.
+    unpivot with one projection per column does not. Rows that are grouped carry one int instead of a name.
     """
-    names = F.array(*[F.lit(c) for c in columns])
-    rows = df.select(F.posexplode(F.array(*columns.values())).alias("_pos", "value"))
-    return rows.select(F.get(names, F.col("_pos")).alias("column"), "value")
+    return df.select(F.posexplode(F.array(*columns)).alias("_pos", "value"))
+
+
+def named(numbered: DataFrame, names: list[str]) -> DataFrame:
+    """The name at place ``_pos`` as ``column``, before the other columns."""
+    rest = [c for c in numbered.columns if c != "_pos"]
+    return numbered.select(F.get(F.array(*[F.lit(c) for c in names]), F.col("_pos")).alias("column"), *rest)
+
+
+def long_form(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``(column, value)`` rows of columns of one type; NULLs are kept."""
+    return named(numbered_form(df, list(columns.values())), list(columns))
 
 
 def scalar_long(df: DataFrame, columns: list[str]) -> DataFrame:

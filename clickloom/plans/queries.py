@@ -802,25 +802,32 @@ def batch_scoring(spark, sf):
 # ---- streaming ----------------------------------------------------------------------------------
 
 
+#: Files of arriving rows hold between so many rows, as far as there are enough for every batch.
+FILE_ROWS = (20_000, 1_000_000)
+
+
 def _files(spark: SparkSession, df: DataFrame, batches: int = 3) -> tuple[DataFrame, str]:
     """The rows of a table as a stream of files arriving in about ``batches`` batches, and a folder for its state.
 
-    The files are written by as many tasks as the table is read in (``batches`` at least), not by ``batches`` tasks.
+    Rows are written by the tasks that read them, without a shuffle, as files of so many rows that each batch keeps all
+    cores busy.
     """
     where = work_dir(spark, "profile")
-    parts = max(batches, df.rdd.getNumPartitions())
-    df.repartition(parts).write.parquet(f"{where}/in")
+    n, (least, most) = df.count(), FILE_ROWS
+    rows = min(max(-(-n // (batches * spark.sparkContext.defaultParallelism)), least), most, max(1, -(-n // batches)))
+    df.write.option("maxRecordsPerFile", rows).parquet(f"{where}/in")
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/in")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     files = sum(1 for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet"))
     return T.stream_files(spark, f"{where}/in", df.schema, files_per_batch=max(1, -(-files // batches))), where
 
 
-def _in_bounds(finished: DataFrame, long: DataFrame) -> list[str]:
+def _in_bounds(finished: DataFrame, numbered: DataFrame, columns: list[str]) -> DataFrame:
     """Adds booleans: true ranks within 2% of those of the percentiles, distinct values within 5%."""
     names = {0.5: "approx_p50", 0.9: "approx_p90", 0.99: "approx_p99"}
     found = F.broadcast(finished.select("column", "approx_distinct", *names.values()))  # one row per column
-    counts = P.value_counts(long.filter("value is not null")).join(found, "column")
+    # values are counted by the number of their column, names are put on the de-duplicated rows
+    counts = P.named(P.value_counts(numbered.filter("value is not null"), ["_pos"]), columns).join(found, "column")
     n = F.sum("count")
     checks = counts.groupBy("column").agg(
         *[
@@ -840,8 +847,8 @@ def _incremental(spark: SparkSession, df: DataFrame, columns: list[str], native:
     if native:
         state = T.native_profile(stream, where, columns)
     else:
-        state = T.run_profile(stream, where, lambda rows: T.profile_state(T.measures(rows, columns)))
-    out = _in_bounds(T.finish(state), T.measures(df, columns))
+        state = T.run_profile(stream, where, lambda rows: T.columns_state(rows, columns))
+    out = _in_bounds(T.finish(state), T.measures(df, columns, "_pos"), T.measure_names(df, columns))
     # the exact mean is rounded as a decimal: its nearest double may lie on the other side of a tie
     mean = F.coalesce(F.round("mean_exact", 6).cast("double"), F.col("mean"))
     return tidy(out.withColumn("mean", mean).drop("mean_exact"), doubles=["null_rate", "min", "max", "mean", "std"])
@@ -895,7 +902,7 @@ def incremental_outliers(spark, sf):
     names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     df = V.table(spark, sf, "lineitem").select(*names)
     stream, where = _files(spark, df)
-    state = T.run_profile(stream, where, lambda rows: T.profile_state(T.measures(rows, names)))
+    state = T.run_profile(stream, where, lambda rows: T.columns_state(rows, names))
     found = T.outlier_estimates(state)
     values = T.measures(df, names).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     exact = values.join(F.broadcast(found.select("column", "lower", "upper")), "column").groupBy("column").agg(

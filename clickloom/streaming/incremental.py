@@ -11,53 +11,94 @@ are kept as levelled runs instead (``levelled.py``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.operators.order_stats import probe_name
-from clickloom.operators.profile import array_long, column_kinds, finish_moments, long_form, merge_moments, scalar_long, string_long
+from clickloom.operators.profile import column_kinds, finish_moments, merge_moments, named, numbered_form, string_long
 
 PROBS = [0.5, 0.9, 0.99]
 TOP_COUNTERS = 10_000
 KLL_K = 400
 
 
-def measures(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value)`` rows of everything that is profiled as a number: scalars under their name,
-    array lengths under ``name#len`` and array elements under ``name#elem``."""
+def _measured(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
     kinds = column_kinds(df.select(*columns))
-    scalars = [c for c in columns if kinds[c].startswith("scalar")]
-    arrays = [c for c in columns if kinds[c] == "array"]
+    return [c for c in columns if kinds[c].startswith("scalar")], [c for c in columns if kinds[c] == "array"]
+
+
+def measure_names(df: DataFrame, columns: list[str]) -> list[str]:
+    """What ``measures`` profiles as a number: scalars under their name, array lengths under ``name#len`` and array
+    elements under ``name#elem``."""
+    scalars, arrays = _measured(df, columns)
+    return [*scalars, *[f"{c}#len" for c in arrays], *[f"{c}#elem" for c in arrays]]
+
+
+def measures(df: DataFrame, columns: list[str], key: str = "column") -> DataFrame:
+    """``(column, value)`` rows of everything in ``measure_names``; with ``key`` ``_pos`` the place there instead of the name,
+    which is cheaper to group by (``named`` looks the names up on what is left)."""
+    scalars, arrays = _measured(df, columns)
     parts = []
     if scalars:
-        parts.append(scalar_long(df, scalars))
+        parts.append(numbered_form(df, [F.col(c).cast("double") for c in scalars]))
     if arrays:
-        parts.append(long_form(df, {f"{c}#len": F.size(c).cast("double") for c in arrays}))
-        elements = array_long(df, arrays)
-        parts.append(elements.select(F.concat("column", F.lit("#elem")).alias("column"), "value"))
+        n = len(scalars)
+        sizes = numbered_form(df, [F.size(c).cast("double") for c in arrays])
+        parts.append(sizes.select((F.col("_pos") + n).alias("_pos"), "value"))
+        elements = numbered_form(df, [F.col(c).cast("array<double>") for c in arrays])
+        parts.append(elements.select((F.col("_pos") + n + len(arrays)).alias("_pos"), F.explode("value").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out if key == "_pos" else named(out, measure_names(df, columns))
 
 
 #: Exact sums are kept to this many decimals; a value of 10 ** (38 - EXACT_SCALE) or more makes its column's sum inexact.
 EXACT_SCALE = 18
+#: Values of up to this many decimals and ``EXACT_DIGITS`` digits are summed as whole numbers.
+UNIT_SCALE = 4
+EXACT_DIGITS = 15
+LOW_BITS = 25
 
 
-def profile_state(long: DataFrame) -> DataFrame:
+def _exact_sum(v: Column) -> tuple[Column, Column]:
+    """The exact sum of doubles, each taken as its shortest decimal form, and the number of values it cannot hold.
+
+    A double that equals a whole number of ``10 ** -UNIT_SCALE`` of at most 15 digits has that decimal as its shortest form,
+    as no two decimals of 15 digits share a double. Such values add up as whole numbers, in two halves that do not
+    overflow below 10 ** 11 rows; only the others are cast to decimals, which costs some ten times as much.
+    """
+    scale = F.lit(10.0**UNIT_SCALE)
+    units = F.rint(v * scale)
+    small = F.coalesce((units / scale == v) & (F.abs(units) < F.lit(10.0**EXACT_DIGITS)), F.lit(False))
+    whole = F.when(small, units.cast("bigint"))
+    other = F.when(v.isNotNull() & ~small, v.try_cast(f"decimal(38, {EXACT_SCALE})"))
+    high, low = F.try_sum(F.shiftright(whole, LOW_BITS)), F.try_sum(whole.bitwiseAND(F.lit(2**LOW_BITS - 1).cast("bigint")))
+    wide = lambda c: c.cast("decimal(20, 0)")
+    fast = (wide(high) * F.lit(Decimal(2**LOW_BITS)) + wide(low)) * F.lit(Decimal(1).scaleb(-UNIT_SCALE))
+    held = f"decimal(38, {EXACT_SCALE})"
+    half = f"decimal(37, {EXACT_SCALE})"  # two of them add up without giving up a decimal
+    fast, slow = fast.try_cast(held), F.try_sum(other)
+    both = F.coalesce(F.try_add(fast.try_cast(half), slow.try_cast(half)), F.try_add(fast, slow).try_cast(held))
+    # a sum is NULL where there is nothing to add and where it overflows
+    total = F.when(F.count(other) == 0, fast).when(F.count(whole) == 0, slow).otherwise(both)
+    return total, F.count(F.when(v.isNotNull() & ~small & other.isNull(), 1))
+
+
+def profile_state(long: DataFrame, key: str = "column") -> DataFrame:
     """Mergeable state per column; works on static and on streaming rows.
 
     Beside the moments, ``sum`` adds the values as decimals of ``EXACT_SCALE`` places, so the mean of any number of batches
     is one division at the end; ``inexact`` counts values that such a decimal cannot hold (then the mean of the moments serves).
     """
     v = F.when(~F.isnan("value"), F.col("value"))
-    exact = F.when(v.isNotNull(), F.expr(f"try_cast(value AS DECIMAL(38, {EXACT_SCALE}))"))
-    return long.groupBy("column").agg(
-        F.try_sum(exact).alias("sum"),
-        F.count(F.when(v.isNotNull() & exact.isNull(), 1)).alias("inexact"),
+    total, inexact = _exact_sum(v)
+    return long.groupBy(key).agg(
+        total.alias("sum"),
+        inexact.alias("inexact"),
         F.count(F.lit(1)).alias("total"),
         F.count(v).alias("valid_count"),
         F.avg(v).alias("mean"),
@@ -69,6 +110,11 @@ def profile_state(long: DataFrame) -> DataFrame:
     )
 
 
+def columns_state(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``profile_state`` of the ``measures`` of a table: rows group by a number, names are put on the state."""
+    return named(profile_state(measures(df, columns, "_pos"), "_pos"), measure_names(df, columns))
+
+
 def merge_states(*states: DataFrame) -> DataFrame:
     """Combine states computed apart, e.g. one per day or per cluster."""
     rows = states[0]
@@ -210,7 +256,7 @@ def native_profile(stream: DataFrame, where: str, columns: list[str]) -> DataFra
     key = "spark.sql.streaming.stateStore.providerClass"
     if not spark.conf.get(key, None):
         spark.conf.set(key, ROCKSDB)
-    state = profile_state(measures(stream, columns))
+    state = columns_state(stream, columns)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     root = jvm_path(f"{where}/epochs")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())

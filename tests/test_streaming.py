@@ -145,6 +145,56 @@ def test_exact_mean_of_any_split_equals_duckdb(spark, parts):
     assert float(half_up) == rounded == 0.049919
 
 
+def test_sums_of_whole_units_and_of_other_decimals_are_exact(spark):
+    from fractions import Fraction
+
+    columns = {
+        "units": [0.1, 0.07, -0.0, -12.3456, 104999.91, 99999999999.9999, -99999999999.9999, 6e9, None, float("nan")],
+        "others": [0.1 + 0.2, 1e-7, -2.00001, 1e11, 123456789012.3456, -1e16, 5e-18, None],
+        "mixed": [0.05, 1 / 3, -7.0, -1e11 / 7, 1.7e9 + 0.1, float("nan")],
+        "large": [5e19, 1.0, -0.25, 0.125],
+        "too_large": [9e19, 9e19, 0.5],
+        "empty": [None, float("nan")],
+    }
+    rows = [(c, v) for c, values in columns.items() for v in values]
+    df = spark.createDataFrame(rows, "column string, value double").repartition(3)
+    got = {r["column"]: r for r in T.profile_state(df).collect()}
+    for c, values in columns.items():
+        known = [Fraction(repr(v)) for v in values if v is not None and v == v]
+        want = sum(known) if known and c != "too_large" else None
+        assert (got[c]["sum"], got[c]["inexact"]) == (want, 0), c  # a decimal equals its fraction
+    whole = T.profile_state(df)
+    assert str(whole.schema["sum"].dataType) == "DecimalType(38,18)"
+    # decimals are made only of values that are no whole number of units
+    assert "NOT coalesce" in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_state_groups_by_the_number_of_a_column(spark):
+    df = spark.createDataFrame([(1.5, [1, 2], 7), (None, [], 8), (2.5, None, 9)], "x double, a array<bigint>, y int")
+    state = T.columns_state(df, ["x", "a", "y"])
+    plan = state._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_pos" in plan and "Aggregate [column" not in plan
+    got = {r["column"]: (r["total"], r["valid_count"], r["sum"]) for r in state.collect()}
+    assert got == {r["column"]: (r["total"], r["valid_count"], r["sum"]) for r in T.profile_state(T.measures(df, ["x", "a", "y"])).collect()}
+    assert got == {"x": (3, 2, 4), "y": (3, 3, 24), "a#len": (3, 2, 2), "a#elem": (2, 2, 3)}
+
+
+@pytest.mark.parametrize("parts, n", [(1, 240_000), (5, 240_000), (1, 10), (2, 0)])
+def test_arriving_files_are_enough_for_all_cores(spark, parts, n):
+    from clickloom.plans import queries as Q
+
+    df = spark.range(0, n, 1, parts).withColumn("copy", F.lit(1))
+    stream, where = Q._files(spark, df)
+    written = spark.read.parquet(f"{where}/in")
+    assert written.count() == n and written.select("id").distinct().count() == n
+    sizes = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    if n >= 240_000:
+        # each of three batches has work for at least four tasks, also where the table is read by one
+        assert len(sizes) >= 12 and max(sizes) <= 20_000
+    total = one(T.finish(T.run_profile(stream, where, lambda rows: T.columns_state(rows, ["id"]))))["total"] if n else 0
+    assert total == n
+
+
 def test_exact_mean_gives_way_to_huge_values(spark):
     df = spark.createDataFrame([(1e30,), (1.0,), (None,), (float("nan"),)], "x double")
     r = one(T.finish(T.merge_states(T.profile_state(T.measures(df, ["x"])), T.profile_state(T.measures(df, ["x"])))))
