@@ -814,7 +814,8 @@ def _files(spark: SparkSession, df: DataFrame, batches: int = 3) -> tuple[DataFr
     """
     where = work_dir(spark, "profile")
     n, (least, most) = df.count(), FILE_ROWS
-    rows = min(max(-(-n // (batches * spark.sparkContext.defaultParallelism)), least), most, max(1, -(-n // batches)))
+    # two files a core and batch, so that a file more or less makes no second round
+    rows = min(max(-(-n // (2 * batches * spark.sparkContext.defaultParallelism)), least), most, max(1, -(-n // batches)))
     df.write.option("maxRecordsPerFile", rows).parquet(f"{where}/in")
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/in")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -64,28 +64,34 @@ EXACT_DIGITS = 15
 LOW_BITS = 25
 
 
-def _exact_sum(v: Column) -> tuple[Column, Column]:
-    """The exact sum of doubles, each taken as its shortest decimal form, and the number of values it cannot hold.
+def _summands(rows: DataFrame) -> DataFrame:
+    """The doubles of ``value`` as exact summands, each taken as its shortest decimal form.
 
     A double that equals a whole number of ``10 ** -UNIT_SCALE`` of at most 15 digits has that decimal as its shortest form,
-    as no two decimals of 15 digits share a double. Such values add up as whole numbers, in two halves that do not
-    overflow below 10 ** 11 rows; only the others are cast to decimals, which costs some ten times as much.
+    as no two decimals of 15 digits share a double. Such values add up as whole numbers, ``_high`` and ``_low``, two halves
+    whose sums do not overflow below 10 ** 11 rows; only others are cast to decimals, which costs some ten times as much.
     """
-    scale = F.lit(10.0**UNIT_SCALE)
+    scale, v, whole = F.lit(10.0**UNIT_SCALE), F.col("value"), F.col("_whole")
     units = F.rint(v * scale)
-    small = F.coalesce((units / scale == v) & (F.abs(units) < F.lit(10.0**EXACT_DIGITS)), F.lit(False))
-    whole = F.when(small, units.cast("bigint"))
-    other = F.when(v.isNotNull() & ~small, v.try_cast(f"decimal(38, {EXACT_SCALE})"))
-    high, low = F.try_sum(F.shiftright(whole, LOW_BITS)), F.try_sum(whole.bitwiseAND(F.lit(2**LOW_BITS - 1).cast("bigint")))
-    wide = lambda c: c.cast("decimal(20, 0)")
-    fast = (wide(high) * F.lit(Decimal(2**LOW_BITS)) + wide(low)) * F.lit(Decimal(1).scaleb(-UNIT_SCALE))
+    small = (units / scale == v) & (F.abs(units) < F.lit(10.0**EXACT_DIGITS))
+    return rows.withColumn("_whole", F.when(small, units.cast("bigint"))).withColumns(
+        {
+            "_high": F.shiftright(whole, LOW_BITS),
+            "_low": whole.bitwiseAND(F.lit(2**LOW_BITS - 1).cast("bigint")),
+            "_other": F.when(v.isNotNull() & whole.isNull(), v.try_cast(f"decimal(38, {EXACT_SCALE})")),
+        }
+    )
+
+
+def _exact_sum() -> Column:
+    """The sum of what ``_summands`` gives; NULL where there is nothing to add and where it overflows."""
+    wide = lambda c: F.try_sum(c).cast("decimal(20, 0)")
+    fast = (wide("_high") * F.lit(Decimal(2**LOW_BITS)) + wide("_low")) * F.lit(Decimal(1).scaleb(-UNIT_SCALE))
     held = f"decimal(38, {EXACT_SCALE})"
     half = f"decimal(37, {EXACT_SCALE})"  # two of them add up without giving up a decimal
-    fast, slow = fast.try_cast(held), F.try_sum(other)
+    fast, slow = fast.try_cast(held), F.try_sum("_other")
     both = F.coalesce(F.try_add(fast.try_cast(half), slow.try_cast(half)), F.try_add(fast, slow).try_cast(held))
-    # a sum is NULL where there is nothing to add and where it overflows
-    total = F.when(F.count(other) == 0, fast).when(F.count(whole) == 0, slow).otherwise(both)
-    return total, F.count(F.when(v.isNotNull() & ~small & other.isNull(), 1))
+    return F.when(F.count("_other") == 0, fast).when(F.count("_whole") == 0, slow).otherwise(both)
 
 
 def profile_state(long: DataFrame, key: str = "column") -> DataFrame:
@@ -94,11 +100,12 @@ def profile_state(long: DataFrame, key: str = "column") -> DataFrame:
     Beside the moments, ``sum`` adds the values as decimals of ``EXACT_SCALE`` places, so the mean of any number of batches
     is one division at the end; ``inexact`` counts values that such a decimal cannot hold (then the mean of the moments serves).
     """
-    v = F.when(~F.isnan("value"), F.col("value"))
-    total, inexact = _exact_sum(v)
-    return long.groupBy(key).agg(
-        total.alias("sum"),
-        inexact.alias("inexact"),
+    v = F.col("value")
+    # what several aggregates read is worked out once per row, below the aggregation
+    rows = _summands(long.select(key, F.when(~F.isnan(v), v).alias("value"))).withColumn("_hash", F.when(v.isNotNull(), F.xxhash64(v)))
+    return rows.groupBy(key).agg(
+        _exact_sum().alias("sum"),
+        (F.count(v) - F.count("_whole") - F.count("_other")).alias("inexact"),
         F.count(F.lit(1)).alias("total"),
         F.count(v).alias("valid_count"),
         F.avg(v).alias("mean"),
@@ -106,7 +113,7 @@ def profile_state(long: DataFrame, key: str = "column") -> DataFrame:
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.kll_sketch_agg_double(v, F.lit(KLL_K)).alias("kll"),
-        F.hll_sketch_agg(F.when(v.isNotNull(), F.xxhash64(v))).alias("hll"),
+        F.hll_sketch_agg("_hash").alias("hll"),
     )
 
 

@@ -166,7 +166,7 @@ def test_sums_of_whole_units_and_of_other_decimals_are_exact(spark):
     whole = T.profile_state(df)
     assert str(whole.schema["sum"].dataType) == "DecimalType(38,18)"
     # decimals are made only of values that are no whole number of units
-    assert "NOT coalesce" in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(_whole" in whole._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_state_groups_by_the_number_of_a_column(spark):
